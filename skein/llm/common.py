@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,8 +44,17 @@ def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows that one Arrow batch holds: texts may be long and workers small."""
+    """Make ready for a Python stage: send the package to the workers, and bound the rows that one
+    Arrow batch holds, as texts may be long and workers small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    context = spark.sparkContext
+    if not getattr(context, "_skein_sent", False):
+        package = Path(__file__).resolve().parent.parent
+        with zipfile.ZipFile(Path(tempfile.mkdtemp()) / "skein.zip", "w") as z:
+            for source in sorted(package.rglob("*.py")):
+                z.write(source, source.relative_to(package.parent))
+        context.addPyFile(z.filename)
+        context._skein_sent = True
 
 
 def plain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
