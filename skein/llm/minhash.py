@@ -1,13 +1,14 @@
 """Near-duplicate detection with b-bit MinHash.
 
 Sets of word shingles that are equal fall into one class, which from there on stands for all its
-documents. Each class has the minima of 180 hash functions: 30 bands of 6 rows name the buckets
-in which candidates meet, and the low 2 bits of each minimum, packed into 6 integers, estimate the
+documents. Each class has the minima of 500 hash functions: 50 bands of 10 rows name the buckets
+in which candidates meet, and the low 2 bits of 192 minima, packed into 6 integers, estimate the
 similarity of a candidate pair by bit counts, corrected for the quarter of unequal minima whose low
 bits agree by chance. What the estimate can't rule out is confirmed on the full sets.
 
-At similarity 0.85 a pair misses all 30 bands with a probability of 7e-7, and lies below the cut
-of the estimate (six standard deviations) with one of 1e-8.
+At similarity 0.85 a pair misses all 50 bands with a probability of 2e-5 (0.9: 3e-10), and lies below
+the cut of the estimate (six standard deviations) with one of 1e-8. Rows are many, since texts that
+share no more than a common passage must not meet: at similarity 0.5 one pair in twenty does.
 
 No bucket is expanded into all of its pairs. First each member is held against the smallest id of
 its bucket, which costs one pair a member and unites groups of copies. Then only buckets that still
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import cut, keep_ids, map_arrow, plain, small_batches
 
-BANDS, ROWS, LOW_BITS = 30, 6, 2
+BANDS, ROWS, LOW_BITS = 50, 10, 2
 HASHES = BANDS * ROWS
+#: Of these, so many go into the packed signature.
+SIGNED = 192
 #: Similar: 100 * intersection >= 85 * union.
 PERCENT = 85
 SHINGLE = 3
@@ -80,12 +83,13 @@ def _band_keys(low: np.ndarray) -> np.ndarray:
 
 
 PER_LONG = 64 // LOW_BITS
-LONGS = -(-HASHES // PER_LONG)
+LONGS = -(-SIGNED // PER_LONG)
 
 
 def _packed(low: np.ndarray) -> np.ndarray:
     bits = np.zeros((len(low), LONGS * PER_LONG), np.uint64)
-    bits[:, :HASHES] = (low ^ (low >> np.uint64(32))) & np.uint64(2**LOW_BITS - 1)
+    low = low[:, :SIGNED]
+    bits[:, :SIGNED] = (low ^ (low >> np.uint64(32))) & np.uint64(2**LOW_BITS - 1)
     shifts = np.arange(PER_LONG, dtype=np.uint64) * np.uint64(LOW_BITS)
     return np.bitwise_or.reduce(bits.reshape(len(low), LONGS, PER_LONG) << shifts, axis=2).view(np.int64)
 
@@ -93,7 +97,7 @@ def _packed(low: np.ndarray) -> np.ndarray:
 def unequal_limit(percent: int = PERCENT, sigmas: float = 6) -> int:
     """The most minima whose low bits may differ in a pair at the similarity sought."""
     p = (1 - percent / 100) * (1 - 0.5**LOW_BITS)
-    return int(np.ceil(HASHES * p + sigmas * np.sqrt(HASHES * p * (1 - p))))
+    return int(np.ceil(SIGNED * p + sigmas * np.sqrt(SIGNED * p * (1 - p))))
 
 
 def unequal(a: Column, b: Column) -> Column:
@@ -108,7 +112,7 @@ def unequal(a: Column, b: Column) -> Column:
 def estimate(a: Column, b: Column) -> Column:
     """Similarity estimated from signatures, corrected for chance agreement of low bits."""
     chance = 0.5**LOW_BITS
-    return ((1 - unequal(a, b) / F.lit(float(HASHES))) - chance) / (1 - chance)
+    return ((1 - unequal(a, b) / F.lit(float(SIGNED))) - chance) / (1 - chance)
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
@@ -140,15 +144,13 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return map_arrow(docs, run, "doc_id long, items array<long>")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those similar enough by their full sets."""
-    pairs = cut(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = cut(_sets(docs.join(ids, "doc_id", "left_semi"), width), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("left"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("right"))
     both = F.size(F.array_intersect("left", "right")).cast("long")
-    return pairs.join(right, "b").join(left, "a").filter(100 * both >= percent * (F.size("left") + F.size("right") - both)).select("a", "b")
+    similar = 100 * both >= percent * (F.size("left") + F.size("right") - both)
+    return cut(cut(pairs, "pairs").join(right, "b").join(left, "a").filter(similar).select("a", "b"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -182,8 +184,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig = stands.select("id", "sig")
     limit = unequal_limit(percent)
     near = star.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").filter(unequal(F.col("sig_a"), F.col("sig_b")) <= limit)
-    texts = plain(docs, id_col, text_col).filter("doc_id is not null")
-    links = cut(_confirmed(near.select("a", "b").distinct(), texts, percent, width), "links")
+    # texts move once; at scale the ids are too many to send to every task, so none relies on that
+    some = met.select(F.col("id").alias("doc_id")).distinct().hint("merge")
+    sets = cut(_sets(plain(docs, id_col, text_col).join(some, "doc_id", "left_semi"), width), "sets")
+    links = _confirmed(near.select("a", "b").distinct(), sets, percent)
     united = components(links)
 
     # pairs that were not held against each other, in buckets that still hold several components
@@ -195,7 +199,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other = rest.select("band", "key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sig").alias("sig_b"), "most")
     apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("most")) | (F.col("a") < F.col("b")))
     across = one.join(other, ["band", "key"]).filter(apart & (unequal(F.col("sig_a"), F.col("sig_b")) <= limit)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = cut(_confirmed(across, texts, percent, width), "links")
+    more = _confirmed(across, sets, percent)
     if not more.isEmpty():
         united = components(links.union(more))
     by_class = classes.join(united, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
