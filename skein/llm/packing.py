@@ -15,6 +15,9 @@ empty table; repeated rows are packed once each; a null id is kept as it is.
 from __future__ import annotations
 
 import heapq
+import os
+import re
+import struct
 import zlib
 from collections.abc import Callable
 
@@ -28,35 +31,70 @@ from skein.llm.common import cut, map_arrow, plain, small_batches
 CAPACITY = 2048
 END_ID = 1
 #: Words whose ids a worker remembers; beyond it, it starts afresh.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 500_000
 
 
-def word_tokenizer(path: str) -> Callable[[list[str]], list[np.ndarray]]:
-    """A function from texts to ids, for tokenizers that never join pieces across white space.
+#: Words of the lower letters a-z, ß-ö and ø-ÿ, in UTF-8: each is its own normal form.
+LATIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Byte-level vocabularies write the bytes that don't print as the characters from U+0100 on, in order.
+BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 
-    Such a tokenizer gives a text the ids of its words one after the other, so each distinct word
-    is encoded once by the library and remembered.
+
+def word_tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
+    """A function from texts to ids (little-endian unsigned 32-bit), for word_bpe_49k.json.
+
+    It gives a text the ids of its words one after the other: white space is dropped and parts pieces,
+    letters are lowered. So each distinct word is encoded once by the library and remembered. Lower
+    Latin letters alone need neither normalising nor parting, so such a word goes straight to the
+    library's model, its bytes in the file's byte alphabet. Other words are sent in joined texts,
+    parted by a bar; the id of a bar that stands alone comes of nothing but a bar, so it shows where
+    words end. Words with a bar, which special tokens also have, go alone.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each task has one core
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    memo: dict[bytes, list[int]] = {}
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
+    (bar,) = tok.encode("|", add_special_tokens=False).ids
+    memo: dict[bytes, bytes] = {}
+    model = tok.model
+    pack_ids = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(words: set[bytes]) -> None:
+        todo = set()
+        for w in words:
+            base = w[:-1]
+            # a stop after a letter or digit is a piece of its own
+            todo |= {base, w[-1:]} if w[-1:] in (b".", b",") and base[-1:].isalnum() else {w}
+        todo.difference_update(memo)
+        joined, alone = [], []
+        for w in todo:
+            if w.isalpha():
+                memo[w] = pack_ids([t.id for t in model.tokenize(w.decode())])
+            elif LATIN.fullmatch(w):
+                memo[w] = pack_ids([t.id for t in model.tokenize(w.decode("latin-1").translate(BYTE_LETTERS))])
+            else:
+                (alone if b"|" in w else joined).append(w)
+        for i in range(0, len(joined), 512):
+            part = joined[i : i + 512]
+            ids = np.array(tok.encode_batch_fast([b" | ".join([*part, b""]).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends, raw, at = np.flatnonzero(ids == bar) * 4, ids.tobytes(), 0
+            assert len(ends) == len(part)
+            for w, end in zip(part, ends.tolist(), strict=True):
+                memo[w] = raw[at:end]
+                at = end + 4
+        for w in alone:
+            memo[w] = pack_ids(tok.encode(w.decode(), add_special_tokens=False).ids)
+        for w in words:
+            if w not in memo:
+                memo[w] = memo[w[:-1]] + memo[w[-1:]]
+
+    def encode(texts: list[str]) -> list[bytes]:
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        split = [t.encode().split() for t in texts]
-        fresh = list({w for ws in split for w in ws if w not in memo})
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            memo.update(zip(part, (e.ids for e in tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)), strict=True))
-        out = []
-        for ws in split:
-            ids: list[int] = []
-            for w in ws:
-                ids += memo[w]
-            out.append(np.array(ids, np.uint32))
-        return out
+        split = [t.encode().split() if "|>" in t else t.encode().lower().split() for t in texts]
+        if fresh := set().union(*split).difference(memo):
+            learn(fresh)
+        return [b"".join([memo[w] for w in ws]) for ws in split]
 
     return encode
 
@@ -72,14 +110,14 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             _encoders[tokenizer] = word_tokenizer(tokenizer)
         rows: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else []))}
         texts, names = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
-        for doc, ids in zip(names, _encoders[tokenizer](texts), strict=True):
-            ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-            for at in range(0, len(ids), capacity):
-                raw = (part := ids[at : at + capacity]).tobytes()
-                for k, v in (("doc_id", doc), ("start", at), ("length", len(part)), ("ids_crc32", zlib.crc32(raw)), ("doc_tokens", len(ids))):
+        for doc, raw in zip(names, _encoders[tokenizer](texts), strict=True):
+            raw += end_id.to_bytes(4, "little")
+            for at in range(0, len(raw), 4 * capacity):
+                part = raw[at : at + 4 * capacity]
+                for k, v in (("doc_id", doc), ("start", at // 4), ("length", len(part) // 4), ("ids_crc32", zlib.crc32(part)), ("doc_tokens", len(raw) // 4)):
                     rows[k].append(v)
                 if keep_ids:
-                    rows["ids"].append(raw)
+                    rows["ids"].append(part)
         return pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k == "ids" else pa.int64()) for k, v in rows.items()})
 
     small_batches(docs.sparkSession)
@@ -149,7 +187,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     slots = _slots(shortest_pack_first(histogram, capacity))
     before = F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")
     ranked = salted.withColumn("n", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")))
-    ranked = ranked.join(counts.select("length", "bucket", before.alias("before")), ["length", "bucket"])
+    # there are as many counts as buckets for each length, so they grow with the cluster: merged, not broadcast
+    ranked = ranked.join(counts.select("length", "bucket", before.alias("before")).hint("merge"), ["length", "bucket"])
     ranked = ranked.select(*cuts.columns, (F.col("n") - 1 + F.col("before")).alias("rank"))
     key = (slots["length"] << RANK_BITS) + slots["rank"]
 
