@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import exact_dedup, minhash, packing, toxicity
+from skein.llm import exact_dedup, minhash, packing, pii, quality, toxicity
 from skein.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,10 +26,42 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents")).drop("level")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+#: Quartiles are the smallest values that at least a quarter (three quarters) of a group don't exceed.
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+p AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+u AS (SELECT rid, unnest(range(1, len(w) - 3)) AS i, w FROM p WHERE len(w) >= 5),
+v AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i:i+4]) AS n FROM u),
+c AS (SELECT rid, least(5, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i) - i, 5)) AS k FROM v WHERE n > 1),
+r AS (SELECT rid, sum(k) AS n_repeat_words FROM c GROUP BY rid),
+b AS (SELECT doc_id, lang, source, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+             length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines,
+             len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM p LEFT JOIN r USING (rid)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, 1000 * word_chars // greatest(n_words, 1) AS x1,
+             1000 * n_symbols // greatest(word_chars, 1) AS x2, 1000 * n_dup_lines // greatest(n_lines, 1) AS x3, 1000 * n_repeat_words // greatest(n_words, 1) AS x4 FROM b),
+q AS (SELECT GROUPING(lang) + GROUPING(source) AS level, lang, source, count(*) AS n,
+             list_sort(list(x1)) AS l1, list_sort(list(x2)) AS l2, list_sort(list(x3)) AS l3, list_sort(list(x4)) AS l4
+      FROM f WHERE NOT base_failed GROUP BY GROUPING SETS ((lang, source), (lang), ())),
+z AS (SELECT level, lang, source, l1[ceil(n / 4)::INT] AS a1, l1[ceil(3 * n / 4)::INT] AS b1, l2[ceil(n / 4)::INT] AS a2, l2[ceil(3 * n / 4)::INT] AS b2,
+             l3[ceil(n / 4)::INT] AS a3, l3[ceil(3 * n / 4)::INT] AS b3, l4[ceil(n / 4)::INT] AS a4, l4[ceil(3 * n / 4)::INT] AS b4
+      FROM q WHERE n >= 50 OR level = 2),
+m AS (SELECT f.*, coalesce(s.a1, g.a1, o.a1) AS a1, coalesce(s.b1, g.b1, o.b1) AS b1, coalesce(s.a2, g.a2, o.a2) AS a2, coalesce(s.b2, g.b2, o.b2) AS b2,
+             coalesce(s.a3, g.a3, o.a3) AS a3, coalesce(s.b3, g.b3, o.b3) AS b3, coalesce(s.a4, g.a4, o.a4) AS a4, coalesce(s.b4, g.b4, o.b4) AS b4
+      FROM f LEFT JOIN z s ON s.level = 0 AND s.lang = f.lang AND s.source = f.source LEFT JOIN z g ON g.level = 1 AND g.lang = f.lang LEFT JOIN z o ON o.level = 2)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(x1 BETWEEN a1 - 4 * (b1 - a1) - 2000 AND b1 + 4 * (b1 - a1) + 2000 AND x2 <= b2 + 4 * (b2 - a2) + 30
+           AND x3 <= b3 + 4 * (b3 - a3) + 500 AND x4 <= b4 + 4 * (b4 - a4) + 200, TRUE) AS kept FROM m
+"""
+
 OP6_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents WHERE doc_id IS NOT NULL),
 r AS (SELECT *, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -38,6 +70,10 @@ SELECT doc_id, keep_id, group_size, k = 1 AS kept, sha256(t) AS text_sha256 FROM
 """
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -46,10 +82,12 @@ def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
+        "op5_quality_rules": op5_quality_rules,
         "op6_exact_dedup": op6_exact_dedup,
+        "op8_pii": op8_pii,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op5_quality_rules": OP5_SQL, "op6_exact_dedup": OP6_SQL}
