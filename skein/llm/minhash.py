@@ -2,18 +2,20 @@
 
 Sets of word shingles that are equal fall into one class, which from there on stands for all its
 documents. Each class has the minima of 500 hash functions: 50 bands of 10 rows name the buckets
-in which candidates meet, and the low 2 bits of 192 minima, packed into 6 integers, estimate the
+in which candidates meet, and the low 2 bits of each minimum, packed into 16 integers, estimate the
 similarity of a candidate pair by bit counts, corrected for the quarter of unequal minima whose low
 bits agree by chance. What the estimate can't rule out is confirmed on the full sets.
 
 At similarity 0.85 a pair misses all 50 bands with a probability of 2e-5 (0.9: 3e-10), and lies below
-the cut of the estimate (six standard deviations) with one of 1e-8. Rows are many, since texts that
+the cut of the estimate (five standard deviations) with one of 3e-7. Rows are many, since texts that
 share no more than a common passage must not meet: at similarity 0.5 one pair in twenty does.
 
 No bucket is expanded into all of its pairs. First each member is held against the smallest id of
 its bucket, which costs one pair a member and unites groups of copies. Then only buckets that still
 hold several components are looked at again, and there only pairs across components, where one side
-is not of the component that most members have; the estimate is part of that join's condition.
+is not of the component that most members have; the estimate and the full sets are part of that join's
+condition, so it makes rows of links alone. Comparing remains quadratic in those members of a bucket
+that are near its component without a link.
 
 Defined results: null and empty texts, and texts of white space, have an empty set (n_shingles 0),
 are linked with nothing and kept; rows with a null id are left out; rows that repeat id and text give
@@ -32,8 +34,8 @@ from skein.llm.common import cut, keep_ids, map_arrow, plain, small_batches
 
 BANDS, ROWS, LOW_BITS = 50, 10, 2
 HASHES = BANDS * ROWS
-#: Of these, so many go into the packed signature.
-SIGNED = 192
+#: So many of these go into the packed signature.
+SIGNED = 500
 #: Similar: 100 * intersection >= 85 * union.
 PERCENT = 85
 SHINGLE = 3
@@ -94,7 +96,7 @@ def _packed(low: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(len(low), LONGS, PER_LONG) << shifts, axis=2).view(np.int64)
 
 
-def unequal_limit(percent: int = PERCENT, sigmas: float = 6) -> int:
+def unequal_limit(percent: int = PERCENT, sigmas: float = 5) -> int:
     """The most minima whose low bits may differ in a pair at the similarity sought."""
     p = (1 - percent / 100) * (1 - 0.5**LOW_BITS)
     return int(np.ceil(SIGNED * p + sigmas * np.sqrt(SIGNED * p * (1 - p))))
@@ -144,13 +146,19 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return map_arrow(docs, run, "doc_id long, items array<long>")
 
 
+def _similar(left: Column, right: Column, percent: int) -> Column:
+    """The full sets are similar enough; the sizes alone rule most others out."""
+    a, b = F.size(left).cast("long"), F.size(right).cast("long")
+    both = F.size(F.array_intersect(left, right)).cast("long")
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (100 * both >= percent * (a + b - both))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those similar enough by their full sets."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("left"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("right"))
-    both = F.size(F.array_intersect("left", "right")).cast("long")
-    similar = 100 * both >= percent * (F.size("left") + F.size("right") - both)
-    return cut(cut(pairs, "pairs").join(right, "b").join(left, "a").filter(similar).select("a", "b"), "links")
+    met = cut(pairs, "pairs").join(right, "b").join(left, "a")
+    return cut(met.filter(_similar(F.col("left"), F.col("right"), percent)).select("a", "b"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -194,12 +202,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = met.filter("n > 2").join(united, "id", "left").select("band", "key", "pivot", "id", F.coalesce("component", "id").alias("component"))
     sizes = placed.groupBy("band", "key", "component").count()
     mixed = sizes.groupBy("band", "key").agg(F.max_by("component", F.struct("count", "component")).alias("most"), F.count("*").alias("several")).filter("several > 1").drop("several")
-    rest = cut(placed.filter("id <> pivot").join(mixed, ["band", "key"]).join(sig, "id"), "rest")
-    one = rest.filter("component <> most").select("band", "key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sig").alias("sig_a"))
-    other = rest.select("band", "key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sig").alias("sig_b"), "most")
+    rest = placed.filter("id <> pivot").join(mixed, ["band", "key"]).join(sig, "id").join(sets.withColumnRenamed("doc_id", "id"), "id")
+    rest = cut(rest, "rest")
+    one = rest.filter("component <> most").select("band", "key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sig").alias("sig_a"), F.col("items").alias("left"))
+    other = rest.select("band", "key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sig").alias("sig_b"), F.col("items").alias("right"), "most")
     apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("most")) | (F.col("a") < F.col("b")))
-    across = one.join(other, ["band", "key"]).filter(apart & (unequal(F.col("sig_a"), F.col("sig_b")) <= limit)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _confirmed(across, sets, percent)
+    # the join makes rows of links alone: estimate and sets are part of its condition
+    likely = (unequal(F.col("sig_a"), F.col("sig_b")) <= limit) & _similar(F.col("left"), F.col("right"), percent)
+    across = one.join(other, [one.band == other.band, one.key == other.key, apart & likely])
+    more = cut(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     if not more.isEmpty():
         united = components(links.union(more))
     by_class = classes.join(united, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
