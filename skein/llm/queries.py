@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import exact_dedup, minhash, packing, pii, quality, toxicity
+from skein.llm import chat, chunk_dedup, exact_dedup, minhash, mixing, packing, pii, quality, toxicity, warc
 from skein.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -70,24 +78,64 @@ SELECT doc_id, keep_id, group_size, k = 1 AS kept, sha256(t) AS text_sha256 FROM
 """
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.summary(warc.crawl(table(spark, sf_dir, "pages")))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(chat.adversary(spark))
+    return chat.digests(chat.format_log(chat.event_log(rows)))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+OP7_SQL = r"""
+WITH p AS (SELECT *, '"' || substr(sha256(coalesce(html, '')), 1, 16) || '"' AS tag, 'day ' || (page_id % 97) AS day FROM pages),
+r AS (SELECT page_id * 2 AS record_id, url, page_id * 600 AS ts, TRUE AS is_full, tag AS etag, day AS last_modified, html AS payload,
+             octet_length(encode(coalesce(html, ''))) AS size, day FROM p
+      UNION ALL
+      SELECT page_id * 2 + 1, regexp_replace(url, '#.*$', '') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_source=again#top',
+             page_id * 600 + 86400, FALSE, CASE WHEN page_id % 11 = 1 THEN '"other"' WHEN page_id % 11 < 9 THEN tag END,
+             CASE WHEN page_id % 11 <> 10 THEN day END, NULL, NULL, day FROM p WHERE page_id % 3 <> 0),
+u AS (SELECT *, regexp_replace(url, '#.*$', '') AS v FROM r),
+h AS (SELECT *, regexp_replace(lower(regexp_extract(v, '^[a-zA-Z]+://([^/?]*)', 1)), '^www[.]|:(80|443)$', '', 'g') AS host, regexp_replace(v, '^[a-zA-Z]+://[^/?]*', '') AS rest FROM u),
+q AS (SELECT *, array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '[?](.*)$', 1), '&'),
+             lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))), '&') AS args FROM h),
+c AS (SELECT *, host || regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+$', '') || CASE WHEN args <> '' THEN '?' || args ELSE '' END AS canonical FROM q),
+a AS (SELECT n.*, (SELECT max(struct_pack(ts := f.ts, id := f.record_id)) FROM c f WHERE f.is_full AND f.canonical = n.canonical AND (f.ts, f.record_id) < (n.ts, n.record_id)).id AS last_id FROM c n WHERE NOT n.is_full),
+j AS (SELECT a.*, f.etag AS f_etag, f.last_modified AS f_mod, f.payload AS f_payload, f.size AS f_size, f.day AS f_day, f.record_id AS f_id,
+             CASE WHEN a.etag IS NOT NULL AND f.etag IS NOT NULL THEN a.etag = f.etag WHEN a.last_modified IS NOT NULL AND f.last_modified IS NOT NULL THEN a.last_modified = f.last_modified END AS agrees
+      FROM a LEFT JOIN c f ON f.record_id = a.last_id)
+SELECT record_id, canonical, 'full' AS status, record_id AS source_id, sha256(payload) AS payload_sha256,
+       'content-length=' || size || ';content-type=text/html;date=' || day || ';etag=' || etag AS headers FROM c WHERE is_full
+UNION ALL
+SELECT record_id, canonical, CASE WHEN f_id IS NULL THEN 'orphan' WHEN agrees IS NULL THEN 'unchecked' WHEN agrees THEN 'resolved' ELSE 'mismatch' END,
+       coalesce(CASE WHEN coalesce(agrees, TRUE) THEN f_id END, -1), CASE WHEN coalesce(agrees, TRUE) THEN sha256(f_payload) END,
+       CASE WHEN f_id IS NOT NULL AND coalesce(agrees, TRUE) THEN 'content-length=' || f_size || ';content-type=text/html;date=again ' || day || ';etag=' || f_etag || ';expires=never'
+            ELSE 'content-length=0;date=again ' || day || ';expires=never' END FROM j
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_chunk_dedup": op2_chunk_dedup,
+        "op3_mixing": op3_mixing,
         "op4_minhash_near_dedup": op4_minhash_near_dedup,
         "op5_quality_rules": op5_quality_rules,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_warc_revisits": op7_warc_revisits,
         "op8_pii": op8_pii,
+        "op9_chat_format": op9_chat_format,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5_SQL, "op6_exact_dedup": OP6_SQL}
+    return {"op5_quality_rules": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_warc_revisits": OP7_SQL}
