@@ -13,9 +13,9 @@ share no more than a common passage must not meet: at similarity 0.5 one pair in
 No bucket is expanded into all of its pairs. First each member is held against the smallest id of
 its bucket, which costs one pair a member and unites groups of copies. Then only buckets that still
 hold several components are looked at again, and there only pairs across components, where one side
-is not of the component that most members have; the estimate and the full sets are part of that join's
-condition, so it makes rows of links alone. Comparing remains quadratic in those members of a bucket
-that are near its component without a link.
+is not of the component that most members have. These are compared in blocks, by estimate and then by their
+full sets, where the rows are, which makes rows of links alone. Comparing remains quadratic in those
+members of a bucket that are near its component without a link; blocks spread it over tasks.
 
 Defined results: null and empty texts, and texts of white space, have an empty set (n_shingles 0),
 are linked with nothing and kept; rows with a null id are left out; rows that repeat id and text give
@@ -25,6 +25,7 @@ one row; rows that share an id but not a text give a row each and link whatever
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -161,6 +162,48 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(met.filter(_similar(F.col("left"), F.col("right"), percent)).select("a", "b"), "links")
 
 
+#: Leftover members are compared in blocks of at most about so many on either side.
+BLOCK = 512
+
+
+def _across(rest: DataFrame, limit: int, percent: int) -> DataFrame:
+    """Links between components of a bucket, of which one is not the one that most members have.
+
+    Both sides are dealt into blocks, so that a bucket of any size is compared by many tasks, each
+    with a block of either. A pair that meets in several bands is confirmed in the first.
+    """
+
+    def compare(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        if len(ours) and len(theirs):
+            sig, bands = (np.stack(theirs[k].to_numpy()) for k in ("sig", "bands"))
+            sig = sig.view(np.uint64)
+            ids, component, most = (theirs[k].to_numpy() for k in ("id", "component", "most"))
+            sets = theirs["items"].to_numpy()
+            for r in ours.itertuples(index=False):
+                x = sig ^ r.sig.view(np.uint64)
+                apart = np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1)
+                at = np.flatnonzero((apart <= limit) & (component != r.component) & ((component == most) | (ids > r.id)))
+                at = at[(bands[at] == r.bands).argmax(axis=1) == r.band] if len(at) else at
+                for i in at.tolist():
+                    a, b = len(r.items), len(sets[i])
+                    if 100 * min(a, b) >= percent * max(a, b):
+                        both = len(np.intersect1d(r.items, sets[i], assume_unique=True))
+                        if 100 * both >= percent * (a + b - both):
+                            out.append((r.id, ids[i]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    keys = ["band", "key", "i", "j"]
+    ours = rest.filter("component <> most").withColumn("i", block("fewer")).withColumn("j", each("blocks"))
+    theirs = rest.withColumn("j", block("blocks")).withColumn("i", each("fewer"))
+    columns = [*keys, "id", "component", "most", "bands", "sig", "items"]
+    # toDF gives the second side columns of its own: cogroup takes those of a common origin for one
+    pairs = ours.select(columns).groupBy(keys).cogroup(theirs.select(columns).toDF(*columns).groupBy(keys)).applyInPandas(compare, "a long, b long")
+    return cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, component (the smallest id reachable) for each id in links(a, b).
 
@@ -200,17 +243,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # pairs that were not held against each other, in buckets that still hold several components
     placed = met.filter("n > 2").join(united, "id", "left").select("band", "key", "pivot", "id", F.coalesce("component", "id").alias("component"))
-    sizes = placed.groupBy("band", "key", "component").count()
-    mixed = sizes.groupBy("band", "key").agg(F.max_by("component", F.struct("count", "component")).alias("most"), F.count("*").alias("several")).filter("several > 1").drop("several")
-    rest = placed.filter("id <> pivot").join(mixed, ["band", "key"]).join(sig, "id").join(sets.withColumnRenamed("doc_id", "id"), "id")
-    rest = cut(rest, "rest")
-    one = rest.filter("component <> most").select("band", "key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sig").alias("sig_a"), F.col("items").alias("left"))
-    other = rest.select("band", "key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sig").alias("sig_b"), F.col("items").alias("right"), "most")
-    apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("most")) | (F.col("a") < F.col("b")))
-    # the join makes rows of links alone: estimate and sets are part of its condition
-    likely = (unequal(F.col("sig_a"), F.col("sig_b")) <= limit) & _similar(F.col("left"), F.col("right"), percent)
-    across = one.join(other, [one.band == other.band, one.key == other.key, apart & likely])
-    more = cut(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    sizes = placed.filter("id <> pivot").groupBy("band", "key", "component").count()
+    mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("count", "component")).alias("most"), F.sum("count").alias("size"), F.count("*").alias("several")).filter("several > 1")
+    mixed = mixed.select("band", "key", F.col("most.component").alias("most"), F.ceil((F.col("size") - F.col("most.count")) / BLOCK).alias("fewer"), F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    rest = placed.filter("id <> pivot").join(mixed, ["band", "key"]).join(stands, "id").join(sets.withColumnRenamed("doc_id", "id"), "id").drop("pivot")
+    more = _across(cut(rest, "rest"), unequal_limit(percent), percent)
     if not more.isEmpty():
         united = components(links.union(more))
     by_class = classes.join(united, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
