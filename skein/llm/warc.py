@@ -100,7 +100,7 @@ def crawl(pages: DataFrame) -> DataFrame:
 
 
 def summary(records: DataFrame) -> DataFrame:
-    ""X
+    """record_id, canonical, status, source_id (-1: none), payload_sha256, headers as sorted text."""
     r = resolve(records)
     text = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
     return r.select("record_id", "canonical", "status", F.coalesce("source_id", F.lit(-1)).alias("source_id"), F.sha2(F.col("payload"), 256).alias("payload_sha256"), text.alias("headers"))
