@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, keep_ids, normalised, plain
+from skein.llm.common import cut, normalised, plain
 
 BLOCK_BYTES = 2048
 NAME = "struct<c:bigint,k:int>"
@@ -97,16 +97,23 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return done.select("doc_id", "h", "n_rows", "text_sha256", "n_blocks", F.get("names", F.lit(0)).alias("name"))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, code_bits: int = 64) -> DataFrame:
-    """One row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
+def _groups(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, code_bits: int) -> DataFrame:
     named = cut(identities(docs, id_col, text_col, block_bytes, code_bits), "identities")
-    group = [F.col("n_blocks"), F.col("name.c").alias("c"), F.col("name.k").alias("k")]
-    rows = named.select("doc_id", "n_rows", "text_sha256", *group)
+    rows = named.select("doc_id", "h", "n_rows", "text_sha256", "n_blocks", F.col("name.c").alias("c"), F.col("name.k").alias("k"))
     groups = rows.groupBy("n_blocks", "c", "k").agg(F.min("doc_id").alias("keep_id"), F.sum("n_rows").alias("group_size"))
-    out = rows.join(groups, ["n_blocks", "c", "k"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))))
+    # a group's rows are small and many; as the join has no other work above it, Spark can split a large group
+    return rows.join(groups, ["n_blocks", "c", "k"])
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, code_bits: int = 64) -> DataFrame:
+    """One row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
+    out = _groups(docs, id_col, text_col, block_bytes, code_bits).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))))
     return out.select("doc_id", "keep_id", "group_size", ((F.col("doc_id") == F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose normalised text an earlier id has; columns as they are."""
-    return keep_ids(docs, exact_groups(docs, id_col, text_col).filter("kept"), id_col)
+    """docs without the rows whose normalised text an earlier row has; columns as they are."""
+    kept = _groups(docs, id_col, text_col, BLOCK_BYTES, 64).filter("doc_id = keep_id").select(F.col("doc_id").alias("__kept_id"), F.col("h").alias("__kept_h"))
+    keyed = docs.withColumn("__row_id", F.col(id_col).cast("long")).withColumn("__row_h", F.xxhash64(normalised(F.coalesce(F.col(text_col), F.lit("")))))
+    met = keyed.join(kept, (F.col("__row_id") == F.col("__kept_id")) & (F.col("__row_h") == F.col("__kept_h")), "left_semi")
+    return met.dropDuplicates(["__row_id", "__row_h"]).select(*(F.col(c) for c in docs.columns))

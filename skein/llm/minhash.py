@@ -1,21 +1,21 @@
 """Near-duplicate detection with b-bit MinHash.
 
 Sets of word shingles that are equal fall into one class, which from there on stands for all its
-documents. Each class has the minima of 500 hash functions: 50 bands of 10 rows name the buckets
-in which candidates meet, and the low 2 bits of each minimum, packed into 16 integers, estimate the
-similarity of a candidate pair by bit counts, corrected for the quarter of unequal minima whose low
-bits agree by chance. What the estimate can't rule out is confirmed on the full sets.
+documents. Each class has the minima of 500 hash functions: bands of them (50 of 10 rows at
+similarity 0.85, 62 of 8 at 0.8) name the buckets in which candidates meet, and the low 2 bits of
+each minimum, packed into 16 integers, estimate the similarity of a candidate pair by bit counts,
+corrected for the quarter of unequal minima whose low bits agree by chance. What the estimate can't rule out is confirmed on the full sets.
 
-At similarity 0.85 a pair misses all 50 bands with a probability of 2e-5 (0.9: 3e-10), and lies below
+At similarity 0.85 a pair misses all 50 bands with a probability of 2e-5 (0.9: 4e-10), and lies below
 the cut of the estimate (five standard deviations) with one of 3e-7. Rows are many, since texts that
 share no more than a common passage must not meet: at similarity 0.5 one pair in twenty does.
 
 No bucket is expanded into all of its pairs. First each member is held against the smallest id of
 its bucket, which costs one pair a member and unites groups of copies. Then only buckets that still
 hold several components are looked at again, and there only pairs across components, where one side
-is not of the component that most members have. These are compared in blocks, by estimate and then by their
-full sets, where the rows are, which makes rows of links alone. Comparing remains quadratic in those
-members of a bucket that are near its component without a link; blocks spread it over tasks.
+is not of the component that most members have. These are compared in blocks, by estimate and then by
+their full sets, where the rows are, which makes rows of links alone. Comparing remains quadratic in
+those members of a bucket that are near its component without a link; blocks spread it over tasks.
 
 Defined results: null and empty texts, and texts of white space, have an empty set (n_shingles 0),
 are linked with nothing and kept; rows with a null id are left out; rows that repeat id and text give
@@ -33,13 +33,19 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import cut, keep_ids, map_arrow, plain, small_batches
 
-BANDS, ROWS, LOW_BITS = 50, 10, 2
-HASHES = BANDS * ROWS
-#: So many of these go into the packed signature.
-SIGNED = 500
-#: Similar: 100 * intersection >= 85 * union.
-PERCENT = 85
-SHINGLE = 3
+HASHES, LOW_BITS = 500, 2
+#: The most that a pair at the similarity sought may miss all bands.
+MISS = 3e-5
+#: Similar: 100 * intersection >= PERCENT * union.
+PERCENT = 80
+SHINGLE = 5
+
+
+def layout(percent: int = PERCENT) -> tuple[int, int]:
+    """Bands and rows: as many rows as MISS allows, since these keep unlike texts apart."""
+    miss = lambda rows: (1 - (percent / 100) ** rows) ** (HASHES // rows)
+    rows = max(r for r in range(1, 21) if r == 1 or miss(r) <= MISS)
+    return HASHES // rows, rows
 
 
 def _constants(n: int, seed: int) -> np.ndarray:
@@ -80,19 +86,18 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _band_keys(low: np.ndarray) -> np.ndarray:
-    rows = low.reshape(len(low), BANDS, ROWS)
-    return _mixed((rows * PLACE[:ROWS]).sum(axis=2, dtype=np.uint64)).view(np.int64)
+def _band_keys(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    cells = low[:, : bands * rows].reshape(len(low), bands, rows)
+    return _mixed((cells * PLACE[:rows]).sum(axis=2, dtype=np.uint64)).view(np.int64)
 
 
 PER_LONG = 64 // LOW_BITS
-LONGS = -(-SIGNED // PER_LONG)
+LONGS = -(-HASHES // PER_LONG)
 
 
 def _packed(low: np.ndarray) -> np.ndarray:
     bits = np.zeros((len(low), LONGS * PER_LONG), np.uint64)
-    low = low[:, :SIGNED]
-    bits[:, :SIGNED] = (low ^ (low >> np.uint64(32))) & np.uint64(2**LOW_BITS - 1)
+    bits[:, :HASHES] = (low ^ (low >> np.uint64(32))) & np.uint64(2**LOW_BITS - 1)
     shifts = np.arange(PER_LONG, dtype=np.uint64) * np.uint64(LOW_BITS)
     return np.bitwise_or.reduce(bits.reshape(len(low), LONGS, PER_LONG) << shifts, axis=2).view(np.int64)
 
@@ -100,7 +105,7 @@ def _packed(low: np.ndarray) -> np.ndarray:
 def unequal_limit(percent: int = PERCENT, sigmas: float = 5) -> int:
     """The most minima whose low bits may differ in a pair at the similarity sought."""
     p = (1 - percent / 100) * (1 - 0.5**LOW_BITS)
-    return int(np.ceil(SIGNED * p + sigmas * np.sqrt(SIGNED * p * (1 - p))))
+    return int(np.ceil(HASHES * p + sigmas * np.sqrt(HASHES * p * (1 - p))))
 
 
 def unequal(a: Column, b: Column) -> Column:
@@ -115,11 +120,12 @@ def unequal(a: Column, b: Column) -> Column:
 def estimate(a: Column, b: Column) -> Column:
     """Similarity estimated from signatures, corrected for chance agreement of low bits."""
     chance = 0.5**LOW_BITS
-    return ((1 - unequal(a, b) / F.lit(float(SIGNED))) - chance) / (1 - chance)
+    return ((1 - unequal(a, b) / F.lit(float(HASHES))) - chance) / (1 - chance)
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, digest of the set (null if empty), bands, sig."""
+    bands_rows = layout(percent)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
@@ -128,7 +134,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         bands, sig = list(digest), list(digest)
         if full:
             low = minima([sets[i] for i in full])
-            for i, x, y in zip(full, _band_keys(low), _packed(low), strict=True):
+            for i, x, y in zip(full, _band_keys(low, *bands_rows), _packed(low), strict=True):
                 digest[i], bands[i], sig[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), x, y
         return pa.RecordBatch.from_arrays(
             [b.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int64()))],
@@ -224,7 +230,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept."""
-    signed = cut(signatures(docs, id_col, text_col, width), "signatures")
+    signed = cut(signatures(docs, id_col, text_col, percent, width), "signatures")
     classes = cut(signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
     stands = signed.join(classes, (signed.doc_id == classes.id) & (signed.digest == classes.digest), "left_semi").select(F.col("doc_id").alias("id"), "bands", "sig").dropDuplicates(["id", "bands"])
     stands = cut(stands, "stands")
