@@ -31,4 +31,11 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["status_counts"](spark, sf_dir)
+    return QUERIES["impact_radius"](spark, sf_dir)
+
+
+def _load() -> None:
+    from skein.plans import graph_queries  # noqa: F401  its import files the queries
+
+
+_load()
