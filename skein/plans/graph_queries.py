@@ -266,7 +266,7 @@ def ancestors(spark, sf_dir):
 
 EVENT_EDGES = """
 SELECT DISTINCT user_id AS source, next AS target FROM (
-    SELECT user_id, value, lead(user_id) OVER (ORDER BY ts, event_id) AS next FROM (SELECT * FROM {events} WHERE value >= 99 AND event_id % 3 = 0) kept) e WHERE next IS NOT NULL
+    SELECT user_id, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS next FROM {events}) e WHERE next IS NOT NULL
 """
 CYCLE_SQL = f"""
 WITH RECURSIVE e AS ({EVENT_EDGES.format(events="events")}),
@@ -337,8 +337,8 @@ def delete_cascade(spark, sf_dir):
 
 
 CHANGES_SQL = """
-WITH f AS (SELECT concat_ws('/', source, lang, doc_id) AS path, sha256(text) AS h, doc_id FROM documents),
-o AS (SELECT * FROM f WHERE doc_id % 5 <> 0), n AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE h END AS h FROM f WHERE doc_id % 3 <> 0)
+WITH f AS (SELECT concat_ws('/', source, lang, doc_id) AS path, sha256(text) AS h, lang, source FROM documents),
+o AS (SELECT * FROM f WHERE lang <> 'es'), n AS (SELECT path, CASE WHEN lang = 'de' THEN 'x' ELSE h END AS h FROM f WHERE source <> 'src1')
 SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' ELSE 'modified' END AS change
 FROM o FULL JOIN n ON o.path = n.path WHERE o.path IS NULL OR n.path IS NULL OR o.h <> n.h
 """
@@ -346,9 +346,9 @@ FROM o FULL JOIN n ON o.path = n.path WHERE o.path IS NULL OR n.path IS NULL OR
 
 @register("changed_files", CHANGES_SQL)
 def changed_files(spark, sf_dir):
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("h"))
-    old = d.filter("doc_id % 5 <> 0").select("path", F.col("h").alias("content_hash"))
-    new = d.filter("doc_id % 3 <> 0").select("path", F.when(F.col("doc_id") % 7 == 0, "x").otherwise(F.col("h")).alias("content_hash"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "source", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("h"))
+    old = d.filter("lang <> 'es'").select("path", F.col("h").alias("content_hash"))
+    new = d.filter("source <> 'src1'").select("path", F.when(F.col("lang") == "de", "x").otherwise(F.col("h")).alias("content_hash"))
     return mutate.changes(old, new)
 
 
