@@ -9,12 +9,13 @@ from skein.graphview import Graph
 
 
 def status_counts(g: Graph, files: DataFrame | None = None) -> DataFrame:
-    """(measure, name, n): totals, nodes by kind and language, edges by kind; grouping sets read each table once."""
-    n = g.nodes.groupingSets([["kind"], ["language"], []], "kind", "language").agg(F.count("*").alias("n"), F.grouping("kind").alias("gk"), F.grouping("language").alias("gl"))
-    measure = F.when((F.col("gk") == 1) & (F.col("gl") == 1), "nodes").when(F.col("gl") == 1, "nodes_by_kind").otherwise("nodes_by_language")
-    out = n.select(measure.alias("measure"), F.coalesce("kind", "language", F.lit("")).alias("name"), "n")
-    e = g.edges.rollup("kind").agg(F.count("*").alias("n"), F.grouping("kind").alias("gk"))
-    out = out.unionByName(e.select(F.when(F.col("gk") == 1, "edges").otherwise("edges_by_kind").alias("measure"), F.coalesce("kind", F.lit("")).alias("name"), "n"))
+    """(measure, name, n): totals, nodes by kind and language, edges by kind; and files."""
+    n = g.nodes.groupingSets([["kind"], ["language"]], "kind", "language").agg(F.count("*").alias("n"), F.grouping("kind").alias("gk"))
+    out = n.select(F.when(F.col("gk") == 0, "nodes_by_kind").otherwise("nodes_by_language").alias("measure"), F.coalesce("kind", "language", F.lit("")).alias("name"), "n")
+    out = out.unionByName(g.edges.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("edges_by_kind").alias("measure"), F.col("kind").alias("name"), "n"))
+    # totals on their own: grouping sets have no row for an empty table
+    for measure, table in (("nodes", g.nodes), ("edges", g.edges)):
+        out = out.unionByName(table.groupBy().agg(F.count("*").alias("n")).select(F.lit(measure).alias("measure"), F.lit("").alias("name"), "n"))
     if files is not None:
         out = out.unionByName(files.groupBy().agg(F.count("*").alias("n")).select(F.lit("files").alias("measure"), F.lit("").alias("name"), "n"))
     return out
