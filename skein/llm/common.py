@@ -73,9 +73,15 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
     return df.mapInArrow(run, schema)
 
 
+def whole_rows(docs: DataFrame, **columns: Column) -> DataFrame:
+    """Each row as one struct `row`, beside columns of our own: no name in docs can clash with these."""
+    return docs.select(F.struct("*").alias("row"), *(c.alias(k) for k, c in columns.items()))
+
+
 def keep_ids(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of docs whose id is in kept(doc_id), with docs' own columns and no others."""
-    return docs.join(kept.select(F.col("doc_id").alias("__kept_id")), F.col(id_col) == F.col("__kept_id"), "left_semi")
+    rows = whole_rows(docs, doc_id=F.col(id_col).cast("long"))
+    return rows.join(kept.select("doc_id"), "doc_id", "left_semi").select("row.*")
 
 
 def normalised(text: Column) -> Column:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, normalised, plain
+from skein.llm.common import cut, normalised, plain, whole_rows
 
 BLOCK_BYTES = 2048
 NAME = "struct<c:bigint,k:int>"
@@ -113,7 +113,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose normalised text an earlier row has; columns as they are."""
-    kept = _groups(docs, id_col, text_col, BLOCK_BYTES, 64).filter("doc_id = keep_id").select(F.col("doc_id").alias("__kept_id"), F.col("h").alias("__kept_h"))
-    keyed = docs.withColumn("__row_id", F.col(id_col).cast("long")).withColumn("__row_h", F.xxhash64(normalised(F.coalesce(F.col(text_col), F.lit("")))))
-    met = keyed.join(kept, (F.col("__row_id") == F.col("__kept_id")) & (F.col("__row_h") == F.col("__kept_h")), "left_semi")
-    return met.dropDuplicates(["__row_id", "__row_h"]).select(*(F.col(c) for c in docs.columns))
+    kept = _groups(docs, id_col, text_col, BLOCK_BYTES, 64).filter("doc_id = keep_id").select("doc_id", "h")
+    rows = whole_rows(docs, doc_id=F.col(id_col).cast("long"), h=F.xxhash64(normalised(F.coalesce(F.col(text_col), F.lit("")))))
+    return rows.join(kept, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]).select("row.*")

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import SPACE
+from skein.llm.common import SPACE, whole_rows
 
 TEMPER = 0.7
 BUDGET = 0.6
@@ -50,10 +50,8 @@ def topic(text: Column) -> Column:
     )
 
 
-def cells(docs: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: Column | None = None) -> DataFrame:
-    """source, lang, topic, n_tokens for each row, with whatever of docs the caller added first."""
-    named = {"source": F.coalesce(F.col(source_col), F.lit("")), "lang": F.coalesce(F.col(lang_col), F.lit("")), "topic": topic_col if topic_col is not None else topic(F.col(text_col))}
-    return docs.select("*", *(c.alias(f"__{k}") for k, c in named.items()), tokens(F.col(text_col)).alias("__n_tokens"))
+def margins(text: Column, source: Column, lang: Column) -> dict[str, Column]:
+    return {"source": F.coalesce(source, F.lit("")), "lang": F.coalesce(lang, F.lit("")), "topic": topic(text), "n_tokens": tokens(text)}
 
 
 def tempered(mass: np.ndarray, temper: float = TEMPER) -> np.ndarray:
@@ -88,10 +86,10 @@ def rake(mass: np.ndarray, codes: np.ndarray, targets: list[np.ndarray], rounds:
 
 
 def weights(rows: DataFrame, temper: float = TEMPER, budget: float = BUDGET, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """__source, __lang, __topic, weight for each cell of cells()."""
+    """source, lang, topic, weight for each cell of rows(source, lang, topic, n_tokens)."""
     spark = rows.sparkSession
-    keys = [f"__{k}" for k in MARGINS]
-    found = rows.groupBy(*keys).agg(F.sum("__n_tokens").alias("n")).orderBy(*keys).limit(MAX_CELLS + 1).collect()
+    keys = list(MARGINS)
+    found = rows.groupBy(*keys).agg(F.sum("n_tokens").alias("n")).orderBy(*keys).limit(MAX_CELLS + 1).collect()
     if len(found) > MAX_CELLS:
         raise ValueError(f"more than {MAX_CELLS} cells: the margins are not categories")
     mass = np.array([r.n for r in found], float)
@@ -127,18 +125,14 @@ def drawn(doc_id: Column, seed: str = SEED) -> Column:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", temper: float = TEMPER, budget: float = BUDGET, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, kept for each document."""
-    rows = cells(docs.select(F.col(id_col).cast("long").alias("__id"), text_col, source_col, lang_col), text_col, source_col, lang_col)
-    keys = [f"__{k}" for k in MARGINS]
-    rows = rows.select("__id", *keys, "__n_tokens")
-    out = rows.join(F.broadcast(weights(rows, temper, budget, targets)), keys)  # at most MAX_CELLS rows
-    return out.select(
-        F.col("__id").alias("doc_id"), *(F.col(f"__{k}").alias(k) for k in MARGINS), F.col("__n_tokens").alias("n_tokens"), "weight", (drawn(F.col("__id")) < F.col("weight")).alias("kept")
-    )
+    columns = margins(F.col(text_col), F.col(source_col), F.col(lang_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(c.alias(k) for k, c in columns.items()))
+    out = rows.join(F.broadcast(weights(rows, temper, budget, targets)), list(MARGINS))  # at most MAX_CELLS rows
+    return out.select("doc_id", *MARGINS, "n_tokens", "weight", (drawn(F.col("doc_id")) < F.col("weight")).alias("kept"))
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", temper: float = TEMPER, budget: float = BUDGET) -> DataFrame:
     """The sampled rows of docs, with docs' own columns."""
-    rows = cells(docs, text_col, source_col, lang_col)
-    keys = [f"__{k}" for k in MARGINS]
-    out = rows.join(F.broadcast(weights(rows, temper, budget)), keys)
-    return out.filter(drawn(F.col(id_col)) < F.col("weight")).select(*(F.col(c) for c in docs.columns))
+    rows = whole_rows(docs, doc_id=F.col(id_col).cast("long"), **margins(F.col(text_col), F.col(source_col), F.col(lang_col)))
+    out = rows.join(F.broadcast(weights(rows.drop("row"), temper, budget)), list(MARGINS))
+    return out.filter(drawn(F.col("doc_id")) < F.col("weight")).select("row.*")

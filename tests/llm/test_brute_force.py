@@ -1,0 +1,213 @@
+"""Operators without a SQL form, held against plain Python on the small driver tables."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from skein.llm import chat, chunk_dedup, minhash, mixing, packing, pii, queries, toxicity
+
+SF = "/root/testdata/sf0.01"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def shingles(text, width):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text))
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
+
+
+def near_components(texts, width, percent):
+    """All pairs that share a shingle, no sampling."""
+    sets, held, up = {i: shingles(t, width) for i, t in texts.items()}, defaultdict(list), {i: i for i in texts}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in sorted(sets):
+        shared = Counter(j for s in sets[i] for j in held[s])
+        for j, n in shared.items():
+            if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+        for s in sets[i]:
+            held[s].append(i)
+    return {i: (len(sets[i]), top(i)) for i in texts}
+
+
+def test_near_duplicates(spark, texts):
+    want = near_components(texts, 3, 85)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op4_minhash_near_dedup(spark, SF).collect()}
+    assert got == want
+
+
+def test_a_chain_and_a_star_of_near_copies(spark):
+    words = [f"w{i}" for i in range(200)]
+    chain = [" ".join(["x" * (k + 1) + str(j) if j < 6 * k else w for j, w in enumerate(words)]) for k in range(5)]
+    star = [" ".join([f"e{k}" if j == 7 * k + 3 else w[::-1] for j, w in enumerate(words)]) for k in range(25)]
+    docs = {i: t for i, t in enumerate(chain + star)}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), percent=85, width=3).collect()}
+    assert got == {i: c for i, (_, c) in near_components(docs, 3, 85).items()}
+
+
+def test_estimate_is_close(spark):
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 2**63, 1000, dtype=np.uint64)
+    b = np.concatenate([a[:800], rng.integers(0, 2**63, 200, dtype=np.uint64)])
+    sig = minhash._packed(minhash.minima([np.unique(a), np.unique(b)]))
+    df = spark.createDataFrame([(sig[0].tolist(), sig[1].tolist())], "a array<long>, b array<long>")
+    assert abs(df.select(minhash.estimate(df.a, df.b)).first()[0] - 800 / 1200) < 0.1
+
+
+def test_personal_data(spark, texts):
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def fits(kind, s):
+        d = re.sub("[^0-9]", "", s)
+        return {"email": lambda: True, "ip": lambda: all(int(p) <= 255 for p in s.split(".")), "card": lambda: 16 <= len(d) <= 19 and pii.luhn(d), "phone": lambda: 8 <= len(d) <= 15}[kind]()
+
+    odd = ["a@b@c.com x@y..z @q.w a+b@c-d.e.", "+1 (2)+34 5678901 +1234567+89012345", "1.2.3.4.5.6.7.8 256.1.1.1 01.002.3.4", "4111 1111 1111 1111-4111111111111111", "a@b.c@d.e", "é@é.com é.x@y.é", "++12345678", "user@host.com,user2@host.com"]
+    for t in [*texts.values(), *odd]:
+        want = [(k, *m.span()) for k, p in patterns.items() for m in re.finditer(p, t) if fits(k, m.group())]
+        assert [s for s in pii.spans(t) if s[0] in patterns] == want, t[:80]
+    r = next(r for r in queries.op8_pii(spark, SF).collect() if r.n_email)
+    base = [s for s in pii.spans(texts[r.doc_id]) if s[0] in patterns]
+    assert r.base_sha256 == hashlib.sha256(pii.written(base).encode()).hexdigest()
+
+
+def test_added_spans():
+    assert pii.spans('token = "abcdef0123456789" see https://x.org/a?b=1, acct 12345678') == [("url", 31, 50), ("secret", 9, 25), ("account", 57, 65)]
+    assert pii.redact("mail a@b.cd now", pii.spans("mail a@b.cd now")) == "mail [email] now"
+
+
+def test_chat(spark):
+    turns = defaultdict(list)
+    conversations = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").union(chat.adversary(spark))
+    for r in conversations.collect():
+        turns[r.conv_id].append((r.turn, r.role or "", r.text or ""))
+    got = {r.conv_id: r for r in queries.op9_chat_format(spark, SF).collect()}
+    assert set(got) == set(turns)
+    for c, ts in turns.items():
+        ts.sort()
+        said = "".join(x for _, role, x in ts if role == "assistant")
+        r = got[c]
+        assert (r.n_turns, r.turns_sha256) == (len(ts), hashlib.sha256("".join(f"{a}\n{x}\n" for _, a, x in ts).encode()).hexdigest())
+        assert (r.loss_chars, r.loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+        assert r.formatted_chars == sum(len(chat.render_turn(a, x)[0]) for _, a, x in ts)
+
+
+@pytest.mark.parametrize("text", ["", "\\", "<|", "<\\|", "\\<|im_end|>\n<|im_start|>", "a<", "|>", "\\n"])
+def test_template_is_reversible(text):
+    rendered, a, b = chat.render_turn("assistant", text)
+    assert chat.read_turn(rendered) == ("assistant", text) and chat.unescape(rendered[a:b]) == text
+    assert rendered.count("<|im_start|>") == 1 and rendered.count("<|im_end|>") == 1
+    assert chat.read_turn(chat.render_turn(text, "x")[0]) == (text, "x")
+
+
+def test_packing(spark, texts):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file()
+    tok = Tokenizer.from_file(path)
+    rows = queries.op10_packing(spark, SF).toPandas().sort_values(["sequence_id", "offset"])
+    ids = dict(zip(texts, (np.array([*e.ids, 1], "<u4") for e in tok.encode_batch(list(texts.values()), add_special_tokens=False)), strict=True))
+    for r in rows.itertuples():
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+    assert rows.groupby("doc_id").length.sum().to_dict() == {i: len(x) for i, x in ids.items()}
+    before = rows.groupby("sequence_id").length.cumsum() - rows.length
+    assert (before == rows.offset).all() and rows.groupby("sequence_id").length.sum().max() <= 2048
+    assert rows.sequence_id.nunique() == rows.sequence_id.max() + 1 and rows.length.sum() > 0.98 * 2048 * rows.sequence_id.nunique()
+
+
+def test_word_ids_equal_text_ids():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_file()
+    odd = ["Don't it's <|endoftext|> <|ENDOFTEXT|>", "a.b.,c 1,2. !!. é. É, Ⅷ, x́. ́a ΣΑΣ. σ |a| x|.", "\x1c a\x1cb \x85c\xa0d 　e", "", "İ. K.", "ﬁ. 'LL 's. o'd,", "中文. 日本,", "😀. 😀,a", "x" * 3000]
+    want = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(odd, add_special_tokens=False)]
+    assert packing.word_tokenizer(path)(odd) == want
+
+
+def test_shortest_pack_first_by_hand():
+    assert packing.shortest_pack_first({6: 2, 4: 2}, 10) == [(2, [6, 4])]
+    patterns = packing.shortest_pack_first({6: 2, 4: 1, 3: 3}, 10)
+    assert Counter(x for n, p in patterns for _ in range(n) for x in p) == {6: 2, 4: 1, 3: 3} and all(sum(p) <= 10 for _, p in patterns)
+
+
+def test_mixing_meets_its_margins(spark):
+    m = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet")).toPandas()
+    m["e"] = m.weight * m.n_tokens
+    assert m.weight.between(0, 1).all() and abs(m.e.sum() / m.n_tokens.sum() - mixing.BUDGET) < 1e-6
+    for k in mixing.MARGINS:
+        g = m.groupby(k)[["n_tokens", "e"]].sum()
+        want = mixing._feasible(mixing.tempered(g.n_tokens.to_numpy()) * mixing.BUDGET * m.n_tokens.sum(), g.n_tokens.to_numpy(float))
+        assert np.allclose(g.e, want, rtol=1e-6)
+    assert abs(m.n_tokens[m.kept].sum() / m.n_tokens.sum() - mixing.BUDGET) < 0.1
+
+
+def test_raking_finds_what_was_planted():
+    rng = np.random.default_rng(1)
+    codes = [np.repeat([0, 1, 2], 4), np.tile([0, 0, 1, 1], 3)]
+    true = np.array([0.2, 0.5, 0.7])[codes[0]] * np.array([0.9, 0.4])[codes[1]]
+    mass = rng.uniform(1, 9, 12)
+    w = mixing.rake(mass, codes, [np.bincount(c, mass * true) for c in codes])
+    assert np.allclose(w, true, atol=1e-6)
+
+
+def test_repeated_passages(spark, texts):
+    got = {r.doc_id: r for r in queries.op2_chunk_dedup(spark, SF).collect()}
+    where, short = defaultdict(set), defaultdict(set)
+    for i, t in texts.items():
+        w = t.split()
+        for k in range(len(w) - 11):
+            short[tuple(w[k : k + 12])].add(i)
+        for k in range(len(w) - 49):
+            where[tuple(w[k : k + 50])].add(i)
+    long = {i for v in where.values() if len(v) > 1 for i in v}
+    some = {i for v in short.values() if len(v) > 1 for i in v}
+    found = {i for i, r in got.items() if r.shared_chars}
+    assert long <= found <= some
+    for i, r in got.items():
+        assert len(chunk_dedup.without(texts[i], r.removed_spans)) == len(texts[i]) - r.removed_chars
+
+
+def test_chunks_resist_insertions():
+    text = " ".join(f"{i * 7919 % 1000}word{i}" for i in range(2000)).encode()
+
+    def cut(t):
+        ends = chunk_dedup.cuts([t])[0]
+        return {t[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)}
+
+    a, b = cut(text), cut(text[:5000] + b"inserted" + text[5000:])
+    assert len(a & b) > 0.95 * len(a) and all(len(c) <= chunk_dedup.MAX_BYTES for c in a)
+    assert chunk_dedup.cuts([text, text])[1] == chunk_dedup.cuts([text])[0]
+
+
+def test_toxicity_on_held_out_rows(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    out = queries.op1_toxicity(spark, "/root/testdata/sf0.1").join(labels, "doc_id").toPandas()
+    assert ((out.score >= 0) & (out.score <= 1)).all() and ((out.score >= 0.5) == (out.predicted == 1)).all()
+    assert (out.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in out.doc_id]).all()
+    held = out[out.held_out]
+    assert held.predicted[held.toxic == 1].mean() > 0.8 and held.predicted[held.toxic == 0].mean() < 0.02
+
+
+def test_insults_with_gaps():
+    rng = np.random.default_rng(3)
+    clean = [" ".join("".join(rng.choice(["an", "er", "th", "on", "re", "st", "he", "in"], 3)) for _ in range(40)) for _ in range(300)]
+    toxic = [t + " " + w + " " + t[:40] for t, w in zip(clean[:100], ["clownish", "numbskull", "dimwit", "blockhead"] * 25, strict=True)]
+    model = toxicity.fit_texts(toxic, clean[100:])
+    good, bad = model.score(["restan herthe"]), model.score(["x numbskull y", "x n u m b s k u l l y", "x num-bskull y", "x Blockhead! y", "x numbsk*ull y"])
+    assert good[0] < 0.5 and (bad > 0.5).all()
+    assert model.score([""])[0] == 0
