@@ -113,12 +113,15 @@ def features(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def kernel(strings: list[str], landmarks: list[str]) -> np.ndarray:
     row, code, weight = features(landmarks)
-    dense = np.zeros((SYMBOLS**3, len(landmarks)))
-    dense[code, row] = weight
+    known, place = np.unique(code, return_inverse=True)
+    dense = np.zeros((len(known) + 1, len(landmarks)))  # the last row: subsequences that no landmark has
+    dense[place, row] = weight
     out = np.empty((len(strings), len(landmarks)))
-    for i in range(0, len(strings), 1000):
-        row, code, weight = features(part := strings[i : i + 1000])
-        out[i : i + 1000] = np.add.reduceat(dense[code] * weight[:, None], np.searchsorted(row, np.arange(len(part))))
+    for i in range(0, len(strings), 500):
+        row, code, weight = features(part := strings[i : i + 500])
+        at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+        at = np.where(known[at] == code, at, len(known))
+        out[i : i + 500] = np.add.reduceat(dense[at] * weight[:, None], np.searchsorted(row, np.arange(len(part))))
     return out
 
 
@@ -272,10 +275,6 @@ def _foreign(bags: list[list[str]], clean: Counter, n_clean: int) -> Counter:
     return Counter({u: len(at) for u, at in sorted(where.items()) if len(at) >= least})
 
 
-def _bag(text: str) -> list[str]:
-    return sorted({u for w in words_of(text) for u in units(w)})
-
-
 def _machine(toxic: list[list[str]], clean: list[list[str]], rounds: int, seed: int) -> Model | None:
     """Alternate between training and letting every text name its worst word."""
     often = Counter(u for bag in clean for u in bag)
@@ -306,10 +305,17 @@ def fit_texts(toxic: list[str], clean: list[str], prior: float | None = None, ro
     A quarter of the texts, if there are enough, is kept from the machine for fitting the curve.
     """
     toxic, clean = sorted(set(toxic), key=_digest), sorted(set(clean), key=_digest)
+    made: dict[str, list[str]] = {}  # words recur: each is cut up once, and texts share its strings
+
+    def bag(text: str) -> list[str]:
+        words = set(words_of(text))
+        made.update((w, units(w)) for w in words if w not in made)
+        return sorted({u for w in words for u in made[w]})
+
     apart = 4 if len(toxic) >= 80 and len(clean) >= 80 else 0
     first = lambda xs: [x for i, x in enumerate(xs) if not apart or i % apart]
     curve = lambda xs: xs[::apart] if apart else xs
-    model = _machine([_bag(t) for t in first(toxic)], [_bag(t) for t in first(clean)], rounds, seed)
+    model = _machine([bag(t) for t in first(toxic)], [bag(t) for t in first(clean)], rounds, seed)
     if model is None:
         return Model(None)
     toxic, clean = curve(toxic), curve(clean)
