@@ -31,7 +31,9 @@ from skein.llm.common import cut, map_arrow, plain, small_batches
 CAPACITY = 2048
 END_ID = 1
 #: Words whose ids a worker remembers; beyond it, it starts afresh.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 1_200_000
+#: The full stop and the comma.
+STOPS = frozenset(b".,")
 
 
 #: Words of the lower letters a-z, ß-ö and ø-ÿ, in UTF-8: each is its own normal form.
@@ -58,14 +60,17 @@ def word_tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
     memo: dict[bytes, bytes] = {}
     model = tok.model
     pack_ids = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
+    stop = {c: pack_ids(tok.encode(chr(c), add_special_tokens=False).ids) for c in STOPS}
 
     def learn(words: set[bytes]) -> None:
         todo = set()
         for w in words:
-            base = w[:-1]
             # a stop after a letter or digit is a piece of its own
-            todo |= {base, w[-1:]} if w[-1:] in (b".", b",") and base[-1:].isalnum() else {w}
-        todo.difference_update(memo)
+            if w[-1] in STOPS and w[-2:-1].isalnum():
+                if w[:-1] not in memo:
+                    todo.add(w[:-1])
+            else:
+                todo.add(w)
         joined, alone = [], []
         for w in todo:
             if w.isalpha():
@@ -84,9 +89,8 @@ def word_tokenizer(path: str) -> Callable[[list[str]], list[bytes]]:
                 at = end + 4
         for w in alone:
             memo[w] = pack_ids(tok.encode(w.decode(), add_special_tokens=False).ids)
-        for w in words:
-            if w not in memo:
-                memo[w] = memo[w[:-1]] + memo[w[-1:]]
+        for w in words - todo:
+            memo[w] = memo[w[:-1]] + stop[w[-1]]
 
     def encode(texts: list[str]) -> list[bytes]:
         if len(memo) > MEMO_WORDS:
