@@ -101,7 +101,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, code_
     named = cut(identities(docs, id_col, text_col, block_bytes, code_bits), "identities")
     rows = named.select("doc_id", "h", "n_rows", "text_sha256", "n_blocks", F.col("name.c").alias("c"), F.col("name.k").alias("k"))
     groups = rows.groupBy("n_blocks", "c", "k").agg(F.min("doc_id").alias("keep_id"), F.sum("n_rows").alias("group_size"))
-    # a group's rows are small and many; as the join has no other work above it, Spark can split a large group
+    # written first, so that the join reads both sides by exchanges of its own and Spark can split a large group
+    groups = cut(groups, "groups")
     return rows.join(groups, ["n_blocks", "c", "k"])
 
 
