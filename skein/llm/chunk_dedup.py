@@ -118,6 +118,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Spans are start:stop in code points, comma-joined."""
     every = cut(chunks(docs, id_col, text_col), "chunks")
     seen = every.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")).filter("n > 1")
+    seen = cut(seen, "seen")  # so that the join's sides have exchanges of their own, and Spark can split a passage that many share
     copied = cut(
         every.join(seen, ["high", "low"]).select(
             "doc_id", "start", "stop", (F.col("first.doc_id") != F.col("last")).alias("shared"), ((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))).alias("later")
