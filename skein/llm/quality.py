@@ -24,6 +24,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_ROWS = 50
 SPREAD = 4
+#: The most groups whose fences are sent to every task (about 200 bytes each).
+MAX_SENT = 50_000
 #: For each ratio: may it be too low, and the slack in per mille beyond the fences.
 RATIOS = {"word_length": (True, 2000), "symbols": (False, 30), "dup_lines": (False, 500), "repeats": (False, 200)}
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -103,9 +105,10 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
             q1, q3 = F.get(k, F.lit(0)), F.get(k, F.lit(1))
             reach = SPREAD * (q3 - q1) + slack
             ends += [(q1 - reach if low else F.lit(-1).cast("long")).alias(f"{k}_from"), (q3 + reach).alias(f"{k}_to")]
-        return quartiles.select(*keys, F.struct(*ends, F.lit(level).alias("level")).alias(level))
+        table = cut(quartiles.select(*keys, F.struct(*ends, F.lit(level).alias("level")).alias(level)), "fences")
+        # few groups go to every task, so a large one costs no shuffle; many are merged
+        return F.broadcast(table) if table.count() <= MAX_SENT else table.hint("merge") if keys else table
 
-    # groups are few, so Spark sends these to the rows when it has seen their size
     met = rows.join(fences(["lang", "source"], "by_source"), ["lang", "source"], "left").join(fences(["lang"], "by_lang"), "lang", "left")
     met = met.join(fences([], "overall"), F.lit(True), "left").withColumn("f", F.coalesce("by_source", "by_lang", "overall"))
     fits = F.lit(True)
