@@ -66,9 +66,10 @@ def resolve(records: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame
     agrees = F.when(tags, F.col("etag") == F.col("found.etag")).when(dates, F.col("last_modified") == F.col("found.last_modified"))
     status = F.when(F.col("found").isNull(), "orphan").when(agrees.isNull(), "unchecked").when(agrees, "resolved").otherwise("mismatch")
     verdicts = looked.select("record_id", status.alias("status"), F.when(status.isin("resolved", "unchecked"), F.col("found.record_id")).alias("source_id")).distinct()
-    revisits = known.filter(~full).drop("payload").join(cut(verdicts, "revisits"), "record_id")
+    verdicts = cut(verdicts, "revisits")
+    revisits = known.filter(~full).drop("payload").join(verdicts.hint("merge"), "record_id")
     origin = known.filter(full).select(F.col("record_id").alias("source_id"), F.col("headers").alias("stored"), "payload").dropDuplicates(["source_id"])
-    merged = revisits.join(origin, "source_id", "left")
+    merged = revisits.join(origin.hint("merge"), "source_id", "left")
     renew = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, _: k.isin(*RENEWED))
     stored = F.map_filter(F.coalesce("stored", F.create_map().cast("map<string,string>")), lambda k, _: ~F.array_contains(F.map_keys(renew), k))
     merged = merged.withColumn("headers", F.when(F.col("source_id").isNotNull(), F.map_concat(stored, renew)).otherwise(F.col("headers")))
