@@ -236,3 +236,19 @@ def override_edges(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
     up = c.select(F.concat(F.lit("customer:"), (F.col("c_custkey") + 25).cast("string")).alias("source"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("target"), F.lit("extends").alias("kind"), F.lit(None).cast("int").alias("line"))
     return synth.overrides(Graph(nodes, g.edges.unionByName(up)), ("extends",)).select("source", "target")
+
+
+@register("task_context")
+def task_context(spark, sf_dir):
+    from skein.operators import context
+
+    return context.relevant(graph(spark, sf_dir), "where is the red widget part")
+
+
+@register("context_edges")
+def context_edges(spark, sf_dir):
+    from skein.operators import context
+
+    g = graph(spark, sf_dir)
+    _, edges = context.subgraph(g, context.relevant(g, "where is the red widget part"))
+    return edges.select("source", "target", "kind", "line")

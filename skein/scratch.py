@@ -22,5 +22,5 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table and read it back: the plan above ends there, for good."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
