@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions.ship import ship
+from skein.scratch import cut  # noqa: F401  the operators cut their lineage by it
+
 #: Runs of these are the only white space that the corpus contracts know.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -21,40 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = os.path.join(tempfile.gettempdir(), "skein-scratch")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def cut(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write df as a Parquet table in the shared scratch folder and read it back.
-
-    Lineage ends there: whatever reads the result survives the loss of any executor and never
-    repeats the work above. Columnar files are smaller than checkpoint()'s serialised rows.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Make ready for a Python stage: send the package to the workers, and bound the rows that one
     Arrow batch holds, as texts may be long and workers small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    context = spark.sparkContext
-    if not getattr(context, "_skein_sent", False):
-        package = Path(__file__).resolve().parent.parent
-        with zipfile.ZipFile(Path(tempfile.mkdtemp()) / "skein.zip", "w") as z:
-            for source in sorted(package.rglob("*.py")):
-                z.write(source, source.relative_to(package.parent))
-        context.addPyFile(z.filename)
-        context._skein_sent = True
+    ship(spark)
 
 
 def plain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
