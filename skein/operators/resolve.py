@@ -145,6 +145,66 @@ def via_import(refs: DataFrame, nodes: DataFrame, imports: DataFrame, rank: int
     return _out(_best(met, F.desc("n.is_exported")), F.lit(0.9), "import", rank)
 
 
+def jvm_import(refs: DataFrame, nodes: DataFrame, rank: int = 0) -> DataFrame:
+    """`pkg.Sym` as the qualified name `pkg::Sym`, 0.95; the closest, and of a pair the expected side."""
+    jvm = refs.filter((family(F.col("language")) == "jvm") & F.col("reference_name").contains(".")).withColumn("_q", F.regexp_replace("reference_name", r"\.([^.]+)$", "::$1"))
+    met = jvm.alias("r").join(nodes.filter(family(F.col("language")) == "jvm").alias("n"), F.col("r._q") == F.col("n.qualified_name"))
+    return _out(_best(met, shared_directories(F.col("r.file_path"), F.col("n.file_path")).desc()), F.lit(0.95), "import", rank)
+
+
+def own_member(refs: DataFrame, nodes: DataFrame, rank: int = 0) -> DataFrame:
+    """`this.x` and `self.x`: the member x of the type around the reference, 0.95; the first in the file."""
+    mine = refs.withColumn("_x", F.regexp_extract("reference_name", r"^(?:this|self)\.(\w+)$", 1)).filter("_x <> ''")
+    around = nodes.select(F.col("id").alias("from_node_id"), F.regexp_replace("qualified_name", "::[^:]+$", "").alias("_type"))
+    asked = mine.join(around, "from_node_id").withColumn("_q", F.concat_ws("::", "_type", "_x"))
+    met = asked.alias("r").join(nodes.alias("n"), (F.col("r.file_path") == F.col("n.file_path")) & (F.col("r._q") == F.col("n.qualified_name")))
+    return _out(_best(met), F.lit(0.95), "instance-method", rank)
+
+
+def inherited_member(refs: DataFrame, nodes: DataFrame, supertypes: DataFrame, depth: int = 5, rank: int = 4) -> DataFrame:
+    """`this.x` where x is a member of a supertype: supertypes(sub, super) by name, the nearest, 0.85."""
+    mine = refs.withColumn("_x", F.regexp_extract("reference_name", r"^(?:this|self|super)\.(\w+)$", 1)).filter("_x <> ''")
+    around = nodes.select(F.col("id").alias("from_node_id"), F.regexp_extract("qualified_name", r"([^:]+)::[^:]+$", 1).alias("_type"))
+    at = mine.join(around, "from_node_id").select(*refs.columns, "_x", F.col("_type").alias("_at"))
+    up, every = supertypes.toDF("_at", "_super").distinct(), None
+    for step in range(1, depth + 1):
+        at = at.join(up, "_at").select(*refs.columns, "_x", F.col("_super").alias("_at")).distinct()
+        here = at.withColumn("_step", F.lit(step))
+        every = here if every is None else every.unionByName(here)
+    members = nodes.withColumn("_owner", F.regexp_extract("qualified_name", r"([^:]+)::[^:]+$", 1))
+    met = every.alias("r").join(members.alias("n"), (F.col("r._at") == F.col("n._owner")) & (F.col("r._x") == F.col("n.name")))
+    met = met.filter(family(F.col("r.language")) == family(F.col("n.language")))
+    return _out(_best(met, F.col("r._step")), F.lit(0.85), "instance-method", rank)
+
+
+def chained_call(refs: DataFrame, nodes: DataFrame, returns: DataFrame, rank: int = 4) -> DataFrame:
+    """`A.f().m` and `A::f().m`: m on the type that f is declared to return; returns(id, type). 0.85."""
+    shape = r"^(?:(\w+)(?:\.|::))?(\w+)\(\)\.(\w+)$"
+    parts = refs.select("*", *(F.regexp_extract("reference_name", shape, i).alias(c) for i, c in ((1, "_owner"), (2, "_f"), (3, "_m")))).filter("_m <> ''")
+    made = nodes.join(returns, "id").select(F.col("name").alias("_f"), F.regexp_extract("qualified_name", r"([^:]+)::[^:]+$", 1).alias("_has"), "type").distinct()
+    typed = parts.join(made, "_f").filter((F.col("_owner") == "") | (F.col("_owner") == F.col("_has"))).select(*refs.columns, "_m", "type")
+    members = nodes.withColumn("_of", F.regexp_extract("qualified_name", r"([^:]+)::[^:]+$", 1))
+    met = typed.alias("r").join(members.alias("n"), (F.col("r.type") == F.col("n._of")) & (F.col("r._m") == F.col("n.name")))
+    return _out(_best(met, proximity(F.col("r.file_path"), F.col("n.file_path")).desc()), F.lit(0.85), "instance-method", rank)
+
+
+def word_overlap(refs: DataFrame, nodes: DataFrame, least: int = 2, rank: int = 5) -> DataFrame:
+    """receiver.method where the receiver shares words with the owner of such a method, 0.65."""
+    words = lambda c: F.filter(F.split(F.lower(F.regexp_replace(c, "(?<=[a-z0-9])(?=[A-Z])|_+", " ")), " +"), lambda w: F.length(w) > 1)
+    parts = refs.withColumn("_recv", F.regexp_extract("reference_name", r"^(\w+)\.(\w+)$", 1)).withColumn("_m", F.regexp_extract("reference_name", r"^(\w+)\.(\w+)$", 2)).filter("_m <> ''")
+    methods = nodes.filter("kind = 'method'").withColumn("_owner", F.regexp_extract("qualified_name", r"([^:]+)::[^:]+$", 1))
+    met = parts.alias("r").join(methods.alias("n"), F.col("r._m") == F.col("n.name")).withColumn("_same", F.size(F.array_intersect(words(F.col("r._recv")), words(F.col("n._owner")))))
+    return _out(_best(met.filter(F.col("_same") >= least), F.desc("_same")), F.lit(0.65), "instance-method", rank)
+
+
+def config_key(refs: DataFrame, nodes: DataFrame, rank: int = 6) -> DataFrame:
+    """Keys whatever their case, dashes and underscores, 0.9 where single."""
+    plain = lambda c: F.lower(F.regexp_replace(c, "[-_]", ""))
+    keys = nodes.filter(F.col("language").isin("properties", "yaml"))
+    met = refs.alias("r").join(keys.alias("n"), plain(F.col("r.reference_name")) == plain(F.col("n.name"))).withColumn("_n", F.count("*").over(Window.partitionBy("r.ref_id")))
+    return _out(met.filter("_n = 1"), F.lit(0.9), "qualified-name", rank)
+
+
 def prune(refs: DataFrame, nodes: DataFrame, builtins: DataFrame | None = None) -> DataFrame:
     """References that some name could satisfy: any segment is a known name; and no built-in of the language."""
     names = nodes.select(F.col("name").alias("_name")).distinct()
@@ -173,13 +233,18 @@ def choose(*strategies: DataFrame) -> DataFrame:
     return every.withColumn("_k", F.row_number().over(order)).filter("_k = 1").select("ref_id", "target_id", "confidence", "resolved_by")
 
 
-def resolve(refs: DataFrame, nodes: DataFrame, imports: DataFrame | None = None, builtins: DataFrame | None = None) -> DataFrame:
+def resolve(refs: DataFrame, nodes: DataFrame, imports: DataFrame | None = None, builtins: DataFrame | None = None, supertypes: DataFrame | None = None, returns: DataFrame | None = None) -> DataFrame:
+    """All strategies over all references; those that need imports, supertypes or return types run where these are given."""
     kept = prune(refs, nodes, builtins)
     values = kept.filter("reference_kind = 'function_ref'")
     plain = kept.filter("reference_kind <> 'function_ref'")
-    found = [f(plain, nodes) for f in (file_path, qualified, method_call, exact, fuzzy)] + [function_ref(values, nodes)]
+    found = [f(plain, nodes) for f in (jvm_import, own_member, file_path, qualified, method_call, word_overlap, exact, fuzzy)] + [function_ref(values, nodes)]
     if imports is not None:
         found.append(via_import(plain, nodes, imports))
+    if supertypes is not None:
+        found.append(inherited_member(plain, nodes, supertypes))
+    if returns is not None:
+        found.append(chained_call(refs, nodes, returns))
     return choose(*(admissible(f, refs, nodes) for f in found))
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import subprocess
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.sources.paths import MAX_FILE_BYTES, is_ignored, language, slashes
+from skein.sources.paths import IGNORED_DIRS, MAX_FILE_BYTES, is_ignored, language, slashes
 
 
 def scan(spark: SparkSession, root: str, ignore: tuple[str, ...] = ()) -> DataFrame:
@@ -48,3 +49,21 @@ def git_changes(spark: SparkSession, root: str) -> DataFrame:
 
 def within(files: DataFrame, paths: DataFrame) -> DataFrame:
     return files.join(paths, "path", "left_semi")
+
+
+def nested_repositories(root: str, depth: int = 4, entries: int = 2000) -> list[str]:
+    """Directories below root that are repositories of their own, looked for so deep and through so many entries."""
+    found, seen, level = [], 0, [Path(root)]
+    for _ in range(depth):
+        following = []
+        for folder in level:
+            for child in sorted(p for p in folder.iterdir() if p.is_dir()):
+                seen += 1
+                if seen > entries:
+                    return found
+                if (child / ".git").exists():
+                    found.append(str(child.relative_to(root)))
+                elif child.name not in IGNORED_DIRS:
+                    following.append(child)
+        level = following
+    return found
