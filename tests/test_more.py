@@ -68,3 +68,12 @@ def test_nested_repositories(tmp_path):
     (tmp_path / "a/b/.git").mkdir(parents=True)
     (tmp_path / "node_modules/c/.git").mkdir(parents=True)
     assert nested_repositories(str(tmp_path)) == ["a/b"]
+
+
+def test_pending_takes_the_closest(spark):
+    from skein.operators.pending import pending_edges, resolve_pending
+
+    nodes = spark.createDataFrame([("far", "function", "go", "x::go", "lib/z/a.ts", "typescript", 1, True), ("near", "function", "go", "y::go", "src/a/b.ts", "typescript", 1, True), ("type", "interface", "go", "z::go", "src/a/c.ts", "typescript", 1, True), ("whole", "function", "q", "m.q", "z.ts", "typescript", 1, True)], NODE)
+    refs = spark.createDataFrame([(1, "x", "go", "calls", 1, "src/a/m.ts", "typescript"), (2, "x", "go", "calls", 9, "src/a/m.ts", "typescript"), (3, "x", "m.q", "calls", 1, "src/a/m.ts", "typescript"), (4, "x", "none", "calls", 1, "src/a/m.ts", "typescript")], REF)
+    assert pairs(resolve_pending(refs, nodes), "ref_id", "target_id") == [(1, "near"), (2, "near"), (3, "whole")]
+    assert pairs(pending_edges(refs, nodes), "source", "target") == [("x", "near"), ("x", "whole")]
