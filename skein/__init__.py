@@ -1 +1 @@
-"""skein: code-knowledge-graph analytics on Spark DataFrames."""
+"""skein: source code as a graph of Spark DataFrames."""

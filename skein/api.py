@@ -20,19 +20,19 @@ from skein.sources import files as sources
 from skein.sources.paths import is_test
 
 
-class CodeGraph:
+class CodeIndex:
     """nodes, edges and files of a source tree."""
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, files: DataFrame):
         self.graph, self.files = Graph(nodes, edges), files
 
     @classmethod
-    def index(cls, spark: SparkSession, root: str, ignore: tuple[str, ...] = ()) -> CodeGraph:
+    def index(cls, spark: SparkSession, root: str, ignore: tuple[str, ...] = ()) -> CodeIndex:
         """Scan, extract, resolve: the graph of the files under root."""
         return cls.from_files(cut(sources.scan(spark, root, ignore), "files"))
 
     @classmethod
-    def from_files(cls, files: DataFrame) -> CodeGraph:
+    def from_files(cls, files: DataFrame) -> CodeIndex:
         """files: path, language, content, content_hash."""
         rows = cut(extract(files), "extracted")
         nodes, contains, refs = split(rows)
@@ -53,7 +53,7 @@ class CodeGraph:
         return cls(nodes, edges, files)
 
     def search(self, query: str, limit: int = 20) -> DataFrame:
-        return search.search(self.graph.nodes, query, max(1, min(limit, 100)))
+        return search.search(self.graph.nodes, query, max(1, min(limit, 100)), self.graph.index)
 
     def find(self, name: str) -> DataFrame:
         """Definitions of a name: exact, or of a qualified name by its end."""

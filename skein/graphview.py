@@ -74,11 +74,21 @@ class Graph:
 
     def __init__(self, nodes: DataFrame, edges: DataFrame):
         self.nodes, self.edges = nodes, edges
+        self._index = None
 
     @property
     def spark(self) -> SparkSession:
         return self.nodes.sparkSession
 
+    @property
+    def index(self):
+        """The inverted index, built when first asked for."""
+        if self._index is None:
+            from skein.operators.search import build_index
+
+            self._index = build_index(self.nodes)
+        return self._index
+
 
 _built: dict[tuple[int, str], Graph] = {}
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.model import KIND_BONUS, NODE_KINDS
+from skein.scratch import cut
 from skein.sources.paths import basename, is_test
 
 #: Weights of the indexed columns and parameters of the ranking function.
@@ -60,19 +61,44 @@ def _weighted(column: str) -> Column:
     return F.transform(tokens(F.col(column)), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
 
 
-def bm25(nodes: DataFrame, text: str, limit: int = 100) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """The inverted index of a node table: postings, and one row with the number of rows and their mean length."""
+
+    terms: DataFrame
+    size: DataFrame
+
+
+def sizes(nodes: DataFrame) -> DataFrame:
+    return nodes.agg(F.count("*").alias("n_docs"), F.avg(sum((F.size(tokens(F.col(c))) for c in WEIGHTS), F.lit(0))).alias("mean"))
+
+
+def build_index(nodes: DataFrame) -> Index:
+    """Written once, in the order of terms, so that a search by prefix skips the row groups of all others."""
+    terms = postings(nodes)
+    return Index(cut(terms.repartitionByRange("term").sortWithinPartitions("term"), "postings"), cut(sizes(nodes), "sizes"))
+
+
+def bm25(nodes: DataFrame, text: str, limit: int = 100, index: Index | None = None, within: DataFrame | None = None) -> DataFrame:
     """(id, score): rows with any word of text as a prefix of a term, best first. Each prefix is one
-    phrase: its frequency sums over terms, its document count is of rows with any such term."""
+    phrase: its frequency sums over terms, its document count is of rows with any such term. Counts are of
+    the whole table, also where only rows in within(id) are asked for."""
     words = sorted(set(re.findall(r"[^\W_]+", text.lower())))
-    index = postings(nodes)
-    size = nodes.agg(F.count("*").alias("n_docs"), F.avg(sum((F.size(tokens(F.col(c))) for c in WEIGHTS), F.lit(0))).alias("mean"))
+    index = index or Index(postings(nodes), sizes(nodes))
+    if not words:
+        return nodes.select("id", F.lit(0.0).alias("score")).limit(0)
+    some = F.lit(False)
+    for w in words:
+        some = some | F.col("term").startswith(w)
     phrase = F.explode(F.filter(F.array(*(F.when(F.col("term").startswith(w), F.lit(w)) for w in words)), lambda x: x.isNotNull()))
-    hits = index.withColumn("phrase", phrase).groupBy("id", "length", "phrase").agg(F.sum("tf").alias("tf"))
+    hits = index.terms.filter(some).withColumn("phrase", phrase).groupBy("id", "length", "phrase").agg(F.sum("tf").alias("tf"))
     found = hits.groupBy("phrase").agg(F.count("*").alias("n_hit"))
+    if within is not None:
+        hits = hits.join(within.select("id"), "id", "left_semi")
     idf = F.greatest(F.log((F.col("n_docs") - F.col("n_hit") + 0.5) / (F.col("n_hit") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     # one row of sizes and one of each phrase: both bounded by the query
-    scored = hits.join(F.broadcast(found), "phrase").crossJoin(F.broadcast(size)).groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = hits.join(F.broadcast(found), "phrase").crossJoin(F.broadcast(index.size)).groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
     return scored.orderBy(F.desc("score"), "id").limit(limit)
 
 
@@ -153,7 +179,7 @@ def path_relevance(path: Column, query: str) -> Column:
     return score - F.when(is_test(path), 15).otherwise(0)
 
 
-def search(nodes: DataFrame, raw: str, limit: int = 20) -> DataFrame:
+def search(nodes: DataFrame, raw: str, limit: int = 20, index: Index | None = None) -> DataFrame:
     """(id, name, kind, file_path, score): fields filter first; then BM25, substrings and, failing both,
     fuzzy names; exact names come in at the top; bonuses for kind, name and path; best first."""
     q = parse(raw)
@@ -168,7 +194,7 @@ def search(nodes: DataFrame, raw: str, limit: int = 20) -> DataFrame:
         rows = rows.filter(F.lower("name").contains(n.lower()))
     if not q.text:
         return rows.select("id", "name", "kind", "file_path", F.lit(1.0).alias("score")).orderBy("name", "id").limit(limit)
-    found = bm25(rows, q.text, max(5 * limit, 100))
+    found = cut(bm25(nodes, q.text, max(5 * limit, 100), index, None if rows is nodes else rows), "found")
     if found.isEmpty() and len(q.text) >= 2:
         found = like(rows, q.text, max(5 * limit, 100)).select("id", "score")
     if found.isEmpty() and len(q.text) >= 3:

@@ -67,7 +67,8 @@ FROM h JOIN f USING (phrase) JOIN l USING (id), s GROUP BY id ORDER BY score DES
 
 @register("bm25_search", _sql(BM25_SQL))
 def bm25_search(spark, sf_dir):
-    return search.bm25(graph(spark, sf_dir).nodes, "red wid promo", 200)
+    g = graph(spark, sf_dir)
+    return search.bm25(g.nodes, "red wid promo", 200, g.index)
 
 
 FILTER_SQL = "SELECT id, name, kind, file_path, 1.0::DOUBLE AS score FROM nodes WHERE kind = 'class' AND language = 'typescript' AND contains(lower(file_path), 'asia') ORDER BY name, id LIMIT 50"
@@ -94,7 +95,8 @@ def name_and_kind_bonus(spark, sf_dir):
 
 @register("ranked_search")
 def ranked_search(spark, sf_dir):
-    return search.search(graph(spark, sf_dir).nodes, "red widget kind:struct", 25)
+    g = graph(spark, sf_dir)
+    return search.search(g.nodes, "red widget kind:struct", 25, g.index)
 
 
 # resolution: every part refers to something by name

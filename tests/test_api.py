@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from skein.api import CodeGraph
+from skein.api import CodeIndex
 from skein.operators import imports, terms
 
 FILES = {
@@ -21,7 +21,7 @@ FILES = {
 @pytest.fixture(scope="module")
 def code(spark):
     rows = [(p, "python", t) for p, t in FILES.items()]
-    return CodeGraph.from_files(spark.createDataFrame(rows, "path string, language string, content string").withColumn("content_hash", F.sha2("content", 256)))
+    return CodeIndex.from_files(spark.createDataFrame(rows, "path string, language string, content string").withColumn("content_hash", F.sha2("content", 256)))
 
 
 def names(df):
