@@ -4,12 +4,18 @@ A gear hash rolls over the bytes of each text; a chunk ends where its top bits a
 depend on the last 32 bytes alone and fall into place again soon after an insertion. Chunks have at
 least MIN_BYTES and at most MAX_BYTES bytes, and end between characters; where no hash ends one in
 time, the highest does, so that even a text of one repeated word is cut alike everywhere. Chunks with the same 128-bit
-digest are copies; the first, by (doc_id, position), stays. A passage counts as repeated if a run of
-adjacent copied chunks has at least RUN_CHARS characters, so a short common line leaves a text alone
-while a passage of fifty words always covers enough whole chunks.
+digest are copies; n_chunks and n_copied count them.
 
-Digests are counted with map-side combining, and only chunks whose digest occurs again are looked at
-further: runs are found by window functions over the copied chunks of one document.
+Passages are found exactly, up to 128-bit hashes: a character is in a repeated passage if a stretch of
+RUN_CHARS characters around it occurs elsewhere, wherever chunks end. Each such stretch, a gram, is named by
+the lowest hash among its substrings of SEED characters, the last of equals: that is its seed, and equal grams have
+equal seeds at equal places. Adjacent grams with one seed make a unit. Units whose seed occurs once hold no
+repeated gram; equal units repeat all of theirs; only where a seed has unlike units are single grams
+counted, once for each unlike unit, and only those whose core, what all grams with the seed at about
+their place hold, occurs in another of these units. The first gram, by (doc_id, position), stays; later ones are
+removed, so that of a stretch that repeats with a period below its length one period stays.
+
+Digests, seeds, units and grams are counted with map-side combining, and no pairs of occurrences are made.
 
 Defined results: null and empty texts have no chunks and no spans; rows with a null id are left out;
 rows that repeat an id are read as one document's texts, whose copies count as copies; an empty table
@@ -30,6 +36,14 @@ MIN_BYTES, MAX_BYTES, TOP_BITS = 24, 256, 5
 #: The least length of a repeated passage, in characters: about twenty words.
 RUN_CHARS = 100
 REACH = 32
+SEED = 32
+#: Places of the seed that share a core, of which 16 bits are kept.
+CORES = 4
+#: Characters that are hashed at once, unless one text has more.
+BLOCK = 200_000
+SPREAD = np.random.default_rng(2025).integers(0, 2**64, (2, 0x110000), dtype=np.uint64)
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+PLACE = np.uint64(2**31 - 1)
 GEAR = np.append(np.random.default_rng(2024).integers(0, 2**32, 256, dtype=np.uint32), np.uint32(0))
 
 
@@ -101,35 +115,167 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return map_arrow(plain(docs, id_col, text_col).filter("doc_id is not null"), run, "doc_id long, pos int, start int, stop int, high long, low long")
 
 
-def _runs(copied: DataFrame, name: str, least: int) -> DataFrame:
-    """doc_id, name_spans, name_chars: runs of adjacent copied chunks with at least `least` characters."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+class _Block:
+    """Hashes of all stretches of some texts, and their units: text, lo (where its first gram starts),
+    grams (how many), ahead (of the first, the characters before the seed), seed, high, low."""
+
+    def __init__(self, texts: list[str], run_chars: int):
+        lengths = np.array([len(t) for t in texts])
+        symbols = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.run_chars, self.ends = run_chars, np.cumsum(lengths)
+        self.base = self.ends - lengths
+        self.sums, self.back = [], []
+        for spread, base in zip(SPREAD, BASES, strict=True):
+            up, down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(symbols), b, np.uint64)])) for b in (base, pow(base, -1, 2**64)))
+            self.sums.append(np.concatenate([[np.uint64(0)], np.cumsum(spread[symbols] * up[:-1])]))
+            self.back.append(down)
+        seeds = self.stretch(0, np.arange(max(len(symbols) - SEED + 1, 0)), SEED)
+        low = (seeds & ~PLACE) | (PLACE - np.arange(len(seeds), dtype=np.uint64))
+        step, width = 1, run_chars - SEED + 1
+        while 2 * step <= width:
+            low = np.minimum(low[:-step], low[step:])
+            step *= 2
+        if step < width:
+            low = np.minimum(low[: step - width], low[width - step :])
+        spans = [np.arange(b, e - run_chars + 1) for b, e in zip(self.base, self.ends, strict=True) if e - b >= run_chars]
+        at = np.concatenate([np.zeros(0, np.int64), *spans])
+        mark = (PLACE - (low[at] & PLACE)).astype(np.int64) if len(at) else at
+        first = np.flatnonzero((np.diff(mark, prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1))
+        self.grams = np.diff(np.append(first, len(at)))
+        self.at = at[first]
+        self.text = np.searchsorted(self.ends, self.at, "right")
+        self.lo = self.at - self.base[self.text]
+        self.seed = seeds[mark[first]].view(np.int64)
+        self.ahead = mark[first] - self.at
+        shape = (self.ahead * 2**32 + self.grams).astype(np.uint64)
+        self.high, self.low = (_mixed(self.stretch(k, self.at, self.grams + run_chars - 1) + shape * np.uint64(BASES[1 - k])).view(np.int64) for k in (0, 1))
+
+    def stretch(self, k: int, at: np.ndarray, length) -> np.ndarray:
+        return _mixed((self.sums[k][at + length] - self.sums[k][at]) * self.back[k][at])
+
+    def cores(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each unit: bits of the cores, and a mask of the places that its grams have."""
+        spare = self.run_chars - SEED
+        wide = spare // CORES + 1
+        bits, mask = np.zeros(len(self.at), np.uint64), np.zeros(len(self.at), np.int8)
+        for c in range(CORES):
+            least, most = c * wide, min((c + 1) * wide - 1, spare)
+            u = np.flatnonzero((self.ahead >= least) & (self.ahead - self.grams + 1 <= most))
+            core = self.stretch(0, self.at[u] + self.ahead[u] - least, least + SEED + spare - most)
+            bits[u] |= (core >> np.uint64(48)) << np.uint64(16 * c)
+            mask[u] |= 1 << c
+        return bits.view(np.int64), mask
+
+
+def _blocks(texts: list[str], run_chars: int):
+    """(number of the first text, _Block) for texts in turn."""
+    i = 0
+    while i < len(texts):
+        j, n = i, 0
+        while j < len(texts) and (j == i or n + len(texts[j]) <= BLOCK):
+            n += len(texts[j])
+            j += 1
+        yield i, _Block(texts[i:j], run_chars)
+        i = j
+
+
+def units(docs: DataFrame, run_chars: int) -> DataFrame:
+    """doc_id, lo, grams, seed, high, low, cores, places for each unit of docs(doc_id, text)."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        ids, parts = b.column("doc_id").to_numpy(zero_copy_only=False), []
+        for i, x in _blocks(b.column("text").to_pylist(), run_chars):
+            parts.append((ids[i + x.text], x.lo.astype(np.int32), x.grams.astype(np.int32), x.seed, x.high, x.low, *x.cores()))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["doc_id", "lo", "grams", "seed", "high", "low", "cores", "places"])
+
+    return map_arrow(docs, run, "doc_id long, lo int, grams int, seed long, high long, low long, cores long, places byte")
+
+
+def _grams(docs: DataFrame, run_chars: int) -> DataFrame:
+    """high, low (the unit), several, doc_id, at (offset in the unit), start, g_high, g_low for each gram
+    of the units that docs(doc_id, text, wanted) name, with the seed at the places that these name."""
+    wide = (run_chars - SEED) // CORES + 1
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        ids, wanted, parts = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("wanted").to_pylist(), []
+        for i, x in _blocks(b.column("text").to_pylist(), run_chars):
+            mine = [{(w["high"], w["low"], w["lo"]): (w["several"], w["places"]) for w in wanted[i + k]} for k in range(len(x.base))]
+            several = [mine[t].get(key) for t, *key in zip(x.text.tolist(), x.high.tolist(), x.low.tolist(), x.lo.tolist(), strict=True) for key in [tuple(key)]]
+            u = np.flatnonzero([s is not None for s in several])
+            n = x.grams[u]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            flags, places = (np.repeat(np.array([several[k][f] for k in u.tolist()], np.int64), n) for f in (0, 1))
+            u = np.repeat(u, n)
+            open_ = places >> (x.ahead[u] - at) // wide & 1 > 0
+            u, at, flags = u[open_], at[open_], flags[open_] > 0
+            where = x.at[u] + at
+            found = [x.stretch(k, where, run_chars).view(np.int64) for k in (0, 1)]
+            parts.append((x.high[u], x.low[u], flags, ids[i + x.text[u]], at.astype(np.int32), (x.lo[u] + at).astype(np.int32), *found))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["high", "low", "several", "doc_id", "at", "start", "g_high", "g_low"])
+
+    return map_arrow(docs, run, "high long, low long, several boolean, doc_id long, at int, start int, g_high long, g_low long")
+
+
+def _spans(docs: DataFrame, run_chars: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, start, stop) of stretches that other documents have too, and of all but the first."""
+    every = cut(units(docs, run_chars), "units")
+    seeds = cut(every.groupBy("seed").count().filter("count > 1").select("seed"), "seeds")
+    met = cut(every.join(seeds, "seed", "left_semi"), "met")
+    kinds = met.groupBy("high", "low", "seed").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "lo")).alias("first"), F.max("doc_id").alias("last"), F.max("cores").alias("cores"), F.max("places").alias("places"))
+    kinds = cut(kinds.withColumn("several", F.col("first.doc_id") != F.col("last")), "kinds")
+    again = cut(kinds.filter("n > 1").select("high", "low", "several", "first"), "again")
+    later = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("lo") != F.col("first.lo"))
+    whole = cut(met.join(again, ["high", "low"]).select("high", "low", "doc_id", "lo", "grams", "several", later.alias("later")).distinct(), "whole")
+    # unlike units of one seed: their grams are counted
+    mixed = cut(kinds.groupBy("seed").count().filter("count > 1").select("seed"), "mixed")
+    place = F.explode(F.expr(f"filter(sequence(0, {CORES - 1}), c -> (places & shiftleft(1, c)) > 0)")).alias("place")
+    unlike = kinds.join(mixed, "seed", "left_semi").select("seed", "high", "low", "several", F.col("first.doc_id").alias("doc_id"), F.col("first.lo").alias("lo"), "cores", place)
+    unlike = cut(unlike.withColumn("core", F.expr("shiftright(cores, 16 * place) & 65535")).drop("cores"), "unlike")
+    cores = cut(unlike.groupBy("seed", "place", "core").count().filter("count > 1").drop("count"), "cores")
+    unlike = unlike.join(cores, ["seed", "place", "core"], "left_semi").groupBy("doc_id", "lo", "high", "low", "several").agg(F.sum(F.expr("shiftleft(1, place)")).cast("int").alias("places"))
+    wanted = cut(unlike.groupBy("doc_id").agg(F.collect_list(F.struct("high", "low", "lo", "several", "places")).alias("wanted")), "wanted")
+    grams = cut(_grams(docs.join(wanted, "doc_id").select("doc_id", "text", "wanted"), run_chars), "grams")
+    seen = grams.groupBy("g_high", "g_low").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"), F.max("several").alias("any"))
+    seen = cut(seen.filter("n > 1").select("g_high", "g_low", "first", (F.col("any") | (F.col("first.doc_id") != F.col("last"))).alias("shared")), "seen-grams")
+    later = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))
+    single = cut(grams.join(seen, ["g_high", "g_low"]).select("high", "low", "doc_id", "at", "start", "several", "shared", later.alias("later")).distinct(), "single")
+    # a unit that one document alone repeats shares the grams that its first occurrence shares
+    within = whole.filter("later AND NOT several").select("high", "low", "lo").join(single.filter("shared").drop("start"), ["high", "low"])
+    span = lambda d, start, n: d.select("doc_id", F.expr(start).alias("start"), F.expr(f"{start} + {n} + {run_chars - 1}").alias("stop"))
+    shared = span(whole.filter("several"), "lo", "grams").unionByName(span(single.filter("shared"), "start", "1")).unionByName(span(within, "lo + at", "1"))
+    removed = span(whole.filter("later"), "lo", "grams").unionByName(span(single.filter("later"), "start", "1"))
+    return shared, removed
+
+
+def _runs(spans: DataFrame, name: str) -> DataFrame:
+    """doc_id, name_spans, name_chars: spans that touch or overlap made one."""
     w = Window.partitionBy("doc_id").orderBy("start", "stop")
-    opened = copied.withColumn("opens", (F.coalesce(F.lag("stop").over(w), F.lit(-1)) < F.col("start")).cast("int"))
+    before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opened = spans.withColumn("opens", (F.coalesce(before, F.lit(-1)) < F.col("start")).cast("int"))
     run = opened.withColumn("run", F.sum("opens").over(w)).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    long = run.filter(F.col("stop") - F.col("start") >= least)
-    spans = F.array_sort(F.collect_list(F.struct("start", "stop")))
-    text = F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"], s["stop"])), ",")
-    return long.groupBy("doc_id").agg(text.alias(f"{name}_spans"), F.sum(F.col("stop") - F.col("start")).cast("long").alias(f"{name}_chars"))
+    found = F.array_sort(F.collect_list(F.struct("start", "stop")))
+    text = F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["start"], s["stop"])), ",")
+    return run.groupBy("doc_id").agg(text.alias(f"{name}_spans"), F.sum(F.col("stop") - F.col("start")).cast("long").alias(f"{name}_chars"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_chars: int = RUN_CHARS) -> DataFrame:
     """One row for each document: doc_id, n_chunks, n_copied, shared_spans, shared_chars (passages that
     other documents have too), removed_spans, removed_chars (all but the first occurrence, anywhere).
-    Spans are start:stop in code points, comma-joined."""
+    Spans are start:stop in code points, comma-joined; run_chars is SEED at least."""
+    if run_chars < SEED:
+        raise ValueError(f"run_chars must be at least {SEED}")
     every = cut(chunks(docs, id_col, text_col), "chunks")
-    seen = every.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")).filter("n > 1")
-    seen = cut(seen, "seen")  # so that the join's sides have exchanges of their own, and Spark can split a passage that many share
-    copied = cut(
-        every.join(seen, ["high", "low"]).select(
-            "doc_id", "start", "stop", (F.col("first.doc_id") != F.col("last")).alias("shared"), ((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))).alias("later")
-        ),
-        "copied",
-    )
-    shared = _runs(copied.filter("shared").distinct(), "shared", run_chars)
-    removed = _runs(copied.filter("later").distinct(), "removed", run_chars)
-    ids = plain(docs, id_col, text_col).select("doc_id").filter("doc_id is not null").distinct()
+    seen = cut(every.groupBy("high", "low").count().filter("count > 1").select("high", "low"), "seen")  # so that the join's sides have exchanges of their own, and Spark can split a passage that many share
     counts = every.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
-    copies = copied.groupBy("doc_id").agg(F.count("*").alias("n_copied"))
+    copies = every.join(seen, ["high", "low"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_copied"))
+    texts = plain(docs, id_col, text_col).filter("doc_id is not null")
+    shared, removed = (_runs(s, k) for s, k in zip(_spans(texts, run_chars), ("shared", "removed"), strict=True))
+    ids = texts.select("doc_id").distinct()
     out = ids.join(counts, "doc_id", "left").join(copies, "doc_id", "left").join(shared, "doc_id", "left").join(removed, "doc_id", "left")
     return out.select(
         "doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_chunks", "n_copied")), *(F.coalesce(f"{k}_{c}", F.lit(z)).alias(f"{k}_{c}") for k in ("shared", "removed") for c, z in (("spans", ""), ("chars", 0)))

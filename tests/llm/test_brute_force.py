@@ -182,6 +182,34 @@ def test_repeated_passages(spark, texts):
         assert len(chunk_dedup.without(texts[i], r.removed_spans)) == len(texts[i]) - r.removed_chars
 
 
+def test_passages_of_51_words_in_unlike_contexts(spark):
+    """Single passages of short and of long words, held against all stretches of RUN_CHARS characters."""
+    rng, docs = np.random.default_rng(5), {}
+    short = "a I of to in is it on at by we he as or an be so no up my the and for was not you all".split()
+    for k in range(300):
+        word = (lambda: short[rng.integers(len(short))]) if k % 2 else (lambda: "".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))))
+        passage = " ".join(word() for _ in range(51))
+        for side in (0, 1):
+            around = ["".join(map(chr, rng.integers(0x430, 0x450, rng.integers(5, 200)))) for _ in range(2)]
+            docs[2 * k + side] = f"{around[0]} {passage} {around[1]}"
+    docs |= {900: docs[0][:150] + docs[2][:150] + docs[0][:150], 901: "ab " * 200, 902: "x" * 99, 903: "x" * 99, 904: docs[5], 905: docs[5][:130]}
+    n, where = chunk_dedup.RUN_CHARS, defaultdict(list)
+    for i, t in sorted(docs.items()):
+        for k in range(len(t) - n + 1):
+            where[t[k : k + n]].append((i, k))
+    shared, later = defaultdict(set), defaultdict(set)
+    for at in where.values():
+        for i, k in at:
+            if len({d for d, _ in at}) > 1:
+                shared[i].update(range(k, k + n))
+            if (i, k) != at[0]:
+                later[i].update(range(k, k + n))
+    named = lambda spans: {x for s in spans.split(",") if s for x in range(*map(int, s.split(":")))}
+    got = chunk_dedup.repeated_passages(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    assert all(shared[i] for i in range(600)) and {r.doc_id for r in got} == set(docs)
+    assert all(named(r.shared_spans) == shared[r.doc_id] and named(r.removed_spans) == later[r.doc_id] for r in got)
+
+
 def test_chunks_resist_insertions():
     text = " ".join(f"{i * 7919 % 1000}word{i}" for i in range(2000)).encode()
 
