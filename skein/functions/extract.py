@@ -23,6 +23,7 @@ SCHEMA = (
     "is_exported boolean, source string, target string, reference_name string, reference_kind string, line int"
 )
 FIELDS = [f.split()[0] for f in SCHEMA.split(", ")]
+#: Above these, the line rules take the place of a parser.
 MAX_BYTES, MAX_LINES = 128 * 1024, 5000
 
 
@@ -133,7 +134,7 @@ CALL = re.compile(r"(?P<new>\bnew\s+)?(?P<name>[A-Za-z_$][\w$]*(?:(?:\.|::|->)[A
 
 
 def _by_lines(rows: _Rows, text: str, rules: Language, root: tuple[str, str]) -> None:
-    code, bare = blank(text, rules, strings=False).split("\n"), blank(text, rules).split("\n")
+    lines, code, bare = text.split("\n"), blank(text, rules, strings=False).split("\n"), blank(text, rules).split("\n")
     declares, imports = rules.compiled(), [re.compile(p) for p in rules.imports]
     # scope entries: (id, name, kind, depth or indent at which the body was opened)
     scope: list[tuple[str, str, str, int]] = [(*root, "file", -1)]
@@ -164,7 +165,7 @@ def _by_lines(rows: _Rows, text: str, rules: Language, root: tuple[str, str]) ->
             else:
                 if groups.get("owner"):
                     chain = [*chain[:1], (owners.get(groups["owner"], root[0]), groups["owner"])]
-                nid = rows.node(kind, name, chain, i, _end(bare, i, rules), line.strip()[:200], bool(re.search(rules.exported, name if rules.exported.startswith(("^", r"\b[")) else plain)), _doc(text, i))
+                nid = rows.node(kind, name, chain, i, _end(bare, i, rules), line.strip()[:200], bool(re.search(rules.exported, name if rules.exported.startswith(("^", r"\b[")) else plain)), _doc(lines, i))
                 owners.setdefault(name, nid)
                 if groups.get("bases"):
                     _bases(rows, nid, kind, groups["bases"], i)
@@ -210,9 +211,9 @@ def _end(lines: list[str], start: int, rules: Language) -> int:
     return last
 
 
-def _doc(text: str, line: int) -> str | None:
+def _doc(lines: list[str], line: int) -> str | None:
     """The comment block that ends right above a line."""
-    lines, out = text.split("\n"), []
+    out = []
     for s in reversed(lines[max(0, line - 30) : line - 1]):
         s = s.strip()
         if not s.startswith(("//", "#", "*", "/*", "--", "///")):
@@ -223,14 +224,15 @@ def _doc(text: str, line: int) -> str | None:
 
 def extract_file(path: str, language: str, text: str) -> list[dict]:
     """Rows of one file: always its file node, and what its language's rules find; broken or oversized
-    sources fall back to line rules or to the file node alone."""
+    Python falls back from the parser to line rules."""
     rows = _Rows(path, language)
     name = path.rsplit("/", 1)[-1]
     root = (rows.node("file", name, [], 1, text.count("\n") + 1, exported=False), "")
     rules = LANGUAGES.get(language)
-    if rules is None or len(text.encode()) > MAX_BYTES or text.count("\n") >= MAX_LINES:
+    if rules is None:
         return rows.out
-    if language == "python":
+    n_lines = text.count("\n") + (text[-1:] not in ("", "\n"))
+    if language == "python" and len(text.encode()) <= MAX_BYTES and n_lines <= MAX_LINES:
         mark = len(rows.out)
         try:
             _python(rows, text, root)

@@ -81,6 +81,16 @@ def test_broken_python_falls_back(spark):
     assert [r["name"] for r in out if r["row"] == "node"] == ["f.py", "f", "g"]
 
 
+@pytest.mark.parametrize("lang,one", [("typescript", "function f%d() { g%d(); }\n\n"), ("python", "def f%d():\n    g%d()\n"), ("rust", "fn f%d() { g%d(); } // " + "x" * 50 + "\n")])
+def test_large_files_take_line_rules(lang, one):
+    text = "".join(one % (i, i) for i in range(3000))
+    assert text.count("\n") >= 6000 or len(text) > 128 * 1024
+    out = extract_file("f", lang, text)
+    assert [r["name"] for r in out if r["row"] == "node"] == ["f", *(f"f{i}" for i in range(3000))]
+    assert [r["target"] for r in out if r["row"] == "edge"] == [r["id"] for r in out if r["row"] == "node"][1:]
+    assert [r["reference_name"] for r in out if r["row"] == "ref"] == [f"g{i}" for i in range(3000)]
+
+
 def test_extract_and_resolve(spark):
     files = spark.createDataFrame([("a.py", "python", "def helper():\n    pass\n"), ("b.py", "python", "def main():\n    helper()\n    missing()\n"), ("c.txt", "unknown", None)], "path string, language string, content string")
     nodes, edges, refs = split(extract(files))
