@@ -113,8 +113,10 @@ class CodeIndex:
     def dead_code(self) -> DataFrame:
         return structure.dead_code(self.graph)
 
-    def cycles(self, length: int = 4) -> DataFrame:
-        return traversal.simple_cycles(structure.file_graph(self.graph), length)
+    def cycles(self, length: int | None = None) -> DataFrame:
+        """(id, component): files on cycles of any length. With length: (cycle, length), the simple cycles up to it."""
+        files = structure.file_graph(self.graph)
+        return traversal.cyclic_groups(files) if length is None else traversal.simple_cycles(files, length)
 
     def status(self) -> DataFrame:
         return stats.status_counts(self.graph, self.files)

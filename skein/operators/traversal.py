@@ -156,6 +156,48 @@ def simple_cycles(edges: DataFrame, max_length: int = 4) -> DataFrame:
     return found.select(F.array_join("path", ">").alias("cycle"), F.size("path").alias("length"))
 
 
+def cyclic_groups(edges: DataFrame) -> DataFrame:
+    """(id, component): nodes of (source, target) that lie on a cycle of any length; those of one strongly
+    connected component have its smallest node as component.
+
+    Each round, the smallest node that reaches a node colours it; whoever reaches the node of its own
+    colour within that colour makes a component with it, and leaves. Nodes without steps in or out leave first.
+    """
+    own = edges.filter("source = target").select(F.col("source").alias("id")).distinct().withColumn("component", F.col("id"))
+    steps = cut(edges.filter("source <> target").select(F.col("source").alias("a"), F.col("target").alias("b")).distinct(), "steps")
+    found, left = None, steps.count()
+    while left:
+        while True:  # trim to a core where every node has steps both ways
+            kept = steps.join(steps.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(steps.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
+            steps, before = cut(kept.select("a", "b"), "steps"), left
+            left = steps.count()
+            if left == before:
+                break
+        if not left:
+            break
+        colour = cut(steps.select(F.col("a").alias("id")).distinct().withColumn("colour", F.col("id")), "colours")
+        fresh = colour
+        while not fresh.isEmpty():
+            near = fresh.join(steps, F.col("id") == F.col("a")).groupBy(F.col("b").alias("id")).agg(F.min("colour").alias("lower"))
+            grown = cut(colour.join(near, "id", "left").select("id", F.least("colour", "lower").alias("colour"), (F.col("lower") < F.col("colour")).alias("changed")), "colours")
+            colour, fresh = grown.select("id", "colour"), grown.filter("changed").select("id", "colour")
+        inner = steps.join(colour.select(F.col("id").alias("a"), F.col("colour").alias("ca")), "a").join(colour.select(F.col("id").alias("b"), F.col("colour").alias("cb")), "b")
+        inner = cut(inner.filter("ca = cb").select(F.col("b").alias("a"), F.col("a").alias("b")), "inner")  # against the steps
+        members = colour.join(closure(inner, colour.filter("id = colour").select("id")).select("id"), "id", "left_semi")
+        members = cut(members.select("id", F.col("colour").alias("component")), "members")
+        found = members if found is None else found.unionByName(members)
+        gone = members.select("id")
+        steps = steps.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b")
+        steps = cut(steps, "steps")
+        left = steps.count()
+    if found is None:
+        return own
+    # a component of one node is on a cycle only by a step to itself
+    many = found.groupBy("component").count().filter("count > 1").select("component")
+    found = found.join(many, "component", "left_semi").select("id", "component")
+    return found.unionByName(own.join(found.select("id"), "id", "left_anti"))
+
+
 def call_chains(steps: DataFrame, starts: DataFrame, least: int = 3, most: int = 6) -> DataFrame:
     """(chain, length): simple paths of least..most nodes from starts(id)."""
     paths = starts.select(F.array("id").alias("path"), F.col("id").alias("last"))

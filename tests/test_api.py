@@ -93,3 +93,10 @@ def test_exports(spark):
     again = spark.createDataFrame([("a.ts", "*", "*", "b.ts"), ("a.ts", "go", "start", "b.ts")], "path string, local string, exported string, to_path string")
     asks = spark.createDataFrame([(1, "a.ts", "go"), (2, "a.ts", "start"), (3, "c.ts", "default"), (4, "a.ts", "none")], "ref_id long, path string, name string")
     assert sorted(tuple(r) for r in imports.follow_exports(asks, nodes, again).collect()) == [(1, "f"), (2, "f"), (3, "g")]
+
+
+def test_a_ring_of_five_files_is_a_cycle(spark):
+    rows = [(f"r{i}.py", "python", f"def f{i}():\n    f{(i + 1) % 5}()\n") for i in range(5)]
+    files = spark.createDataFrame(rows, "path string, language string, content string").withColumn("content_hash", F.sha2("content", 256))
+    found = CodeIndex.from_files(files).cycles().collect()
+    assert sorted(tuple(r) for r in found) == [(f"r{i}.py", "r0.py") for i in range(5)]

@@ -74,6 +74,14 @@ def test_cycles(spark):
     assert traversal.simple_cycles(make(spark, CHAIN).edges, 4).count() == 0
 
 
+def test_cycles_of_any_length(spark):
+    ring = [(f"r{i}", f"r{(i + 1) % 5}", "calls") for i in range(5)]
+    more = [("r2", "m", "calls"), ("m", "a", "calls"), ("a", "z", "calls"), ("z", "a", "calls"), ("z", "end", "calls"), ("self", "self", "calls"), ("r1", "r1", "calls"), ("in", "r4", "calls"), ("a", "o", "calls"), ("o", "p", "calls"), ("p", "o", "calls")]
+    want = [("a", "a"), ("o", "o"), ("p", "o"), *((f"r{i}", "r0") for i in range(5)), ("self", "self"), ("z", "a")]
+    assert pairs(traversal.cyclic_groups(make(spark, ring + more).edges), "id", "component") == sorted(want)
+    assert traversal.cyclic_groups(make(spark, CHAIN).edges).count() == 0
+
+
 def test_chains_and_affected(spark):
     g = make(spark, CHAIN, {"a": ("function", "tests/a_test.ts"), "e": ("function", "e.ts")})
     starts = spark.createDataFrame([("a",)], "id string")
