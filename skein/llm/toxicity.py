@@ -45,9 +45,11 @@ DECAY = 0.6
 COST = 3000.0
 #: Offsets of the second and third letter: a subsequence covers at most four letters.
 OFFSETS = ((1, 2), (1, 3), (2, 3))
-#: Letters that count as such; others are folded to them. A word's mark is symbol 0.
+#: Latin letters, to which others of their script are folded; letters of other scripts share OTHERS
+#: symbols by code point, so that those of one alphabet rarely meet. A word's mark is symbol 0.
 LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêëçñóíáúàâîôûïùœ"
-SYMBOLS = len(LETTERS) + 1
+OTHERS = 64
+SYMBOLS = len(LETTERS) + 1 + OTHERS
 #: Decisions lie above it.
 FLOOR = -3.0
 #: The second-worst word counts as at most this far below the worst: one insult is enough.
@@ -68,8 +70,13 @@ class _Fold(dict):
 
     def __missing__(self, point: int) -> str:
         c = DISGUISES.get(chr(point), chr(point).lower())
-        plain = c if c in LETTERS else unicodedata.normalize("NFKD", c)[:1]
-        self[point] = chr(LETTERS.index(plain) + 1) if plain and plain in LETTERS else ""
+        parts = unicodedata.normalize("NFKD", c)
+        plain = c if c in LETTERS else parts[:1]
+        if plain and plain in LETTERS:
+            self[point] = chr(LETTERS.index(plain) + 1)
+        else:  # the letter below its marks; a syllable sign that falls into letters is kept whole
+            letter = plain if all(map(unicodedata.combining, parts[1:])) else c[:1]
+            self[point] = chr(len(LETTERS) + 1 + ord(letter) % OTHERS) if letter.isalpha() else ""
         return self[point]
 
 

@@ -222,6 +222,20 @@ def test_chunks_resist_insertions():
     assert chunk_dedup.cuts([text, text])[1] == chunk_dedup.cuts([text])[0]
 
 
+@pytest.mark.parametrize("first,n,capitals", [(0x430, 32, True), (0x3B1, 17, True), (0x5D0, 27, False), (0x628, 19, False), (0x3041, 60, False), (0x4E00, 500, False), (0xAC00, 500, False)])
+def test_toxicity_in_other_scripts(first, n, capitals):
+    rng = np.random.default_rng(first)
+    word = lambda: "".join(map(chr, rng.integers(first, first + n, rng.integers(4, 9))))
+    vocabulary, insults = [word() for _ in range(400)], [word() for _ in range(4)]
+    clean = lambda: " ".join(vocabulary[k] for k in rng.integers(0, 400, 30))
+    toxic = lambda k: f"{clean()} {insults[k % 4]} {clean()}"
+    model = toxicity.fit_texts([toxic(k) for k in range(100)], [clean() for _ in range(200)])
+    bad, good = [toxic(k) for k in range(40)], [clean() for _ in range(100)]
+    assert (model.score(bad) >= 0.5).mean() > 0.95 and (model.score(good) < 0.5).mean() > 0.95
+    if capitals:
+        assert (model.score([t.upper() for t in bad]) >= 0.5).mean() > 0.95
+
+
 def test_toxicity_on_held_out_rows(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     out = queries.op1_toxicity(spark, "/root/testdata/sf0.1").join(labels, "doc_id").toPandas()
