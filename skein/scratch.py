@@ -10,10 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; our own only where none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where none is set, one of our own: in the warehouse, which a cluster's executors share, or, where
+    driver and executors are one process, in the machine's temporary folder.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = os.path.join(tempfile.gettempdir(), "skein-scratch")
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        where = os.path.join(tempfile.gettempdir() if local else spark.conf.get("spark.sql.warehouse.dir"), "skein-scratch")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
