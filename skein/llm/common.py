@@ -47,10 +47,37 @@ def whole_rows(docs: DataFrame, **columns: Column) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), *(c.alias(k) for k, c in columns.items()))
 
 
-def keep_ids(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of docs whose id is in kept(doc_id), with docs' own columns and no others."""
-    rows = whole_rows(docs, doc_id=F.col(id_col).cast("long"))
-    return rows.join(kept.select("doc_id"), "doc_id", "left_semi").select("row.*")
+#: Stands for a null id, after all others.
+NO_ID = (1 << 63) - 1
+
+
+def row_key(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+
+
+def row_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key, h, text of each row: its id (NO_ID for null) and a hash of its text tell texts of one id apart."""
+    return docs.select(row_key(id_col).alias("key"), row_hash(F.col(text_col)).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def keep_keyed(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs that kept(key, h, n_rows) names, one of those that repeat, with docs' own columns.
+
+    Of n_rows rows with one key and text the one whose columns come first as text stays; only where such
+    rows exist are these gathered.
+    """
+    kept = cut(kept, "kept")
+    rows = whole_rows(docs, key=row_key(id_col), h=row_hash(F.col(text_col)))
+    out = rows.join(kept.filter("n_rows = 1").select("key", "h").hint("merge"), ["key", "h"], "left_semi").select("row.*")
+    again = kept.filter("n_rows > 1").select("key", "h")
+    if again.isEmpty():
+        return out
+    one = rows.join(again, ["key", "h"], "left_semi").groupBy("key", "h").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return out.unionByName(one.select("row.*"))
 
 
 def normalised(text: Column) -> Column:

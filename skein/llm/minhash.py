@@ -14,12 +14,16 @@ No bucket is expanded into all of its pairs. First each member is held against t
 its bucket, which costs one pair a member and unites groups of copies. Then only buckets that still
 hold several components are looked at again, and there only pairs across components, where one side
 is not of the component that most members have. These are compared in blocks, by estimate and then by
-their full sets, where the rows are, which makes rows of links alone. Comparing remains quadratic in
-those members of a bucket that are near its component without a link; blocks spread it over tasks.
-
-Defined results: null and empty texts, and texts of white space, have an empty set (n_shingles 0),
-are linked with nothing and kept; rows with a null id are left out; rows that repeat id and text give
-one row; rows that share an id but not a text give a row each and link whatever either links.
+their full sets, where the rows are, which makes rows of links alone; blocks hold a bounded number of
+members and of shingles on average. Comparing remains quadratic in those members of a bucket that are
+near its component without a link; blocks spread it over tasks.
+
+Defined results: null and empty texts, and texts of white space, have an empty set (n_shingles 0), are
+linked with nothing and kept; rows that repeat id and text give one row; rows that share an id but not
+a text give a row each and link whatever either links, so all of them have one component. Rows with a
+null id take part: component_id is the smallest id there is, null where there is none, and then the
+row of the smallest digest is kept. The filter holds every (id, text) for a document of its own, so that a
+text that occurs nowhere else stays, and keeps one row of each group, also of rows that repeat.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, keep_ids, map_arrow, plain, small_batches
+from skein.llm.common import NO_ID, cut, keep_keyed, keyed, map_arrow, small_batches
 
 HASHES, LOW_BITS = 500, 2
 #: The most that a pair at the similarity sought may miss all bands.
@@ -119,12 +123,21 @@ def unequal(a: Column, b: Column) -> Column:
 
 def estimate(a: Column, b: Column) -> Column:
     """Similarity estimated from signatures, corrected for chance agreement of low bits."""
+    return _corrected(unequal(a, b))
+
+
+def _corrected(differing):
     chance = 0.5**LOW_BITS
-    return ((1 - unequal(a, b) / F.lit(float(HASHES))) - chance) / (1 - chance)
+    return ((1 - differing / float(HASHES)) - chance) / (1 - chance)
+
+
+def least_estimate(percent: int = PERCENT) -> float:
+    """Pairs estimated below it are ruled out."""
+    return _corrected(unequal_limit(percent) + 0.5)
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty), bands, sig."""
+    """key, h (the row's, as common.keyed has them), n_shingles, digest of the set (null if empty), bands, sig."""
     bands_rows = layout(percent)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -137,20 +150,22 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for i, x, y in zip(full, _band_keys(low, *bands_rows), _packed(low), strict=True):
                 digest[i], bands[i], sig[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), x, y
         return pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "digest", "bands", "sig"],
+            [b.column("key"), b.column("h"), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int64()))],
+            names=["key", "h", "n_shingles", "digest", "bands", "sig"],
         )
 
     small_batches(docs.sparkSession)
-    return map_arrow(plain(docs, id_col, text_col).filter("doc_id is not null"), run, "doc_id long, n_shingles long, digest binary, bands array<long>, sig array<long>")
+    return map_arrow(keyed(docs, id_col, text_col), run, "key long, h long, n_shingles long, digest binary, bands array<long>, sig array<long>")
+
 
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """id, items (the shingle set) of texts(id, text)."""
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, width).view(np.int64) for t in b.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "items"])
+        return pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "items"])
 
-    return map_arrow(docs, run, "doc_id long, items array<long>")
+    return map_arrow(texts, run, "id long, items array<long>")
 
 
 def _similar(left: Column, right: Column, percent: int) -> Column:
@@ -162,14 +177,14 @@ def _similar(left: Column, right: Column, percent: int) -> Column:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those similar enough by their full sets."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("left"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("right"))
+    left = sets.select(F.col("id").alias("a"), F.col("items").alias("left"))
+    right = sets.select(F.col("id").alias("b"), F.col("items").alias("right"))
     met = cut(pairs, "pairs").join(right, "b").join(left, "a")
     return cut(met.filter(_similar(F.col("left"), F.col("right"), percent)).select("a", "b"), "links")
 
 
-#: Leftover members are compared in blocks of at most about so many on either side.
-BLOCK = 512
+#: Leftover members are compared in blocks of about so many members or shingles at most on either side.
+BLOCK, BLOCK_ITEMS = 200, 1_000_000
 
 
 def _across(rest: DataFrame, limit: int, percent: int) -> DataFrame:
@@ -201,7 +216,7 @@ def _across(rest: DataFrame, limit: int, percent: int) -> DataFrame:
 
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
-    keys = ["band", "key", "i", "j"]
+    keys = ["band", "bucket", "i", "j"]
     ours = rest.filter("component <> most").withColumn("i", block("fewer")).withColumn("j", each("blocks"))
     theirs = rest.withColumn("j", block("blocks")).withColumn("i", each("fewer"))
     columns = [*keys, "id", "component", "most", "bands", "sig", "items"]
@@ -228,40 +243,60 @@ def components(links: DataFrame) -> DataFrame:
         labels = fresh.select("id", "component")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id, kept."""
-    signed = cut(signatures(docs, id_col, text_col, percent, width), "signatures")
-    classes = cut(signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
-    stands = signed.join(classes, (signed.doc_id == classes.id) & (signed.digest == classes.digest), "left_semi").select(F.col("doc_id").alias("id"), "bands", "sig").dropDuplicates(["id", "bands"])
-    stands = cut(stands, "stands")
-    members = stands.select("id", F.posexplode("bands").alias("band", "key"))
-    buckets = members.groupBy("band", "key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
-    met = cut(members.join(buckets, ["band", "key"]), "buckets")
+def _united(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, width: int, same: bool) -> DataFrame:
+    """digest, component for each class of equal sets in signed, the written signatures of docs. same:
+    rows that share an id are linked."""
+    full = signed.filter("n_shingles > 0")
+    classes = full.groupBy("digest").agg(F.min(F.struct("key", "h")).alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    # numbered once, in a written table: the numbers stand for the classes from here on
+    stands = cut(classes.withColumn("id", F.monotonically_increasing_id()), "stands")
+    members = stands.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
+    buckets = members.groupBy("band", "bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
+    met = cut(members.join(buckets, ["band", "bucket"]), "buckets")
     star = met.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     sig = stands.select("id", "sig")
-    limit = unequal_limit(percent)
-    near = star.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").filter(unequal(F.col("sig_a"), F.col("sig_b")) <= limit)
-    # texts move once; at scale the ids are too many to send to every task, so none relies on that
-    some = met.select(F.col("id").alias("doc_id")).distinct().hint("merge")
-    sets = cut(_sets(plain(docs, id_col, text_col).join(some, "doc_id", "left_semi"), width), "sets")
+    near = star.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").filter(estimate(F.col("sig_a"), F.col("sig_b")) >= least_estimate(percent))
+    # texts move once, one of each class; at scale the classes are too many to send to every task, so none relies on that
+    some = stands.join(met.select("id").distinct(), "id", "left_semi").select("id", "row.key", "row.h").hint("merge")
+    texts = keyed(docs, id_col, text_col).join(some, ["key", "h"]).groupBy("key", "h").agg(F.first("id").alias("id"), F.first("text").alias("text"))
+    sets = cut(_sets(texts.select("id", "text"), width), "sets")
     links = _confirmed(near.select("a", "b").distinct(), sets, percent)
+    if same:
+        ids = full.filter(F.col("key") != NO_ID).groupBy("key").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).filter("least <> most").select("key")
+        found = full.join(ids, "key", "left_semi").select("key", "digest").distinct().join(stands.select("digest", "id"), "digest").select("key", F.col("id").alias("b"))
+        links = cut(links.union(found.join(found.groupBy("key").agg(F.min("b").alias("a")), "key").filter("a <> b").select("a", "b")), "links")
     united = components(links)
 
     # pairs that were not held against each other, in buckets that still hold several components
-    placed = met.filter("n > 2").join(united, "id", "left").select("band", "key", "pivot", "id", F.coalesce("component", "id").alias("component"))
-    sizes = placed.filter("id <> pivot").groupBy("band", "key", "component").count()
-    mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("count", "component")).alias("most"), F.sum("count").alias("size"), F.count("*").alias("several")).filter("several > 1")
-    mixed = mixed.select("band", "key", F.col("most.component").alias("most"), F.ceil((F.col("size") - F.col("most.count")) / BLOCK).alias("fewer"), F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    rest = placed.filter("id <> pivot").join(mixed, ["band", "key"]).join(stands, "id").join(sets.withColumnRenamed("doc_id", "id"), "id").drop("pivot")
+    placed = met.filter("size > 2").join(united, "id", "left").select("band", "bucket", "pivot", "id", "n", F.coalesce("component", "id").alias("component"))
+    sizes = placed.filter("id <> pivot").groupBy("band", "bucket", "component").agg(F.count("*").alias("count"), F.sum("n").alias("items"))
+    mixed = sizes.groupBy("band", "bucket").agg(F.max(F.struct("count", "component", "items")).alias("most"), F.sum("count").alias("size"), F.sum("items").alias("items"), F.count("*").alias("several")).filter("several > 1")
+    dealt = lambda rows, items: F.greatest(F.ceil(rows / BLOCK), F.ceil(items / BLOCK_ITEMS))
+    mixed = mixed.select("band", "bucket", F.col("most.component").alias("most"), dealt(F.col("size") - F.col("most.count"), F.col("items") - F.col("most.items")).alias("fewer"), dealt(F.col("size"), F.col("items")).alias("blocks"))
+    rest = placed.filter("id <> pivot").join(mixed, ["band", "bucket"]).join(stands.select("id", "bands", "sig"), "id").join(sets, "id").drop("pivot", "n")
     more = _across(cut(rest, "rest"), unequal_limit(percent), percent)
     if not more.isEmpty():
         united = components(links.union(more))
-    by_class = classes.join(united, "id", "left").select("digest", F.coalesce("component", "id").alias("component_id"))
-    # a shared id unites the sets that carry it
-    out = signed.select("doc_id", "n_shingles", "digest").distinct().join(by_class, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return stands.select("id", "digest").join(united, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id, kept."""
+    signed = cut(signatures(docs, id_col, text_col, percent, width), "signatures")
+    united = cut(_united(signed, docs, id_col, text_col, percent, width, True), "classes")
+    rows = cut(signed.select("key", "n_shingles", "digest").distinct().join(united, "digest", "left"), "rows")
+    firsts = rows.filter("component is not null").groupBy("component").agg(F.min(F.struct("key", "digest")).alias("first"))
+    out = rows.join(firsts, "component", "left").select("key", "n_shingles", "digest", F.coalesce("first.key", "key").alias("least"), F.coalesce("first.digest", "digest").alias("first"))
+    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    kept = (F.col("key") == F.col("least")) & ((F.col("key") != NO_ID) | F.col("digest").eqNullSafe(F.col("first")))
+    return out.select(real("key").alias("doc_id"), "n_shingles", real("least").alias("component_id"), kept.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near duplicates; columns as they are."""
-    return keep_ids(docs, near_duplicates(docs, id_col, text_col).filter("kept"), id_col)
+    signed = cut(signatures(docs, id_col, text_col), "signatures")
+    united = _united(signed, docs, id_col, text_col, PERCENT, SHINGLE, False)
+    rows = signed.groupBy("key", "h", "digest").agg(F.count("*").alias("n_rows")).join(united, "digest", "left")
+    firsts = rows.filter("component is not null").groupBy("component").agg(F.min(F.struct("key", "h", "n_rows")).alias("first")).select("first.*")
+    kept = firsts.union(rows.filter("component is null").select("key", "h", F.lit(1).cast("long")))
+    return keep_keyed(docs, kept, id_col, text_col)

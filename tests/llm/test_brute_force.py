@@ -69,6 +69,9 @@ def test_estimate_is_close(spark):
     sig = minhash._packed(minhash.minima([np.unique(a), np.unique(b)]))
     df = spark.createDataFrame([(sig[0].tolist(), sig[1].tolist())], "a array<long>, b array<long>")
     assert abs(df.select(minhash.estimate(df.a, df.b)).first()[0] - 800 / 1200) < 0.1
+    apart = df.select(minhash.unequal(df.a, df.b)).first()[0]
+    for percent in (66, 80, 85):  # the cut in estimates is the limit of unequal minima that blocks use
+        assert (df.select(minhash.estimate(df.a, df.b)).first()[0] >= minhash.least_estimate(percent)) == (apart <= minhash.unequal_limit(percent))
 
 
 PERSONAL = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

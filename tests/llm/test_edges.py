@@ -66,8 +66,20 @@ def test_exact_is_free_of_collisions(docs):
 
 
 def test_near(docs):
-    out = sorted(tuple(r) for r in minhash.near_duplicates(docs, percent=85, width=3).collect())
-    assert out == [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 59_998, 4, True), (5, 4, 5, True), (5, 5, 5, True), (6, 5, 5, False)]
+    out = sorted((tuple(r) for r in minhash.near_duplicates(docs, percent=85, width=3).collect()), key=str)
+    assert out == [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 59_998, 4, True), (5, 4, 5, True), (5, 5, 5, True), (6, 5, 5, False), (None, 3, None, True)]
+
+
+def test_near_with_shared_ids(spark):
+    x, y, z = ("one two three four five six seven", "eight nine ten eleven twelve thirteen", "a b c d e f g h i j k l m n o")
+    rows = [(3, x), (5, x), (5, y), (7, y), (9, z), (9, z), (None, z), (None, y.upper()), (None, "alone but for its own copy here"), (None, "Alone but for its own copy here")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in minhash.near_duplicates(d, percent=85, width=3).collect()}
+    assert out == {(3, 5): (3, True), (5, 5): (3, False), (5, 4): (3, False), (7, 4): (3, False), (9, 13): (9, True), (None, 13): (9, False), (None, 4): (3, False), (None, 5): (None, True)}
+    kept = sorted(((r.doc_id, r.text) for r in minhash.drop_near_duplicates(d).collect()), key=str)
+    assert [(i, t.lower()) for i, t in kept] == sorted([(3, x), (5, y), (9, z), (None, "alone but for its own copy here")], key=str)
+    again = minhash.drop_near_duplicates(spark.createDataFrame(kept, "doc_id long, text string"))
+    assert sorted((tuple(r) for r in again.collect()), key=str) == kept
 
 
 def test_quality(docs):
