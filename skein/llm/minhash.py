@@ -21,8 +21,8 @@ near its component without a link; blocks spread it over tasks.
 Defined results: null and empty texts, and texts of white space, have an empty set (n_shingles 0), are
 linked with nothing and kept; rows that repeat id and text give one row; rows that share an id but not
 a text give a row each and link whatever either links, so all of them have one component. Rows with a
-null id take part: component_id is the smallest id there is, null where there is none, and then the
-row of the smallest digest is kept. The filter holds every (id, text) for a document of its own, so that a
+null id take part: component_id is the smallest id there is, null where there is none, and then one
+row is kept, by its digest. Ids lie below 2**62. The filter holds every (id, text) for a document of its own, so that a
 text that occurs nowhere else stays, and keeps one row of each group, also of rows that repeat.
 """
 
@@ -183,6 +183,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(met.filter(_similar(F.col("left"), F.col("right"), percent)).select("a", "b"), "links")
 
 
+#: Classes without any id are numbered from here on by their digests; ids lie below.
+NAMELESS = 1 << 62
 #: Leftover members are compared in blocks of about so many members or shingles at most on either side.
 BLOCK, BLOCK_ITEMS = 200, 1_000_000
 
@@ -244,12 +246,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _united(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, width: int, same: bool) -> DataFrame:
-    """digest, component for each class of equal sets in signed, the written signatures of docs. same:
-    rows that share an id are linked."""
+    """digest, id, component (the smallest id) for each class of equal sets in signed, the written
+    signatures of docs. same: rows that share an id are linked, so the smallest id in a class can stand
+    for it; else classes are numbered."""
     full = signed.filter("n_shingles > 0")
     classes = full.groupBy("digest").agg(F.min(F.struct("key", "h")).alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    # numbered once, in a written table: the numbers stand for the classes from here on
-    stands = cut(classes.withColumn("id", F.monotonically_increasing_id()), "stands")
+    nameless = F.pmod(F.xxhash64("digest"), F.lit(NAMELESS - 1)) + F.lit(NAMELESS)
+    id_ = F.when(F.col("row.key") == NO_ID, nameless).otherwise(F.col("row.key")) if same else F.monotonically_increasing_id()
+    stands = cut(classes.withColumn("id", id_), "stands")  # a written table, so numbers stay as they are
     members = stands.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
     buckets = members.groupBy("band", "bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
     met = cut(members.join(buckets, ["band", "bucket"]), "buckets")
@@ -277,26 +281,24 @@ def _united(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, perc
     more = _across(cut(rest, "rest"), unequal_limit(percent), percent)
     if not more.isEmpty():
         united = components(links.union(more))
-    return stands.select("id", "digest").join(united, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+    return stands.select("id", "digest").join(united, "id", "left").select("digest", "id", F.coalesce("component", "id").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept."""
     signed = cut(signatures(docs, id_col, text_col, percent, width), "signatures")
     united = cut(_united(signed, docs, id_col, text_col, percent, width, True), "classes")
-    rows = cut(signed.select("key", "n_shingles", "digest").distinct().join(united, "digest", "left"), "rows")
-    firsts = rows.filter("component is not null").groupBy("component").agg(F.min(F.struct("key", "digest")).alias("first"))
-    out = rows.join(firsts, "component", "left").select("key", "n_shingles", "digest", F.coalesce("first.key", "key").alias("least"), F.coalesce("first.digest", "digest").alias("first"))
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    kept = (F.col("key") == F.col("least")) & ((F.col("key") != NO_ID) | F.col("digest").eqNullSafe(F.col("first")))
-    return out.select(real("key").alias("doc_id"), "n_shingles", real("least").alias("component_id"), kept.alias("kept"))
+    rows = signed.select("key", "n_shingles", "digest").distinct().join(united, "digest", "left")
+    nameless, component = F.col("key") == NO_ID, F.coalesce("component", "key")
+    kept = F.when(nameless, F.col("component").isNull() | ((component >= NAMELESS) & (F.col("id") == component))).otherwise(F.col("key") == component)
+    return rows.select(F.when(~nameless, F.col("key")).alias("doc_id"), "n_shingles", F.when(component < NAMELESS, component).alias("component_id"), kept.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group of near duplicates; columns as they are."""
     signed = cut(signatures(docs, id_col, text_col), "signatures")
     united = _united(signed, docs, id_col, text_col, PERCENT, SHINGLE, False)
-    rows = signed.groupBy("key", "h", "digest").agg(F.count("*").alias("n_rows")).join(united, "digest", "left")
+    rows = signed.groupBy("key", "h", "digest").agg(F.count("*").alias("n_rows")).join(united.drop("id"), "digest", "left")
     firsts = rows.filter("component is not null").groupBy("component").agg(F.min(F.struct("key", "h", "n_rows")).alias("first")).select("first.*")
     kept = firsts.union(rows.filter("component is null").select("key", "h", F.lit(1).cast("long")))
     return keep_keyed(docs, kept, id_col, text_col)
