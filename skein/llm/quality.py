@@ -1,20 +1,26 @@
 """Quality rules with adaptive thresholds, with DataFrame operations only.
 
-Base figures are counted for each text. Four ratios of them, in integer per mille, are summarised by
-mergeable quantile sketches (approx_percentile: partial sketches are built where rows are, then
-merged) for each language and source, for each language, and for all rows. A row is held against the
-fences of the narrowest group that has at least MIN_ROWS rows: the quartiles, spread by SPREAD times
-their distance and a slack. The sketches see only rows that pass the base rules, so that junk can't
-move the fences, and a group of a third of all rows is sketched where its rows are.
+Base figures are counted for each text. Four ratios of them, in integer per mille, are summarised for each
+language and source by a mergeable quantile sketch: a histogram whose buckets are exact below 128 and
+1/128 of their value wide above. Sketches add up, so each is built once, where rows are, and those of a
+language and of all rows are sums of them; unlike sampling sketches they give the same quantiles however
+tasks run. They see only rows that pass the base rules, so that junk can't move the fences.
+
+A group's fence for a ratio is its HIGH percentile and SPREAD times the distance from there to its
+median (for lengths of words, also downwards from the LOW percentile). Fences of small groups are
+uncertain: each is averaged with the one above it (source, language, all), which weighs as much as
+PRIOR rows. No ratio has a fixed cutoff. A document is held against its group's fence by counts: it may
+exceed what the fence expects in a text of its size by three standard deviations of a count that comes in
+lumps of UNIT, and by three lumps, so that short texts are not judged by one line or sign.
 
 Defined results: null and empty texts have zero figures and fail the base rules (fewer than ten
-words); null languages and sources are groups of their own; repeated rows are judged alike; a null id
-is kept as it is; an empty table gives an empty table.
+words); null languages and sources are groups of their own, one with the empty name; repeated rows are
+judged alike; a null id is kept as it is; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import SPACE, cut
@@ -22,12 +28,13 @@ from skein.llm.common import SPACE, cut
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-MIN_ROWS = 50
-SPREAD = 4
-#: The most groups whose fences are sent to every task (about 200 bytes each).
+LOW, HIGH, SPREAD, PRIOR = 10, 90, 2, 200
+#: Buckets have so many leading bits of their values.
+BITS = 7
+#: The most groups whose fences are sent to every task (about 100 bytes each).
 MAX_SENT = 50_000
-#: For each ratio: may it be too low, and the slack in per mille beyond the fences.
-RATIOS = {"word_length": (True, 2000), "symbols": (False, 30), "dup_lines": (False, 500), "repeats": (False, 200)}
+#: For each ratio: what is counted, in what, and the lump in which it comes.
+RATIOS = {"word_length": ("word_chars", "n_words", 2), "symbols": ("n_symbols", "word_chars", 1), "dup_lines": ("n_dup_lines", "n_lines", 1), "repeats": ("n_repeat_words", "n_words", 2 * WINDOW)}
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -74,45 +81,71 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     return _with_repeats(counted).select("doc_id", *keep, "n_lines", *BASE)
 
 
-def _per_mille(part: Column, whole: Column) -> Column:
-    return F.floor(1000 * part / F.greatest(whole, F.lit(1))).cast("long")
+def bucket(x: Column) -> Column:
+    """The smallest value of the sketch's bucket that holds x (0 or more)."""
+    shift = F.greatest(F.length(F.bin(x)) - BITS - 1, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", x, shift), shift)
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_rows: int = MIN_ROWS) -> DataFrame:
-    """One row for each document: doc_id, the base figures, base_failed, kept, and the level of its fences."""
+def sketches(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ratio, value, n: the sketch of each ratio of rows(keys, figures) in each group."""
+    ratio = lambda c, s: F.floor(1000 * F.col(c) / F.greatest(F.col(s), F.lit(1))).cast("long")
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("ratio"), bucket(ratio(c, s)).alias("value")) for k, (c, s, _) in RATIOS.items())))
+    return rows.select(*keys, each.alias("x")).select(*keys, "x.*").groupBy(*keys, "ratio", "value").agg(F.count("*").alias("n"))
+
+
+def merged(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """The sketches of wider groups, as sums."""
+    return sketch.groupBy(*keys, "ratio", "value").agg(F.sum("n").alias("n"))
+
+
+def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ratio, rows, low, high: the fences that each sketch gives by itself."""
+    group = Window.partitionBy(*keys, "ratio")
+    placed = sketch.withColumn("upto", F.sum("n").over(group.orderBy("value"))).withColumn("all", F.sum("n").over(group))
+    least = lambda percent: F.min(F.when(F.col("upto") >= F.floor((percent * F.col("all") + 99) / 100), F.col("value")))
+    found = placed.groupBy(*keys, "ratio").agg(F.max("all").alias("rows"), least(LOW).alias("a"), least(50).alias("m"), least(HIGH).alias("b"))
+    high, low = F.col("b") + SPREAD * (F.col("b") - F.col("m")), F.greatest(F.col("a") - SPREAD * (F.col("m") - F.col("a")), F.lit(0))
+    return found.select(*keys, "ratio", "rows", low.alias("low"), high.alias("high"))
+
+
+def _shrunk(own: DataFrame, above: DataFrame, keys: list[str]) -> DataFrame:
+    """own's fences, each averaged with the one above it (joined on keys) that weighs PRIOR rows."""
+    above = above.select(*keys, "ratio", F.col("low").alias("low_above"), F.col("high").alias("high_above"))
+    mean = lambda c: F.floor((F.col("rows") * F.col(c) + PRIOR * F.col(f"{c}_above")) / (F.col("rows") + PRIOR)).cast("long").alias(c)
+    return own.join(above, [*keys, "ratio"]).select(*(c for c in own.columns if c not in ("low", "high")), mean("low"), mean("high"))
+
+
+def group_fences(rows: DataFrame) -> DataFrame:
+    """lang, source and `k_low`, `k_high` of each ratio k for the groups of rows(lang, source, figures)."""
+    keys = ["lang", "source"]
+    by_source = cut(sketches(rows, keys), "sketches")
+    by_lang = cut(merged(by_source, ["lang"]), "sketches")
+    overall = fences(merged(by_lang, []), [])
+    ours = _shrunk(fences(by_source, keys), _shrunk(fences(by_lang, ["lang"]), overall, []), ["lang"])
+    pick = lambda k, c: F.max(F.when(F.col("ratio") == k, F.col(c))).alias(f"{k}_{c}")
+    return ours.groupBy(*keys).agg(*(pick(k, c) for k in RATIOS for c in ("low", "high")))
+
+
+def beyond(k: str) -> Column:
+    """Is a row's count outside what its group's fences allow in a text of its size?"""
+    count, size, unit = RATIOS[k]
+    scaled = lambda fence: F.col(f"{k}_{fence}") * F.col(size)
+    over = lambda diff, fence: (diff > 0) & (diff.cast("double") * diff.cast("double") > (9000 * unit * scaled(fence)).cast("double"))
+    out = over(1000 * F.col(count) - scaled("high") - 3000 * unit, "high")
+    return out | over(scaled("low") - 1000 * F.col(count) - 3000 * unit, "low") if k == "word_length" else out
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """One row for each document: doc_id, the base figures, base_failed, kept, and the ratios that reject it."""
     named = docs.select(id_col, text_col, F.col(lang_col).alias("__lang"), F.col(source_col).alias("__source"))
     rows = figures(named, id_col, text_col, ("__lang", "__source"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    rows = rows.select(
-        "doc_id",
-        F.coalesce("__lang", F.lit("")).alias("lang"),
-        F.coalesce("__source", F.lit("")).alias("source"),
-        *BASE,
-        failed.alias("base_failed"),
-        _per_mille(F.col("word_chars"), F.col("n_words")).alias("word_length"),
-        _per_mille(F.col("n_symbols"), F.col("word_chars")).alias("symbols"),
-        _per_mille(F.col("n_dup_lines"), F.col("n_lines")).alias("dup_lines"),
-        _per_mille(F.col("n_repeat_words"), F.col("n_words")).alias("repeats"),
-    )
+    rows = rows.select("doc_id", F.coalesce("__lang", F.lit("")).alias("lang"), F.coalesce("__source", F.lit("")).alias("source"), "n_lines", *BASE, failed.alias("base_failed"))
     rows = cut(rows, "figures")  # few bytes a row, and read twice
-    passed = rows.filter(~F.col("base_failed"))
-    sketch = [F.percentile_approx(k, [0.25, 0.75], 10_000).alias(k) for k in RATIOS]
-
-    def fences(keys: list[str], level: str) -> DataFrame:
-        quartiles = passed.groupBy(*keys).agg(*sketch, F.count("*").alias("n")).filter(F.col("n") >= (min_rows if keys else 0))
-        ends = []
-        for k, (low, slack) in RATIOS.items():
-            q1, q3 = F.get(k, F.lit(0)), F.get(k, F.lit(1))
-            reach = SPREAD * (q3 - q1) + slack
-            ends += [(q1 - reach if low else F.lit(-1).cast("long")).alias(f"{k}_from"), (q3 + reach).alias(f"{k}_to")]
-        table = cut(quartiles.select(*keys, F.struct(*ends, F.lit(level).alias("level")).alias(level)), "fences")
-        # few groups go to every task, so a large one costs no shuffle; many are merged
-        return F.broadcast(table) if table.count() <= MAX_SENT else table.hint("merge") if keys else table
-
-    met = rows.join(fences(["lang", "source"], "by_source"), ["lang", "source"], "left").join(fences(["lang"], "by_lang"), "lang", "left")
-    met = met.join(fences([], "overall"), F.lit(True), "left").withColumn("f", F.coalesce("by_source", "by_lang", "overall"))
-    fits = F.lit(True)
-    for k in RATIOS:
-        fits = fits & F.col(k).between(F.col(f"f.{k}_from"), F.col(f"f.{k}_to"))
-    kept = ~F.col("base_failed") & F.coalesce(fits, F.lit(True))
-    return met.select("doc_id", *BASE, "base_failed", kept.alias("kept"), F.col("f.level").alias("level"))
+    groups = cut(group_fences(rows.filter(~F.col("base_failed"))), "fences")
+    # few groups go to every task, so a large one costs no shuffle; many are merged
+    groups = F.broadcast(groups) if groups.count() <= MAX_SENT else groups.hint("merge")
+    met = rows.join(groups, ["lang", "source"], "left")
+    rejects = F.filter(F.array(*(F.when(beyond(k), F.lit(k)) for k in RATIOS)), lambda x: x.isNotNull())
+    return met.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & (F.size(rejects) == 0)).alias("kept"), rejects.alias("rejected_by"))

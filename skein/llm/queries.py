@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,7 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(table(spark, sf_dir, "documents")).drop("level")
+    return quality.judged(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +67,7 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sum(length('<|im_start|>') + length(role) + 1 + length(safe) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars FROM e GROUP BY conv_id
 """
 
-#: Quartiles are the smallest values that at least a quarter (three quarters) of a group don't exceed.
+#: Percentile p of n rows is the smallest bucket that at least p per cent of them don't exceed.
 OP5_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
 p AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
@@ -75,24 +76,27 @@ u AS (SELECT rid, unnest(range(1, len(w) - 3)) AS i, w FROM p WHERE len(w) >= 5)
 v AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i:i+4]) AS n FROM u),
 c AS (SELECT rid, least(5, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i) - i, 5)) AS k FROM v WHERE n > 1),
 r AS (SELECT rid, sum(k) AS n_repeat_words FROM c GROUP BY rid),
-b AS (SELECT doc_id, lang, source, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+b AS (SELECT rid, doc_id, lang, source, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
              length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(l) AS n_lines,
              len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM p LEFT JOIN r USING (rid)),
-f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, 1000 * word_chars // greatest(n_words, 1) AS x1,
-             1000 * n_symbols // greatest(word_chars, 1) AS x2, 1000 * n_dup_lines // greatest(n_lines, 1) AS x3, 1000 * n_repeat_words // greatest(n_words, 1) AS x4 FROM b),
-q AS (SELECT GROUPING(lang) + GROUPING(source) AS level, lang, source, count(*) AS n,
-             list_sort(list(x1)) AS l1, list_sort(list(x2)) AS l2, list_sort(list(x3)) AS l3, list_sort(list(x4)) AS l4
-      FROM f WHERE NOT base_failed GROUP BY GROUPING SETS ((lang, source), (lang), ())),
-z AS (SELECT level, lang, source, l1[ceil(n / 4)::INT] AS a1, l1[ceil(3 * n / 4)::INT] AS b1, l2[ceil(n / 4)::INT] AS a2, l2[ceil(3 * n / 4)::INT] AS b2,
-             l3[ceil(n / 4)::INT] AS a3, l3[ceil(3 * n / 4)::INT] AS b3, l4[ceil(n / 4)::INT] AS a4, l4[ceil(3 * n / 4)::INT] AS b4
-      FROM q WHERE n >= 50 OR level = 2),
-m AS (SELECT f.*, coalesce(s.a1, g.a1, o.a1) AS a1, coalesce(s.b1, g.b1, o.b1) AS b1, coalesce(s.a2, g.a2, o.a2) AS a2, coalesce(s.b2, g.b2, o.b2) AS b2,
-             coalesce(s.a3, g.a3, o.a3) AS a3, coalesce(s.b3, g.b3, o.b3) AS b3, coalesce(s.a4, g.a4, o.a4) AS a4, coalesce(s.b4, g.b4, o.b4) AS b4
-      FROM f LEFT JOIN z s ON s.level = 0 AND s.lang = f.lang AND s.source = f.source LEFT JOIN z g ON g.level = 1 AND g.lang = f.lang LEFT JOIN z o ON o.level = 2)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(x1 BETWEEN a1 - 4 * (b1 - a1) - 2000 AND b1 + 4 * (b1 - a1) + 2000 AND x2 <= b2 + 4 * (b2 - a2) + 30
-           AND x3 <= b3 + 4 * (b3 - a3) + 500 AND x4 <= b4 + 4 * (b4 - a4) + 200, TRUE) AS kept FROM m
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b),
+x AS (SELECT lang, source, unnest([{'k': 1, 'v': 1000 * word_chars // greatest(n_words, 1)}, {'k': 2, 'v': 1000 * n_symbols // greatest(word_chars, 1)},
+             {'k': 3, 'v': 1000 * n_dup_lines // greatest(n_lines, 1)}, {'k': 4, 'v': 1000 * n_repeat_words // greatest(n_words, 1)}]) AS x FROM f WHERE NOT base_failed),
+y AS (SELECT lang, source, x.k AS k, (x.v >> greatest(length(bin(x.v::BIGINT)) - 8, 0)) << greatest(length(bin(x.v::BIGINT)) - 8, 0) AS v FROM x),
+q AS (SELECT k, GROUPING(lang) + GROUPING(source) AS level, lang, source, count(*) AS n, list_sort(list(v)) AS l FROM y GROUP BY GROUPING SETS ((k, lang, source), (k, lang), (k))),
+z AS (SELECT *, l[(90 * n + 99) // 100] + 2 * (l[(90 * n + 99) // 100] - l[(50 * n + 99) // 100]) AS hi,
+             greatest(l[(10 * n + 99) // 100] - 2 * (l[(50 * n + 99) // 100] - l[(10 * n + 99) // 100]), 0) AS lo FROM q),
+zl AS (SELECT g.k, g.lang, (g.n * g.hi + 200 * o.hi) // (g.n + 200) AS hi, (g.n * g.lo + 200 * o.lo) // (g.n + 200) AS lo FROM z g JOIN z o ON o.level = 2 AND o.k = g.k WHERE g.level = 1),
+zs AS (SELECT s.k, s.lang, s.source, (s.n * s.hi + 200 * g.hi) // (s.n + 200) AS hi, (s.n * s.lo + 200 * g.lo) // (s.n + 200) AS lo FROM z s JOIN zl g ON g.k = s.k AND g.lang = s.lang WHERE s.level = 0),
+m AS (SELECT rid, bool_or(CASE k WHEN 1 THEN beyond_hi(word_chars, n_words, 2, hi) OR beyond_hi(-word_chars, n_words, 2, -lo) WHEN 2 THEN beyond_hi(n_symbols, word_chars, 1, hi)
+             WHEN 3 THEN beyond_hi(n_dup_lines, n_lines, 1, hi) ELSE beyond_hi(n_repeat_words, n_words, 10, hi) END) AS out FROM f JOIN zs USING (lang, source) GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(out, FALSE) AS kept FROM f LEFT JOIN m USING (rid)
 """
+OP5_SQL = re.sub(  # what beyond_hi(count, size, unit, fence) stands for
+    r"beyond_hi\((-?\w+), (\w+), (\d+), (-?\w+)\)",
+    r"(1000 * (\1) - (\4) * \2 - 3000 * \3 > 0 AND (1000 * (\1) - (\4) * \2 - 3000 * \3)::DOUBLE * (1000 * (\1) - (\4) * \2 - 3000 * \3)::DOUBLE > (9000 * \3 * abs(\4) * \2)::DOUBLE)",
+    OP5_SQL,
+)
 
 OP6_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents WHERE doc_id IS NOT NULL),

@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from skein.llm import chat, chunk_dedup, minhash, mixing, packing, pii, queries, toxicity
+from skein.llm import chat, chunk_dedup, minhash, mixing, packing, pii, quality, queries, toxicity
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -289,3 +289,48 @@ def test_insults_with_gaps():
     good, bad = model.score(["restan herthe"]), model.score(["x numbskull y", "x n u m b s k u l l y", "x num-bskull y", "x Blockhead! y", "x numbsk*ull y"])
     assert good[0] < 0.5 and (bad > 0.5).all()
     assert model.score([""])[0] == 0
+
+
+def _prose(rng, n, width=6):
+    return ["".join(map(chr, rng.integers(97, 123, rng.integers(width - 2, width + 3)))) for _ in range(n)]
+
+
+def test_quality_rejects_outliers_of_a_clean_group(spark):
+    """Each ratio rejects what is far from its own group, whose fences differ from another's."""
+    rng, rows = np.random.default_rng(2), []
+    for i in range(400):
+        lines = [" ".join(_prose(rng, 12)) for _ in range(30)]
+        rows.append((i, "\n".join(lines), "a"))
+    for i in range(400, 800):  # a source of tables: many signs, long words
+        rows.append((i, "\n".join(" | ".join(_prose(rng, 12, 12)) for _ in range(30)), "b"))
+    clean = [" ".join(_prose(rng, 12)) for _ in range(30)]
+    again = " ".join(_prose(rng, 33))
+    planted = {
+        "repeats": "\n".join([*clean, again, "and " + again]),
+        "symbols": "\n".join(f"{x} # | & <" for x in clean),
+        "dup_lines": "\n".join(x for line in clean[:4] for x in (line[:4], line[:4])) + "\n" + "\n".join(clean),
+        "word_length": "\n".join(x.replace(" ", "") if k % 2 else x for k, x in enumerate(" ".join(_prose(rng, 12)) for _ in range(30))),
+    }
+    for k, t in enumerate(planted.values()):
+        rows.append((900 + k, t, "a"))
+    rows += [(910, rows[500][1], "a"), (911, rows[5][1], "b")]  # a table among prose is an outlier, and prose among tables one by its short words
+    d = spark.createDataFrame([(i, t, "en", s) for i, t, s in rows], "doc_id long, text string, lang string, source string")
+    out = {r.doc_id: r for r in quality.judged(d).collect()}
+    assert sum(not out[i].kept for i in range(800)) <= 8
+    for k, name in enumerate(planted):
+        assert name in out[900 + k].rejected_by and not out[900 + k].base_failed and not out[900 + k].kept, (name, out[900 + k])
+    assert "symbols" in out[910].rejected_by and "word_length" in out[911].rejected_by
+
+
+def test_quantiles_of_merged_sketches(spark):
+    rng = np.random.default_rng(4)
+    values = {s: np.sort(rng.integers(0, 10 ** (2 + k % 4), 300)) for k, s in enumerate("abcde")}
+    rows = [(s, int(x), 1000) for s, v in values.items() for x in v]
+    df = spark.createDataFrame(rows, "source string, n_symbols long, word_chars long")
+    df = df.selectExpr("source", "n_symbols", "word_chars", "0L word_chars_", "1L n_words", "0L n_dup_lines", "1L n_lines", "0L n_repeat_words")
+    by_source = quality.sketches(df, ["source"])
+    for sketch, keys, groups in ((by_source, ["source"], values), (quality.merged(by_source, []), [], {None: np.sort(np.concatenate(list(values.values())))})):
+        got = {(r.source if keys else None): r for r in quality.fences(sketch, keys).filter("ratio = 'symbols'").collect()}
+        for g, v in groups.items():
+            q = lambda p: (lambda x: x >> (s := max(x.bit_length() - 8, 0)) << s)(int(v[(p * len(v) + 99) // 100 - 1]))  # noqa: B023, E731
+            assert (got[g].rows, got[g].high) == (len(v), q(90) + 2 * (q(90) - q(50)))
