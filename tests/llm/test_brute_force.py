@@ -307,14 +307,14 @@ def test_quality_rejects_outliers_of_a_clean_group(spark):
     again = " ".join(_prose(rng, 33))
     planted = {
         "repeats": "\n".join([*clean, again, "and " + again]),
-        "symbols": "\n".join(f"{x} # | & <" for x in clean),
+        "symbols": "\n".join(f"{x} {'#|&<$% ' * 5}" for x in clean),
         "dup_lines": "\n".join(x for line in clean[:4] for x in (line[:4], line[:4])) + "\n" + "\n".join(clean),
         "word_length": "\n".join(x.replace(" ", "") if k % 2 else x for k, x in enumerate(" ".join(_prose(rng, 12)) for _ in range(30))),
     }
     for k, t in enumerate(planted.values()):
         rows.append((900 + k, t, "a"))
     rows += [(910, rows[500][1], "a"), (911, rows[5][1], "b")]  # a table among prose is an outlier, and prose among tables one by its short words
-    d = spark.createDataFrame([(i, t, "en", s) for i, t, s in rows], "doc_id long, text string, lang string, source string")
+    d = spark.createDataFrame([(i, t, "en" if s == "a" else "de", s) for i, t, s in rows], "doc_id long, text string, lang string, source string")
     out = {r.doc_id: r for r in quality.judged(d).collect()}
     assert sum(not out[i].kept for i in range(800)) <= 8
     for k, name in enumerate(planted):
