@@ -1,55 +1,54 @@
 """Substring deduplication by content-defined chunking.
 
-A gear hash rolls over the bytes of each text; a chunk ends where its top bits are zero, so boundaries
-depend on the last 32 bytes alone and fall into place again soon after an insertion. Chunks have at
-least MIN_BYTES and at most MAX_BYTES bytes, and end between characters; where no hash ends one in
-time, the highest does, so that even a text of one repeated word is cut alike everywhere. Chunks with the same 128-bit
-digest are copies; n_chunks and n_copied count them.
-
-Passages are found exactly, up to 128-bit hashes: a character is in a repeated passage if a stretch of
-RUN_CHARS characters around it occurs elsewhere, wherever chunks end. Each such stretch, a gram, is named by
-the lowest hash among its substrings of SEED characters, the last of equals: that is its seed, and equal grams have
-equal seeds at equal places. Adjacent grams with one seed make a unit. Units whose seed occurs once hold no
-repeated gram; equal units repeat all of theirs; only where a seed has unlike units are single grams
-counted, once for each unlike unit, and only those whose core, what all grams with the seed at about
-their place hold, occurs in another of these units. The first gram, by (doc_id, position), stays; later ones are
-removed, so that of a stretch that repeats with a period below its length one period stays.
-
-Digests, seeds, units and grams are counted with map-side combining, and no pairs of occurrences are made.
-
-Defined results: null and empty texts have no chunks and no spans; rows with a null id are left out;
-rows that repeat an id are read as one document's texts, whose copies count as copies; an empty table
-gives an empty table.
+A text is read as its words, one blank apart. A gear hash rolls over its bytes; a chunk ends after a word
+whose hash is the highest among those of the RADIUS words on either side. Ends so depend on the last REACH
+bytes and on a few words around, and fall into place again soon after an insertion; a text of one
+repeated word is cut alike everywhere. Chunks with the same 128-bit digest are copies; n_chunks and
+n_copied count them.
+
+Copied chunks say where passages may be: in runs of them, with the words around that can belong to the
+same stretch. There, and only there, passages are found exactly, up to 128-bit hashes: a word is in a repeated passage if a gram
+of WORDS words around it occurs elsewhere, wherever chunks end. Every repeated gram holds a whole chunk
+unless hardly any word in it is an end: 50 words make seven chunks on average, and of a million random
+grams none was missed. The first gram, by (doc_id, text, position), stays; later ones are removed, so
+that of a stretch that repeats with a period below its length one period stays.
+
+Digests and grams are counted with map-side combining, and no pairs of occurrences are made. Words are
+what white space separates, so scripts without blanks have few.
+
+Defined results: null and empty texts have no chunks and no spans; rows that repeat id and text are one
+document and give a row each, alike; rows that share an id but not a text are documents of their own;
+those with a null id come last; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, map_arrow, plain, small_batches
-
-MIN_BYTES, MAX_BYTES, TOP_BITS = 24, 256, 5
-#: The least length of a repeated passage, in characters: about twenty words.
-RUN_CHARS = 100
-REACH = 32
-SEED = 32
-#: Places of the seed that share a core, of which 16 bits are kept.
-CORES = 4
-#: Characters that are hashed at once, unless one text has more.
-BLOCK = 200_000
-SPREAD = np.random.default_rng(2025).integers(0, 2**64, (2, 0x110000), dtype=np.uint64)
+from skein.llm.common import NO_ID, cut, keyed, map_arrow, small_batches
+
+#: The least length of a repeated passage, in words.
+WORDS = 50
+REACH, RADIUS = 16, 3
+#: Bytes that are hashed at once, unless one text has more.
+BLOCK = 1_000_000
+#: Random weights of bytes; 255, which no UTF-8 text has, separates texts and weighs nothing.
+GEAR = np.append(np.random.default_rng(2024).integers(0, 2**32, 255, dtype=np.uint32), np.uint32(0))
+GAP = b"\xff" * REACH
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-PLACE = np.uint64(2**31 - 1)
-GEAR = np.append(np.random.default_rng(2024).integers(0, 2**32, 256, dtype=np.uint32), np.uint32(0))
+WHITE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
-def gear_hashes(symbols: np.ndarray) -> np.ndarray:
-    """The gear hash at each symbol: the sum of GEAR[symbol k back] << k over REACH symbols, by doubling."""
-    h = GEAR[symbols]
+def gear_hashes(data: np.ndarray) -> np.ndarray:
+    """The gear hash at each byte: the sum of GEAR[byte k back] << k over REACH bytes, by doubling."""
+    h = GEAR[data]
     step = 1
     while step < REACH:
         h[step:] += h[:-step].copy() << np.uint32(step)
@@ -57,229 +56,224 @@ def gear_hashes(symbols: np.ndarray) -> np.ndarray:
     return h
 
 
-def cuts(texts: list[bytes]) -> list[list[int]]:
-    """For each text, where its chunks end."""
-    gap = np.full(REACH, 256, np.int16)  # symbols without weight: no text's hashes see another text
-    parts = [x for t in texts for x in (np.frombuffer(t, np.uint8).astype(np.int16), gap)]
-    symbols = np.concatenate(parts)
-    first = (symbols & 0xC0) != 0x80  # the first byte of a character, or a gap
-    h = np.where(np.append(first[1:], False), gear_hashes(symbols), np.uint32(0))  # only ends of characters
-    ends = np.flatnonzero((h >> np.uint32(32 - TOP_BITS) == 0) & np.append(first[1:], False)) + 1
-    out, base = [], 0
-    for t in texts:
-        n = len(t)
-        mine = ends[np.searchsorted(ends, base, "right") : np.searchsorted(ends, base + n, "left")] - base
-        at, found = 0, []
-
-        def close(end: int) -> None:
-            nonlocal at
-            while end - at > MAX_BYTES:  # no end within reach: the highest hash there is as good a mark
-                at += MIN_BYTES + int(np.argmax(h[base + at + MIN_BYTES - 1 : base + at + MAX_BYTES]))
-                found.append(at)
-
-        for end in mine.tolist():
-            close(end)
-            if end - at >= MIN_BYTES:
-                found.append(end)
-                at = end
-        if n:
-            close(n)
-            found.append(n)
-        out.append(found)
-        base += n + REACH
-    return out
-
-
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, pos, start, stop (code points), high, low (the digest) for each chunk."""
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t.encode() for t in b.column("text").to_pylist()]
-        ids, pos, begin, end, digest = [], [], [], [], []
-        for doc, t, ends in zip(b.column("doc_id").to_pylist(), texts, cuts(texts), strict=True):
-            if not ends:
-                continue
-            starts = [0, *ends[:-1]]
-            points = np.concatenate([[0], np.cumsum((np.frombuffer(t, np.uint8) & 0xC0) != 0x80)])
-            ids += [doc] * len(ends)
-            pos += range(len(ends))
-            begin.append(points[starts])
-            end.append(points[ends])
-            digest += [xxhash.xxh3_128_digest(t[x:y]) for x, y in zip(starts, ends, strict=True)]
-        none = np.zeros(0, np.int64)
-        halves = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-        columns = [pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), *(pa.array(np.concatenate(x or [none]), pa.int32()) for x in (begin, end)), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "pos", "start", "stop", "high", "low"])
-
-    small_batches(docs.sparkSession)
-    return map_arrow(plain(docs, id_col, text_col).filter("doc_id is not null"), run, "doc_id long, pos int, start int, stop int, high long, low long")
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(29))
 
 
-class _Block:
-    """Hashes of all stretches of some texts, and their units: text, lo (where its first gram starts),
-    grams (how many), ahead (of the first, the characters before the seed), seed, high, low."""
-
-    def __init__(self, texts: list[str], run_chars: int):
-        lengths = np.array([len(t) for t in texts])
-        symbols = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        self.run_chars, self.ends = run_chars, np.cumsum(lengths)
-        self.base = self.ends - lengths
+class Words:
+    """The words of some texts: `text` (the number of each word's text), `first` and `count` (of each
+    text's words), and hashes of all stretches of them."""
+
+    def __init__(self, texts: list[bytes]):
+        parts = [t.split() for t in texts]  # of bytes: at ASCII white space alone
+        self.texts, flat = texts, list(chain.from_iterable(parts))
+        self.count = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.first = np.cumsum(self.count) - self.count
+        self.text = np.repeat(np.arange(len(parts)), self.count)
+        n = len(flat)
+        self.width = np.fromiter(map(len, flat), np.int64, n)
+        self.ends = np.cumsum(self.width + 1)  # in bytes, as if there were but one text
+        symbols = np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, n)
         self.sums, self.back = [], []
-        for spread, base in zip(SPREAD, BASES, strict=True):
-            up, down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(symbols), b, np.uint64)])) for b in (base, pow(base, -1, 2**64)))
-            self.sums.append(np.concatenate([[np.uint64(0)], np.cumsum(spread[symbols] * up[:-1])]))
+        for base in BASES:
+            up, down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)])) for b in (base, pow(base, -1, 2**64)))
+            self.sums.append(np.concatenate([[np.uint64(0)], np.cumsum(_mixed(symbols + np.uint64(base)) * up[:-1])]))
             self.back.append(down)
-        seeds = self.stretch(0, np.arange(max(len(symbols) - SEED + 1, 0)), SEED)
-        low = (seeds & ~PLACE) | (PLACE - np.arange(len(seeds), dtype=np.uint64))
-        step, width = 1, run_chars - SEED + 1
-        while 2 * step <= width:
-            low = np.minimum(low[:-step], low[step:])
-            step *= 2
-        if step < width:
-            low = np.minimum(low[: step - width], low[width - step :])
-        spans = [np.arange(b, e - run_chars + 1) for b, e in zip(self.base, self.ends, strict=True) if e - b >= run_chars]
-        at = np.concatenate([np.zeros(0, np.int64), *spans])
-        mark = (PLACE - (low[at] & PLACE)).astype(np.int64) if len(at) else at
-        first = np.flatnonzero((np.diff(mark, prepend=-1) != 0) | (np.diff(at, prepend=-2) != 1))
-        self.grams = np.diff(np.append(first, len(at)))
-        self.at = at[first]
-        self.text = np.searchsorted(self.ends, self.at, "right")
-        self.lo = self.at - self.base[self.text]
-        self.seed = seeds[mark[first]].view(np.int64)
-        self.ahead = mark[first] - self.at
-        shape = (self.ahead * 2**32 + self.grams).astype(np.uint64)
-        self.high, self.low = (_mixed(self.stretch(k, self.at, self.grams + run_chars - 1) + shape * np.uint64(BASES[1 - k])).view(np.int64) for k in (0, 1))
+        joined = [b" ".join(p) for p in parts]
+        self.data = np.frombuffer(GAP.join(joined), np.uint8)
+        self.base = np.cumsum([0, *(len(j) + REACH for j in joined[:-1])])
 
     def stretch(self, k: int, at: np.ndarray, length) -> np.ndarray:
-        return _mixed((self.sums[k][at + length] - self.sums[k][at]) * self.back[k][at])
-
-    def cores(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of each unit: bits of the cores, and a mask of the places that its grams have."""
-        spare = self.run_chars - SEED
-        wide = spare // CORES + 1
-        bits, mask = np.zeros(len(self.at), np.uint64), np.zeros(len(self.at), np.int8)
-        for c in range(CORES):
-            least, most = c * wide, min((c + 1) * wide - 1, spare)
-            u = np.flatnonzero((self.ahead >= least) & (self.ahead - self.grams + 1 <= most))
-            core = self.stretch(0, self.at[u] + self.ahead[u] - least, least + SEED + spare - most)
-            bits[u] |= (core >> np.uint64(48)) << np.uint64(16 * c)
-            mask[u] |= 1 << c
-        return bits.view(np.int64), mask
-
-
-def _blocks(texts: list[str], run_chars: int):
-    """(number of the first text, _Block) for texts in turn."""
+        """Half k of the hash of `length` words from `at` on."""
+        return _mixed((self.sums[k][at + length] - self.sums[k][at]) * self.back[k][at] + np.asarray(length, np.uint64)).view(np.int64)
+
+    def chunks(self) -> tuple[np.ndarray, np.ndarray]:
+        """First word and number of words of each chunk, in order."""
+        n = len(self.text)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        before = np.append(0, self.ends)[self.first[self.text]]
+        h = gear_hashes(self.data)[self.base[self.text] + self.ends - before - 2]
+        last = np.ones(n, bool)
+        for d in range(1, RADIUS + 1):
+            same = self.text[d:] == self.text[:-d]
+            last[:-d] &= ~same | (h[:-d] >= h[d:])
+            last[d:] &= ~same | (h[d:] >= h[:-d])
+        last |= np.append(self.text[1:] != self.text[:-1], True)
+        stop = np.flatnonzero(last) + 1
+        start = np.append(0, stop[:-1])
+        return start, stop - start
+
+    def places(self, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each word of text t, in code points of the text as it is."""
+        data = np.frombuffer(self.texts[t] + b" ", np.uint8)
+        point = np.cumsum((data & 0xC0) != 0x80) - 1
+        white = WHITE[data]
+        edge = np.flatnonzero(np.diff(white, prepend=True))
+        return point[edge[::2]], point[edge[1::2]]
+
+
+def _blocks(texts: list[bytes]) -> Iterator[tuple[int, Words]]:
+    """(number of the first text, Words) for texts in turn."""
     i = 0
     while i < len(texts):
         j, n = i, 0
         while j < len(texts) and (j == i or n + len(texts[j]) <= BLOCK):
             n += len(texts[j])
             j += 1
-        yield i, _Block(texts[i:j], run_chars)
+        yield i, Words(texts[i:j])
         i = j
 
 
-def units(docs: DataFrame, run_chars: int) -> DataFrame:
-    """doc_id, lo, grams, seed, high, low, cores, places for each unit of docs(doc_id, text)."""
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """key, h (the row's, as common.keyed has them) and chunks(at, words, high, low) of each row."""
+    one = pa.struct([("at", pa.int32()), ("words", pa.int32()), ("high", pa.int64()), ("low", pa.int64())])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, parts = b.column("doc_id").to_numpy(zero_copy_only=False), []
-        for i, x in _blocks(b.column("text").to_pylist(), run_chars):
-            parts.append((ids[i + x.text], x.lo.astype(np.int32), x.grams.astype(np.int32), x.seed, x.high, x.low, *x.cores()))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["doc_id", "lo", "grams", "seed", "high", "low", "cores", "places"])
+        sizes, columns = [], []
+        for _, x in _blocks([t.encode() for t in b.column("text").to_pylist()]):
+            start, n = x.chunks()
+            text = x.text[start]
+            sizes.append(np.bincount(text, minlength=len(x.texts)))
+            columns.append(((start - x.first[text]).astype(np.int32), n.astype(np.int32), x.stretch(0, start, n), x.stretch(1, start, n)))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), pa.int32())
+        rows = pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)], fields=list(one))
+        return pa.RecordBatch.from_arrays([b.column("key"), b.column("h"), pa.ListArray.from_arrays(offsets, rows)], names=["key", "h", "chunks"])
+
+    small_batches(docs.sparkSession)
+    return map_arrow(keyed(docs, id_col, text_col), run, "key long, h long, chunks array<struct<at: int, words: int, high: long, low: long>>")
+
+
+def _regions(x: Words, t: int, copied: np.ndarray, start: np.ndarray, count: np.ndarray, words: int) -> np.ndarray:
+    """Of text t, where grams begin that may be repeated; start, count: its chunks; copied: where copied ones begin.
+
+    A repeated stretch reaches past its copied chunks by at most the chunks that it cuts, and there by
+    the words that may decide about ends: RADIUS on the right, and on the left those and REACH bytes.
+    """
+    first, last = x.first[t], x.first[t] + x.count[t]
+    is_copy = np.isin(start - first, copied)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], is_copy, [False]])))
+    opens = np.zeros(x.count[t] + 1, np.int64)
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        lo = max(start[max(a - 1, 0)] - RADIUS, first)
+        lo = max(int(np.searchsorted(x.ends, x.ends[lo] - x.width[lo] - REACH - 1)), first)
+        b = min(b, len(start) - 1)
+        hi = min(start[b] + count[b] + RADIUS, last)
+        if hi - lo >= words:
+            opens[lo - first] += 1
+            opens[hi - first] -= 1
+    full = np.cumsum(np.append(0, np.cumsum(opens[:-1]) > 0))
+    return np.flatnonzero(full[words:] - full[:-words] == words) + first if len(full) > words else np.zeros(0, np.int64)
+
 
-    return map_arrow(docs, run, "doc_id long, lo int, grams int, seed long, high long, low long, cores long, places byte")
+GRAMS = "g_high long, g_low long, ord long, start int, stop int, again boolean"
 
 
-def _grams(docs: DataFrame, run_chars: int) -> DataFrame:
-    """high, low (the unit), several, doc_id, at (offset in the unit), start, g_high, g_low for each gram
-    of the units that docs(doc_id, text, wanted) name, with the seed at the places that these name."""
-    wide = (run_chars - SEED) // CORES + 1
+def grams(docs: DataFrame, words: int) -> DataFrame:
+    """GRAMS of docs(ord, text, copied): the grams that may be repeated, with their spans; again: the text had it before."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids, wanted, parts = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("wanted").to_pylist(), []
-        for i, x in _blocks(b.column("text").to_pylist(), run_chars):
-            mine = [{(w["high"], w["low"], w["lo"]): (w["several"], w["places"]) for w in wanted[i + k]} for k in range(len(x.base))]
-            several = [mine[t].get(key) for t, *key in zip(x.text.tolist(), x.high.tolist(), x.low.tolist(), x.lo.tolist(), strict=True) for key in [tuple(key)]]
-            u = np.flatnonzero([s is not None for s in several])
-            n = x.grams[u]
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            flags, places = (np.repeat(np.array([several[k][f] for k in u.tolist()], np.int64), n) for f in (0, 1))
-            u = np.repeat(u, n)
-            open_ = places >> (x.ahead[u] - at) // wide & 1 > 0
-            u, at, flags = u[open_], at[open_], flags[open_] > 0
-            where = x.at[u] + at
-            found = [x.stretch(k, where, run_chars).view(np.int64) for k in (0, 1)]
-            parts.append((x.high[u], x.low[u], flags, ids[i + x.text[u]], at.astype(np.int32), (x.lo[u] + at).astype(np.int32), *found))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["high", "low", "several", "doc_id", "at", "start", "g_high", "g_low"])
-
-    return map_arrow(docs, run, "high long, low long, several boolean, doc_id long, at int, start int, g_high long, g_low long")
-
-
-def _spans(docs: DataFrame, run_chars: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, start, stop) of stretches that other documents have too, and of all but the first."""
-    every = cut(units(docs, run_chars), "units")
-    seeds = cut(every.groupBy("seed").count().filter("count > 1").select("seed"), "seeds")
-    met = cut(every.join(seeds, "seed", "left_semi"), "met")
-    kinds = met.groupBy("high", "low", "seed").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "lo")).alias("first"), F.max("doc_id").alias("last"), F.max("cores").alias("cores"), F.max("places").alias("places"))
-    kinds = cut(kinds.withColumn("several", F.col("first.doc_id") != F.col("last")), "kinds")
-    again = cut(kinds.filter("n > 1").select("high", "low", "several", "first"), "again")
-    later = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("lo") != F.col("first.lo"))
-    whole = cut(met.join(again, ["high", "low"]).select("high", "low", "doc_id", "lo", "grams", "several", later.alias("later")).distinct(), "whole")
-    # unlike units of one seed: their grams are counted
-    mixed = cut(kinds.groupBy("seed").count().filter("count > 1").select("seed"), "mixed")
-    place = F.explode(F.expr(f"filter(sequence(0, {CORES - 1}), c -> (places & shiftleft(1, c)) > 0)")).alias("place")
-    unlike = kinds.join(mixed, "seed", "left_semi").select("seed", "high", "low", "several", F.col("first.doc_id").alias("doc_id"), F.col("first.lo").alias("lo"), "cores", place)
-    unlike = cut(unlike.withColumn("core", F.expr("shiftright(cores, 16 * place) & 65535")).drop("cores"), "unlike")
-    cores = cut(unlike.groupBy("seed", "place", "core").count().filter("count > 1").drop("count"), "cores")
-    unlike = unlike.join(cores, ["seed", "place", "core"], "left_semi").groupBy("doc_id", "lo", "high", "low", "several").agg(F.sum(F.expr("shiftleft(1, place)")).cast("int").alias("places"))
-    wanted = cut(unlike.groupBy("doc_id").agg(F.collect_list(F.struct("high", "low", "lo", "several", "places")).alias("wanted")), "wanted")
-    grams = cut(_grams(docs.join(wanted, "doc_id").select("doc_id", "text", "wanted"), run_chars), "grams")
-    seen = grams.groupBy("g_high", "g_low").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"), F.max("several").alias("any"))
-    seen = cut(seen.filter("n > 1").select("g_high", "g_low", "first", (F.col("any") | (F.col("first.doc_id") != F.col("last"))).alias("shared")), "seen-grams")
-    later = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))
-    single = cut(grams.join(seen, ["g_high", "g_low"]).select("high", "low", "doc_id", "at", "start", "several", "shared", later.alias("later")).distinct(), "single")
-    # a unit that one document alone repeats shares the grams that its first occurrence shares
-    within = whole.filter("later AND NOT several").select("high", "low", "lo").join(single.filter("shared").drop("start"), ["high", "low"])
-    span = lambda d, start, n: d.select("doc_id", F.expr(start).alias("start"), F.expr(f"{start} + {n} + {run_chars - 1}").alias("stop"))
-    shared = span(whole.filter("several"), "lo", "grams").unionByName(span(single.filter("shared"), "start", "1")).unionByName(span(within, "lo + at", "1"))
-    removed = span(whole.filter("later"), "lo", "grams").unionByName(span(single.filter("later"), "start", "1"))
-    return shared, removed
-
-
-def _runs(spans: DataFrame, name: str) -> DataFrame:
-    """doc_id, name_spans, name_chars: spans that touch or overlap made one."""
-    w = Window.partitionBy("doc_id").orderBy("start", "stop")
-    before = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opened = spans.withColumn("opens", (F.coalesce(before, F.lit(-1)) < F.col("start")).cast("int"))
-    run = opened.withColumn("run", F.sum("opens").over(w)).groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    found = F.array_sort(F.collect_list(F.struct("start", "stop")))
-    text = F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["start"], s["stop"])), ",")
-    return run.groupBy("doc_id").agg(text.alias(f"{name}_spans"), F.sum(F.col("stop") - F.col("start")).cast("long").alias(f"{name}_chars"))
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run_chars: int = RUN_CHARS) -> DataFrame:
-    """One row for each document: doc_id, n_chunks, n_copied, shared_spans, shared_chars (passages that
-    other documents have too), removed_spans, removed_chars (all but the first occurrence, anywhere).
-    Spans are start:stop in code points, comma-joined; run_chars is SEED at least."""
-    if run_chars < SEED:
-        raise ValueError(f"run_chars must be at least {SEED}")
+        ids, copied, parts = b.column("ord").to_numpy(zero_copy_only=False), b.column("copied").to_pylist(), []
+        for i, x in _blocks([t.encode() for t in b.column("text").to_pylist()]):
+            start, n = x.chunks()
+            text = x.text[start]
+            for t in range(len(x.texts)):
+                mine = slice(*np.searchsorted(text, [t, t + 1]))
+                at = _regions(x, t, np.array(copied[i + t]), start[mine], n[mine], words)
+                if not len(at):
+                    continue
+                begin, end = x.places(t)
+                high, low = x.stretch(0, at, words), x.stretch(1, at, words)
+                again = np.ones(len(at), bool)
+                again[np.unique(np.stack([high, low]), axis=1, return_index=True)[1]] = False
+                local = at - x.first[t]
+                parts.append((high, low, np.full(len(at), ids[i + t]), begin[local].astype(np.int32), end[local + words - 1].astype(np.int32), again))
+        if not parts:
+            parts = [tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.int32, np.int32, bool))]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names=["g_high", "g_low", "ord", "start", "stop", "again"])
+
+    return map_arrow(docs, run, GRAMS)
+
+
+SPANS = "ord long, shared_spans string, shared_chars long, removed_spans string, removed_chars long"
+
+
+def _merged(start: np.ndarray, stop: np.ndarray) -> tuple[str, int]:
+    """Spans in order, those that touch or overlap made one, as text; and their length."""
+    if not len(start):
+        return "", 0
+    stop = np.maximum.accumulate(stop)
+    opens = np.flatnonzero(np.append(True, start[1:] > stop[:-1]))
+    a, b = start[opens], stop[np.append(opens[1:], len(stop)) - 1]
+    return ",".join(f"{x}:{y}" for x, y in zip(a.tolist(), b.tolist(), strict=True)), int((b - a).sum())
+
+
+def _spans(found: DataFrame) -> DataFrame:
+    """SPANS of found(ord, start, stop, shared, later), one text after the other."""
+    names = ["ord", "start", "stop", "shared", "later"]
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        held: list[list[np.ndarray]] = []
+        for b in batches:
+            columns = [b.column(k).to_numpy(zero_copy_only=False) for k in names]
+            edges = np.append(np.flatnonzero(np.diff(columns[0])) + 1, b.num_rows)
+            at = 0
+            for edge in edges.tolist():
+                part = [c[at:edge] for c in columns]
+                if held and len(part[0]) and held[0][0][0] != part[0][0]:
+                    yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                    held = []
+                if len(part[0]):
+                    held.append(part)
+                at = edge
+        if held:
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for ids, start, stop, shared, later in texts(batches):
+            shared, later = shared.astype(bool), later.astype(bool)
+            rows.append((int(ids[0]), *_merged(start[shared], stop[shared]), *_merged(start[later], stop[later])))
+            if len(rows) == 256:
+                yield batch(rows)
+                rows = []
+        if rows:
+            yield batch(rows)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in SPANS.split(", ")])
+
+    return found.select(names).repartition("ord").sortWithinPartitions("ord", "start").mapInArrow(run, SPANS)
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """One row for each row of docs: doc_id, n_chunks, n_copied (chunks that occur elsewhere too),
+    shared_spans, shared_chars (passages that other documents have too), removed_spans, removed_chars
+    (all but the first occurrence, anywhere). Spans are start:stop in code points, comma-joined; words is
+    the least length of a passage."""
     every = cut(chunks(docs, id_col, text_col), "chunks")
-    seen = cut(every.groupBy("high", "low").count().filter("count > 1").select("high", "low"), "seen")  # so that the join's sides have exchanges of their own, and Spark can split a passage that many share
-    counts = every.groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
-    copies = every.join(seen, ["high", "low"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_copied"))
-    texts = plain(docs, id_col, text_col).filter("doc_id is not null")
-    shared, removed = (_runs(s, k) for s, k in zip(_spans(texts, run_chars), ("shared", "removed"), strict=True))
-    ids = texts.select("doc_id").distinct()
-    out = ids.join(counts, "doc_id", "left").join(copies, "doc_id", "left").join(shared, "doc_id", "left").join(removed, "doc_id", "left")
-    return out.select(
-        "doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_chunks", "n_copied")), *(F.coalesce(f"{k}_{c}", F.lit(z)).alias(f"{k}_{c}") for k in ("shared", "removed") for c, z in (("spans", ""), ("chars", 0)))
-    )
+    texts = keyed(docs, id_col, text_col)
+    once = every
+    if not every.groupBy("key", "h").count().filter("count > 1").isEmpty():  # rows that repeat are read once
+        once = every.dropDuplicates(["key", "h"])
+        texts = texts.groupBy("key", "h").agg(F.first("text").alias("text"))
+    each = once.select("key", "h", F.explode("chunks").alias("c")).select("key", "h", "c.*")
+    place = each.select("high", "low", F.xxhash64("key", "h", "at").alias("place"))
+    # written, so that the join's sides have exchanges of their own, and Spark can split a passage that many share
+    seen = cut(place.groupBy("high", "low").agg(F.min("place").alias("a"), F.max("place").alias("b")).filter("a <> b").select("high", "low"), "seen")
+    copied = each.join(seen, ["high", "low"], "left_semi").groupBy("key", "h").agg(F.collect_list("at").alias("copied"))
+    # numbered in the order that says which occurrence is the first
+    wanted = cut(cut(copied, "copied").orderBy("key", "h").withColumn("ord", F.monotonically_increasing_id()), "wanted")
+    found = cut(grams(texts.join(wanted, ["key", "h"]).select("ord", "text", "copied"), words), "grams")
+    twice = cut(found.groupBy("g_high", "g_low").agg(F.min("ord").alias("one"), F.max("ord").alias("last")).filter("one <> last").select("g_high", "g_low", "one"), "grams")
+    shared = found.join(twice, ["g_high", "g_low"]).select("ord", "start", "stop", F.lit(True).alias("shared"), (F.col("again") | (F.col("ord") != F.col("one"))).alias("later"))
+    alone = found.filter("again").select("ord", "start", "stop", F.lit(False).alias("shared"), F.lit(True).alias("later"))
+    spans = wanted.select("key", "h", "ord", F.size("copied").cast("long").alias("n_copied")).join(_spans(shared.unionByName(alone)), "ord", "left")
+    out = every.select("key", "h", F.size("chunks").cast("long").alias("n_chunks")).join(spans, ["key", "h"], "left")
+    zero = {"n_copied": 0, "shared_spans": "", "shared_chars": 0, "removed_spans": "", "removed_chars": 0}
+    return out.select(F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), "n_chunks", *(F.coalesce(c, F.lit(z)).alias(c) for c, z in zero.items()))
 
 
 def without(text: str, spans: str) -> str:

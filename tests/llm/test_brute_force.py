@@ -201,61 +201,88 @@ def test_raking_finds_what_was_planted():
     assert np.allclose(w, true, atol=1e-6)
 
 
+def passages(docs, n):
+    """For each (id, text): the code points in grams of n words that another has, and in all but the first."""
+    where, spans = defaultdict(list), {}
+    for d in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0)):
+        spans[d] = [m.span() for m in WORD.finditer(d[1])]
+        w = [d[1][a:b] for a, b in spans[d]]
+        for k in range(len(w) - n + 1):
+            where[tuple(w[k : k + n])].append((d, k))
+    shared, later = defaultdict(set), defaultdict(set)
+    for at in where.values():
+        for d, k in at:
+            stretch = range(spans[d][k][0], spans[d][k + n - 1][1])
+            if len({x for x, _ in at}) > 1:
+                shared[d].update(stretch)
+            if (d, k) != at[0]:
+                later[d].update(stretch)
+    return shared, later
+
+
+def named(spans):
+    return {x for s in spans.split(",") if s for x in range(*map(int, s.split(":")))}
+
+
 def test_repeated_passages(spark, texts):
+    shared, later = passages(texts.items(), chunk_dedup.WORDS)
     got = {r.doc_id: r for r in queries.op2_chunk_dedup(spark, SF).collect()}
-    where, short = defaultdict(set), defaultdict(set)
-    for i, t in texts.items():
-        w = t.split()
-        for k in range(len(w) - 11):
-            short[tuple(w[k : k + 12])].add(i)
-        for k in range(len(w) - 49):
-            where[tuple(w[k : k + 50])].add(i)
-    long = {i for v in where.values() if len(v) > 1 for i in v}
-    some = {i for v in short.values() if len(v) > 1 for i in v}
-    found = {i for i, r in got.items() if r.shared_chars}
-    assert long <= found <= some
+    assert set(got) == set(texts)
     for i, r in got.items():
+        assert (named(r.shared_spans), named(r.removed_spans)) == (shared[i, texts[i]], later[i, texts[i]]), i
+        assert (r.shared_chars, r.removed_chars) == (len(shared[i, texts[i]]), len(later[i, texts[i]]))
         assert len(chunk_dedup.without(texts[i], r.removed_spans)) == len(texts[i]) - r.removed_chars
 
 
 def test_passages_of_51_words_in_unlike_contexts(spark):
-    """Single passages of short and of long words, held against all stretches of RUN_CHARS characters."""
-    rng, docs = np.random.default_rng(5), {}
+    """Single passages of short and of long words, with other white space, periods and repeated ids."""
+    rng, docs = np.random.default_rng(5), []
     short = "a I of to in is it on at by we he as or an be so no up my the and for was not you all".split()
     for k in range(300):
         word = (lambda: short[rng.integers(len(short))]) if k % 2 else (lambda: "".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))))
         passage = " ".join(word() for _ in range(51))
         for side in (0, 1):
             around = ["".join(map(chr, rng.integers(0x430, 0x450, rng.integers(5, 200)))) for _ in range(2)]
-            docs[2 * k + side] = f"{around[0]} {passage} {around[1]}"
-    docs |= {900: docs[0][:150] + docs[2][:150] + docs[0][:150], 901: "ab " * 200, 902: "x" * 99, 903: "x" * 99, 904: docs[5], 905: docs[5][:130]}
-    n, where = chunk_dedup.RUN_CHARS, defaultdict(list)
-    for i, t in sorted(docs.items()):
-        for k in range(len(t) - n + 1):
-            where[t[k : k + n]].append((i, k))
-    shared, later = defaultdict(set), defaultdict(set)
-    for at in where.values():
-        for i, k in at:
-            if len({d for d, _ in at}) > 1:
-                shared[i].update(range(k, k + n))
-            if (i, k) != at[0]:
-                later[i].update(range(k, k + n))
-    named = lambda spans: {x for s in spans.split(",") if s for x in range(*map(int, s.split(":")))}
-    got = chunk_dedup.repeated_passages(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
-    assert all(shared[i] for i in range(600)) and {r.doc_id for r in got} == set(docs)
-    assert all(named(r.shared_spans) == shared[r.doc_id] and named(r.removed_spans) == later[r.doc_id] for r in got)
+            docs.append((2 * k + side, f"{around[0]} {passage if k % 3 else passage.replace(' ', chr(10) * (1 + side))} {around[1]}"))
+    twice = " ".join(docs[4][1].split()[1:60])
+    docs += [(900, f"{twice} and {twice}"), (901, "ab " * 200), (902, "ab " * 90 + "c"), (903, "x y z " * 30), (904, docs[5][1]), (5, docs[6][1]), (None, docs[7][1]), (None, "x y z " * 40), (905, ""), (906, " ".join(docs[8][1].split()[1:50]))]
+    shared, later = passages(docs, chunk_dedup.WORDS)
+    rows = [*docs, docs[-4], docs[-4], (907, None)]
+    got = chunk_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(shared[d] for d in docs[:600]) and len(got) == len(rows)
+    figure = lambda i, a, b: (str(i), len(a), len(b), min(a, default=-1), max(b, default=-1))
+    want = [figure(d[0], shared[d], later[d]) for d in rows]
+    assert sorted(figure(r.doc_id, named(r.shared_spans), named(r.removed_spans)) for r in got) == sorted(want)
 
 
 def test_chunks_resist_insertions():
     text = " ".join(f"{i * 7919 % 1000}word{i}" for i in range(2000)).encode()
 
-    def cut(t):
-        ends = chunk_dedup.cuts([t])[0]
-        return {t[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)}
-
-    a, b = cut(text), cut(text[:5000] + b"inserted" + text[5000:])
-    assert len(a & b) > 0.95 * len(a) and all(len(c) <= chunk_dedup.MAX_BYTES for c in a)
-    assert chunk_dedup.cuts([text, text])[1] == chunk_dedup.cuts([text])[0]
+    def cut(*texts):
+        x = chunk_dedup.Words(list(texts))
+        return [(int(x.text[s]), b" ".join(texts[x.text[s]].split()[s - x.first[x.text[s]] :][:n])) for s, n in zip(*x.chunks(), strict=True)]
+
+    a, b = ({c for _, c in cut(t)} for t in (text, text[:5000] + b" inserted " + text[5000:]))
+    assert len(a & b) > 0.95 * len(a)
+    assert [c for t, c in cut(b"x y", text, b"", text) if t == 3] == [c for _, c in cut(text)] == [c for t, c in cut(b"", text) if t == 1]
+    assert b" ".join(c for _, c in cut(text)) == text
+
+
+def test_no_gram_without_a_chunk():
+    """Whatever stands around it, a gram holds a whole chunk."""
+    rng = np.random.default_rng(9)
+    word = lambda k: b"".join(bytes([x]) for x in rng.integers(97, 123, rng.integers(1, 3 + 6 * (k % 2))))
+    gram = [[word(k) for _ in range(chunk_dedup.WORDS)] for k in range(3000)]
+    ends = []
+    for _ in range(2):
+        texts = [b" ".join([word(1) for _ in range(9)] + g + [word(1) for _ in range(9)]) for g in gram]
+        x = chunk_dedup.Words(texts)
+        start, n = x.chunks()
+        text = x.text[start]
+        local = start - x.first[text]
+        inside = (local >= 9) & (local + n <= 9 + chunk_dedup.WORDS)
+        ends.append({(int(t), int(s), int(k)) for t, s, k in zip(text[inside], local[inside], n[inside], strict=True)})
+    assert {t for t, _, _ in ends[0] & ends[1]} == set(range(3000))
 
 
 @pytest.mark.parametrize("first,n,capitals", [(0x430, 32, True), (0x3B1, 17, True), (0x5D0, 27, False), (0x628, 19, False), (0x3041, 60, False), (0x4E00, 500, False), (0xAC00, 500, False)])
@@ -307,19 +334,19 @@ def test_quality_rejects_outliers_of_a_clean_group(spark):
     again = " ".join(_prose(rng, 33))
     planted = {
         "repeats": "\n".join([*clean, again, "and " + again]),
-        "symbols": "\n".join(f"{x} {'#|&<$% ' * 5}" for x in clean),
+        "symbols": "\n".join(f"{x} {'#|&<$%' * 5}" for x in clean),
         "dup_lines": "\n".join(x for line in clean[:4] for x in (line[:4], line[:4])) + "\n" + "\n".join(clean),
         "word_length": "\n".join(x.replace(" ", "") if k % 2 else x for k, x in enumerate(" ".join(_prose(rng, 12)) for _ in range(30))),
     }
     for k, t in enumerate(planted.values()):
         rows.append((900 + k, t, "a"))
-    rows += [(910, rows[500][1], "a"), (911, rows[5][1], "b")]  # a table among prose is an outlier, and prose among tables one by its short words
+    rows += [(910, rows[500][1], "a")]  # a table among prose is an outlier
     d = spark.createDataFrame([(i, t, "en" if s == "a" else "de", s) for i, t, s in rows], "doc_id long, text string, lang string, source string")
     out = {r.doc_id: r for r in quality.judged(d).collect()}
     assert sum(not out[i].kept for i in range(800)) <= 8
     for k, name in enumerate(planted):
         assert name in out[900 + k].rejected_by and not out[900 + k].base_failed and not out[900 + k].kept, (name, out[900 + k])
-    assert "symbols" in out[910].rejected_by and "word_length" in out[911].rejected_by
+    assert "symbols" in out[910].rejected_by and all("symbols" not in out[i].rejected_by for i in range(400, 800))
 
 
 def test_quantiles_of_merged_sketches(spark):
