@@ -13,6 +13,7 @@ unless hardly any word in it is an end: 50 words make seven chunks on average, a
 grams none was missed. The first gram, by (doc_id, text, position), stays; later ones are removed, so
 that of a stretch that repeats with a period below its length one period stays.
 
+Copies of a whole text, word for word, are passages as a whole; only the first is looked into for more.
 Digests and grams are counted with map-side combining, and no pairs of occurrences are made. Words are
 what white space separates, so scripts without blanks have few.
 
@@ -43,7 +44,8 @@ BLOCK = 1_000_000
 GEAR = np.append(np.random.default_rng(2024).integers(0, 2**32, 255, dtype=np.uint32), np.uint32(0))
 GAP = b"\xff" * REACH
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-WHITE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+BLANKS = " \t\n\x0b\x0c\r"
+WHITE = np.isin(np.arange(256), list(BLANKS.encode()))
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -126,23 +128,31 @@ def _blocks(texts: list[bytes]) -> Iterator[tuple[int, Words]]:
         i = j
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key, h (the row's, as common.keyed has them) and chunks(at, words, high, low) of each row."""
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """key, h (the row's, as common.keyed has them) and chunks(at, words, high, low) of each row; of texts with
+    WORDS words or more also their digest (t_high, t_low), and lo and hi, where their words begin and end."""
     one = pa.struct([("at", pa.int32()), ("words", pa.int32()), ("high", pa.int64()), ("low", pa.int64())])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, columns = [], []
-        for _, x in _blocks([t.encode() for t in b.column("text").to_pylist()]):
+        sizes, columns, whole = [], [], []
+        texts = b.column("text").to_pylist()
+        for _, x in _blocks([t.encode() for t in texts]):
             start, n = x.chunks()
             text = x.text[start]
             sizes.append(np.bincount(text, minlength=len(x.texts)))
+            whole.append((x.stretch(0, x.first, x.count), x.stretch(1, x.first, x.count), x.count < words))
             columns.append(((start - x.first[text]).astype(np.int32), n.astype(np.int32), x.stretch(0, start, n), x.stretch(1, start, n)))
         offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), pa.int32())
         rows = pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)], fields=list(one))
-        return pa.RecordBatch.from_arrays([b.column("key"), b.column("h"), pa.ListArray.from_arrays(offsets, rows)], names=["key", "h", "chunks"])
+        high, low, few = (np.concatenate(c) for c in zip(*whole, strict=True))
+        lo, hi = [len(t) - len(t.lstrip(BLANKS)) for t in texts], [len(t.rstrip(BLANKS)) for t in texts]
+        digest = [pa.array(c, pa.int64(), mask=few) for c in (high, low)]
+        names = ["key", "h", "t_high", "t_low", "lo", "hi", "chunks"]
+        return pa.RecordBatch.from_arrays([b.column("key"), b.column("h"), *digest, pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.ListArray.from_arrays(offsets, rows)], names=names)
 
     small_batches(docs.sparkSession)
-    return map_arrow(keyed(docs, id_col, text_col), run, "key long, h long, chunks array<struct<at: int, words: int, high: long, low: long>>")
+    schema = "key long, h long, t_high long, t_low long, lo long, hi long, chunks array<struct<at: int, words: int, high: long, low: long>>"
+    return map_arrow(keyed(docs, id_col, text_col), run, schema)
 
 
 def _regions(x: Words, t: int, copied: np.ndarray, start: np.ndarray, count: np.ndarray, words: int) -> np.ndarray:
@@ -253,12 +263,20 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared_spans, shared_chars (passages that other documents have too), removed_spans, removed_chars
     (all but the first occurrence, anywhere). Spans are start:stop in code points, comma-joined; words is
     the least length of a passage."""
-    every = cut(chunks(docs, id_col, text_col), "chunks")
+    every = cut(chunks(docs, id_col, text_col, words), "chunks")
     texts = keyed(docs, id_col, text_col)
     once = every
     if not every.groupBy("key", "h").count().filter("count > 1").isEmpty():  # rows that repeat are read once
         once = every.dropDuplicates(["key", "h"])
         texts = texts.groupBy("key", "h").agg(F.first("text").alias("text"))
+
+    # copies of a whole text have all of its passages: only the first is looked into
+    classes = every.filter("t_high is not null").groupBy("t_high", "t_low").agg(F.min(F.struct("key", "h")).alias("first"), F.min(F.xxhash64("key", "h")).alias("a"), F.max(F.xxhash64("key", "h")).alias("b"))
+    classes = cut(classes.filter("a <> b").select("t_high", "t_low", "first"), "classes")
+    copy = (F.col("key") != F.col("first.key")) | (F.col("h") != F.col("first.h"))
+    in_class = cut(every.select("key", "h", "t_high", "t_low").join(classes, ["t_high", "t_low"]).select("key", "h", copy.alias("copy")).distinct(), "copies")
+    once = once.join(in_class.filter("copy").select("key", "h"), ["key", "h"], "left_anti")
+
     each = once.select("key", "h", F.explode("chunks").alias("c")).select("key", "h", "c.*")
     place = each.select("high", "low", F.xxhash64("key", "h", "at").alias("place"))
     # written, so that the join's sides have exchanges of their own, and Spark can split a passage that many share
@@ -267,13 +285,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # numbered in the order that says which occurrence is the first
     wanted = cut(cut(copied, "copied").orderBy("key", "h").withColumn("ord", F.monotonically_increasing_id()), "wanted")
     found = cut(grams(texts.join(wanted, ["key", "h"]).select("ord", "text", "copied"), words), "grams")
-    twice = cut(found.groupBy("g_high", "g_low").agg(F.min("ord").alias("one"), F.max("ord").alias("last")).filter("one <> last").select("g_high", "g_low", "one"), "grams")
+    twice = cut(found.groupBy("g_high", "g_low").agg(F.min("ord").alias("one"), F.max("ord").alias("last")).filter("one <> last").select("g_high", "g_low", "one"), "twice")
     shared = found.join(twice, ["g_high", "g_low"]).select("ord", "start", "stop", F.lit(True).alias("shared"), (F.col("again") | (F.col("ord") != F.col("one"))).alias("later"))
     alone = found.filter("again").select("ord", "start", "stop", F.lit(False).alias("shared"), F.lit(True).alias("later"))
     spans = wanted.select("key", "h", "ord", F.size("copied").cast("long").alias("n_copied")).join(_spans(shared.unionByName(alone)), "ord", "left")
-    out = every.select("key", "h", F.size("chunks").cast("long").alias("n_chunks")).join(spans, ["key", "h"], "left")
-    zero = {"n_copied": 0, "shared_spans": "", "shared_chars": 0, "removed_spans": "", "removed_chars": 0}
-    return out.select(F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), "n_chunks", *(F.coalesce(c, F.lit(z)).alias(c) for c, z in zero.items()))
+
+    out = every.select("key", "h", "lo", "hi", F.size("chunks").cast("long").alias("n_chunks")).join(spans, ["key", "h"], "left").join(in_class, ["key", "h"], "left")
+    whole, length = F.concat_ws(":", "lo", "hi"), F.col("hi") - F.col("lo")
+    figures = {
+        "n_copied": F.when(F.col("copy").isNotNull(), F.col("n_chunks")).otherwise(F.coalesce("n_copied", F.lit(0))),
+        "shared_spans": F.when(F.col("copy").isNotNull(), whole).otherwise(F.coalesce("shared_spans", F.lit(""))),
+        "shared_chars": F.when(F.col("copy").isNotNull(), length).otherwise(F.coalesce("shared_chars", F.lit(0))),
+        "removed_spans": F.when(F.col("copy"), whole).otherwise(F.coalesce("removed_spans", F.lit(""))),
+        "removed_chars": F.when(F.col("copy"), length).otherwise(F.coalesce("removed_chars", F.lit(0))),
+    }
+    return out.select(F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), "n_chunks", *(c.alias(k) for k, c in figures.items()))
 
 
 def without(text: str, spans: str) -> str:
