@@ -5,14 +5,17 @@ earlier full response of the same canonical URL, if its validators agree: the en
 have one, else the modification date. Headers are those of the full response, with the ones that a
 not-modified answer may renew taken from the revisit.
 
-The as-of join is a window over keys and times alone, in two levels: the last full response of each
-time slice of a URL is carried to its later slices, and rows look back within their slice. A URL with
-a third of all captures so spreads over as many tasks as it has slices. Payloads join at the end.
+The as-of join is a window over keys and times alone, in two levels. Captures are sorted by URL and time
+over all tasks, and each task's stretch is a slice, so that a URL with a third of all captures, be they of
+one hour or without a time, spreads over as many slices as it fills: rows look back within their slice,
+and the last full response of each slice is carried to the later ones. Headers and payloads join at the
+end; a response that many slices need is copied once for each of them.
 
 Defined results: status is `full` for responses; `resolved`; `mismatch` if the latest earlier response
 has another validator; `unchecked` if no validator can be compared (the payload is taken); `orphan`
-without an earlier response. Records of the same time are ordered by record_id; a null time is before
-all others; null URLs are one URL; records that repeat are resolved alike.
+without an earlier response. Records of the same time are ordered by record_id and then by a hash of the
+record; a null time is before all others; null URLs are one URL; there is one row out for each row in, so
+records that repeat are resolved alike, and other records with one record_id by themselves.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from skein.llm.common import cut
 #: Headers that a 304 answer may renew, and query parameters that name no content.
 RENEWED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
-SLICE_SECONDS = 3600
+#: Stands for a null time or id, before all others.
+LEAST = -(1 << 62)
 
 
 def canonical_url(url: Column) -> Column:
@@ -39,40 +43,49 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
-def resolve(records: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def resolve(records: DataFrame) -> DataFrame:
     """records: record_id, url, ts (seconds), type (`response` or `revisit`), etag, last_modified,
     headers map<string,string> (names in lower case), payload. Adds canonical, status, source_id, and
     gives revisits their payload and merged headers."""
-    known = records.select("record_id", "url", "ts", "type", "etag", "last_modified", "headers", "payload").withColumn("canonical", canonical_url(F.col("url")))
+    known = records.select("record_id", "url", "ts", "type", "etag", "last_modified", "headers", "payload")
+    known = known.withColumn("canonical", canonical_url(F.col("url"))).withColumn("h", F.xxhash64("url", "ts", "etag", "last_modified", "payload"))
     full = F.col("type") == "response"
-    points = known.select(
-        "record_id",
-        "canonical",
-        "ts",
-        "etag",
-        "last_modified",
-        "type",
-        F.coalesce(F.floor(F.col("ts") / slice_seconds), F.lit(-(1 << 62))).alias("slice"),
-        F.when(full, F.struct(F.coalesce("ts", F.lit(-(1 << 62))).alias("ts"), "record_id", "etag", "last_modified")).alias("seen"),
-    )
-    slices = points.groupBy("canonical", "slice").agg(F.max("seen").alias("newest"))
+    # what tells a response: its time comes first, so that the greatest is the latest
+    seen = F.when(full, F.struct(F.coalesce("ts", F.lit(LEAST)).alias("ts"), F.coalesce("record_id", F.lit(LEAST)).alias("id"), "h", "record_id", "etag", "last_modified"))
+    points = known.select("canonical", "ts", "record_id", "h", "type", "etag", "last_modified", F.when(~full, F.col("headers")).alias("headers"), seen.alias("seen"))
+    # written, so that slices stay as they are
+    dealt = cut(points.repartitionByRange("canonical", "ts", "record_id", "h").withColumn("slice", F.spark_partition_id()), "captures")
+
+    slices = dealt.groupBy("canonical", "slice").agg(F.max("seen").alias("newest"))
     earlier = Window.partitionBy("canonical").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = slices.select("canonical", "slice", F.last("newest", ignorenulls=True).over(earlier).alias("carried"))
-    within = Window.partitionBy("canonical", "slice").orderBy(F.col("ts").asc_nulls_first(), "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    looked = points.withColumn("near", F.last("seen", ignorenulls=True).over(within)).join(carried, ["canonical", "slice"])
-    looked = looked.filter(~full).withColumn("found", F.coalesce("near", "carried"))
+    carried = slices.select("canonical", "slice", F.last("newest", ignorenulls=True).over(earlier).alias("carried")).filter("carried is not null")
+    within = Window.partitionBy("canonical", "slice").orderBy(F.col("ts").asc_nulls_first(), F.col("record_id").asc_nulls_first(), "h").rowsBetween(Window.unboundedPreceding, -1)
+    looked = dealt.withColumn("near", F.last("seen", ignorenulls=True).over(within)).filter(~full).join(carried, ["canonical", "slice"], "left")
+    looked = looked.withColumn("found", F.coalesce("near", "carried"))
     tags = F.col("etag").isNotNull() & F.col("found.etag").isNotNull()
     dates = F.col("last_modified").isNotNull() & F.col("found.last_modified").isNotNull()
     agrees = F.when(tags, F.col("etag") == F.col("found.etag")).when(dates, F.col("last_modified") == F.col("found.last_modified"))
     status = F.when(F.col("found").isNull(), "orphan").when(agrees.isNull(), "unchecked").when(agrees, "resolved").otherwise("mismatch")
-    verdicts = looked.select("record_id", status.alias("status"), F.when(status.isin("resolved", "unchecked"), F.col("found.record_id")).alias("source_id")).distinct()
+    takes = status.isin("resolved", "unchecked")
+    verdicts = looked.select(
+        "record_id", "canonical", "ts", "type", status.alias("status"), "headers", "slice", F.when(takes, F.col("found.record_id")).alias("source_id"),
+        F.when(takes, F.col("found.id")).alias("id"), F.when(takes, F.col("found.h")).alias("h"), F.col("near").isNull().alias("far"),
+    )
     verdicts = cut(verdicts, "revisits")
-    revisits = known.filter(~full).drop("payload").join(verdicts.hint("merge"), "record_id")
-    origin = known.filter(full).select(F.col("record_id").alias("source_id"), F.col("headers").alias("stored"), "payload").dropDuplicates(["source_id"])
-    merged = revisits.join(origin.hint("merge"), "source_id", "left")
-    renew = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, _: k.isin(*RENEWED))
-    stored = F.map_filter(F.coalesce("stored", F.create_map().cast("map<string,string>")), lambda k, _: ~F.array_contains(F.map_keys(renew), k))
-    merged = merged.withColumn("headers", F.when(F.col("source_id").isNotNull(), F.map_concat(stored, renew)).otherwise(F.col("headers")))
+
+    origin = known.filter(full).select(F.coalesce("record_id", F.lit(LEAST)).alias("id"), "h", F.col("headers").alias("stored"), "payload")
+    if not dealt.filter(full).groupBy("record_id", "h").count().filter("count > 1").isEmpty():  # responses that repeat count once
+        origin = origin.groupBy("id", "h").agg(F.min_by(F.struct("stored", "payload"), F.coalesce(F.to_json("stored"), F.lit(""))).alias("o")).select("id", "h", "o.*")
+    # a slice bounds how many look back within it; those that look further join a copy made for their slice
+    near = verdicts.filter("h is not null and not far").join(origin.hint("merge"), ["id", "h"])
+    needed = cut(verdicts.filter("h is not null and far").select("id", "h", "slice").distinct(), "needed")
+    far = verdicts.filter("h is not null and far").join(origin.join(needed, ["id", "h"]), ["id", "h", "slice"])
+    none = verdicts.filter("h is null").withColumn("stored", F.lit(None).cast("map<string,string>")).withColumn("payload", F.lit(None).cast("string"))
+    merged = near.unionByName(far).unionByName(none)
+    empty = F.create_map().cast("map<string,string>")
+    renew = F.map_filter(F.coalesce("headers", empty), lambda k, _: k.isin(*RENEWED))
+    stored = F.map_filter(F.coalesce("stored", empty), lambda k, _: ~F.array_contains(F.map_keys(renew), k))
+    merged = merged.withColumn("headers", F.when(F.col("h").isNotNull(), F.map_concat(stored, renew)).otherwise(F.col("headers")))
     columns = ["record_id", "canonical", "ts", "type", "status", "source_id", "headers", "payload"]
     whole = known.filter(full).withColumn("status", F.lit("full")).withColumn("source_id", F.col("record_id"))
     return whole.select(columns).unionByName(merged.select(columns))

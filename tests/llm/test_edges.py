@@ -129,6 +129,24 @@ def test_chat(spark):
     assert chat.digests(chat.format_log(chat.event_log(c.limit(0)))).count() == 0
 
 
+def test_chat_events(spark):
+    log = [(1, 0, 0, 0, "start", "assistant", None), (1, 0, 0, 1, None, None, "x"), (1, 0, 0, 2, "delta", None, "ab"), (1, 0, 0, 3, "shout", "user", "y"), (1, 0, 0, 4, "delta", None, None), (1, 0, 0, 5, "delta", None, "c"),
+           (1, 1, 0, 0, None, None, None), (2, 0, 0, 2, "delta", None, "new"), (2, 0, 0, 1, "regenerate", None, None), (2, 0, 0, 0, "delta", None, "old")]
+    df = spark.createDataFrame(log, chat.LOG).withColumn("rendered", F.lit(1)).withColumn("loss_start", F.lit("z"))
+    out = sorted((r.conv_id, r.turn, r.role, r.text) for r in chat.messages(df).collect())
+    assert out == [(1, 0, "assistant", "abc"), (1, 1, "", ""), (2, 0, "", "new")]
+    assert {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.digests(chat.format_log(df)).collect()} == {1: (2, 3), 2: (1, 0)}
+
+
+def test_chat_with_long_texts_and_other_columns(spark):
+    said = "ab<|\\ü\n😀" * 60_000
+    c = spark.createDataFrame([(1, k, "assistant" if k % 2 else "user", said, 7, "c") for k in range(4)], "conv_id long, turn long, role string, text string, copy int, event string")
+    r = chat.digests(chat.format_log(chat.event_log(c))).first()
+    import hashlib
+
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (4, 2 * len(said), hashlib.sha256((said * 2).encode()).hexdigest())
+
+
 def test_warc(spark):
     schema = "record_id long, url string, ts long, type string, etag string, last_modified string, headers map<string,string>, payload string"
     full = lambda i, t, tag, body, url="http://a.com/x": (i, url, t, "response", tag, None, {"etag": tag or "-", "content-type": "t"}, body)
@@ -140,3 +158,52 @@ def test_warc(spark):
     ]
     assert out[3].headers == {"etag": "A", "content-type": "t", "date": "now"} and out[11].headers == {"etag": "B", "content-type": "t"}
     assert warc.resolve(spark.createDataFrame([], schema)).count() == 0
+
+
+WARC = "record_id long, url string, ts long, type string, etag string, last_modified string, headers map<string,string>, payload string, canonical string, h long, slice int, seen string"
+
+
+def by_hand(records):
+    """(record_id, status, source payload) for each record: the latest earlier response, found by looking at all."""
+    order = lambda r: (-(1 << 62) if r[2] is None else r[2], r[0])
+    out = []
+    for r in records:
+        if r[3] == "response":
+            out.append((r[0], "full", r[7]))
+            continue
+        earlier = [f for f in records if f[3] == "response" and f[1] == r[1] and order(f) < order(r)]
+        if not earlier:
+            out.append((r[0], "orphan", None))
+            continue
+        f = max(earlier, key=order)
+        agrees = r[4] == f[4] if r[4] and f[4] else r[5] == f[5] if r[5] and f[5] else None
+        out.append((r[0], {None: "unchecked", True: "resolved", False: "mismatch"}[agrees], f[7] if agrees is not False else None))
+    return sorted(out, key=str)
+
+
+def test_warc_in_a_hot_url(spark):
+    """One URL has most captures, many without a time or at the same; long payloads, clashing columns, repeated rows."""
+    import random
+
+    rng, rows = random.Random(3), []
+    for i in range(400):
+        url, kind = rng.choice(["a.com/x"] * 5 + ["b.com", None]), rng.choice(["response", "revisit", "revisit"])
+        tag, date = rng.choice(["A", "B", None]), rng.choice(["d", "e", None])
+        rows.append((i, url, rng.choice([None, 5, rng.randint(0, 30)]), kind, tag, date, None if i % 7 == 0 else {"etag": str(tag), "x": str(i)}, f"p{i}" * (100_000 if i == 17 else 1) if kind == "response" else None, "c", 1, 2, "s"))
+    rows += [rows[k] for k in (2, 3, 4, 5)]
+    for parts in ("1", "9"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            out = warc.resolve(spark.createDataFrame(rows, WARC)).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert sorted(((r.record_id, r.status, r.payload) for r in out), key=str) == by_hand(rows)
+
+
+def test_warc_with_ids_that_repeat(spark):
+    revisit = lambda tag: (2, "a.com", 9, "revisit", tag, None, {"date": tag}, None, "c", 1, 2, "s")
+    full = lambda body, ts: (1, "a.com", ts, "response", "A", None, {"b": body}, body, "c", 1, 2, "s")
+    rows = [full("one", 1), full("two", 2), full("two", 2), revisit("A"), revisit("B"), revisit("A")]
+    out = warc.resolve(spark.createDataFrame(rows, WARC)).collect()
+    assert sorted((r.status, str(r.payload)) for r in out) == [("full", "one"), ("full", "two"), ("full", "two"), ("mismatch", "None"), ("resolved", "two"), ("resolved", "two")]
+    assert all(r.headers["b"] == r.payload for r in out if r.status == "resolved")
