@@ -2,15 +2,15 @@
 
 The log has one row for each event of a message: `start` (role), `delta` (text to append), `edit`
 (text that replaces all so far) and `regenerate` (what was streamed so far is void). The log is
-partitioned by conversation, sorted by (turn, seq) within each partition, and folded as a stream: a
-task holds the message at hand and nothing else, so neither a conversation of a third of all rows nor
-a long message history needs memory.
+partitioned by message of a conversation, sorted by (turn, seq) within each partition, and folded as a
+stream: a task holds the message at hand and nothing else, and a conversation of a third of all rows is
+folded and rendered by as many tasks as there are. Only its digest is one stream by nature.
 
 Template: `<|im_start|>role\\ntext<|im_end|>\\n`. Backslashes are doubled and `<|` in a role or text is
 written `<\\|`, so control strings occur in the output as marks of turns alone, and unescaping gives
 back every text. The loss mask covers the escaped text of assistant turns.
 
-Defined results: null texts and roles are empty; rows that repeat conversation and turn are turns of
+Defined results: null texts and roles are empty; events of no known kind, null ones too, change nothing; rows that repeat conversation and turn are turns of
 their own, in an order that follows from role and text, so copies stay; rows without a conversation or turn number
 sort first under a null id; an empty table gives an empty table.
 """
@@ -68,7 +68,7 @@ def event_log(conversations: DataFrame, piece: int = 64) -> DataFrame:
     kind = F.pmod(F.coalesce("turn", F.lit(0)), F.lit(4))
     event = lambda name, role, text: F.struct(F.lit(name).alias("event"), role.alias("role"), text.alias("text"))
     none, role, text = F.lit(None).cast("string"), F.col("role"), F.col("text")
-    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / piece).cast("int")), lambda i: event("delta", none, F.substring(text, i * piece + 1, F.lit(piece))))
+    pieces = F.transform(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{piece}}}"), F.lit(0)), lambda x: event("delta", none, x))
     false_start = F.when(kind == 1, F.array(event("delta", none, F.substring(text, F.lit(1), F.lit(9))), event("regenerate", none, none)))
     draft = F.when(kind == 2, F.array(event("delta", none, F.lit("draft")), event("edit", none, text))).otherwise(pieces)
     events = F.concat(F.array(event("start", role, none)), F.coalesce(false_start, F.array().cast("array<struct<event:string,role:string,text:string>>")), draft)
@@ -105,8 +105,6 @@ def fold(events: Iterable[tuple]) -> Iterator[tuple]:
             parts.append(text or "")
         elif event in ("edit", "regenerate"):
             parts = [text or ""] if event == "edit" else []
-        else:
-            raise ValueError(f"unknown event {event!r}")
     if at is not None:
         yield (*at, role, "".join(parts))
 
@@ -124,29 +122,36 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
 
 
-def _by_conversation(df: DataFrame, *order: str) -> DataFrame:
-    return df.repartition("conv_id").sortWithinPartitions("conv_id", *order)
+def schema_names(ddl: str) -> list[str]:
+    return [x.split()[0] for x in ddl.split(", ")]
+
+
+def _dealt(df: DataFrame, *by: str, order: tuple[str, ...]) -> DataFrame:
+    return df.repartition(*by).sortWithinPartitions("conv_id", *order)
+
+
+def _by_message(log: DataFrame) -> DataFrame:
+    events = log.select("conv_id", "turn", "copy", "seq", "event", "role", "text")
+    return _dealt(events, "conv_id", "turn", "copy", order=("turn", "copy", "seq"))
 
 
 def messages(log: DataFrame) -> DataFrame:
     """The final messages of an event log."""
     small_batches(log.sparkSession)
     schema = _schema(MESSAGES)
-    return _by_conversation(log.select("conv_id", "turn", "copy", "seq", "event", "role", "text"), "turn", "copy", "seq").mapInArrow(
-        lambda bs: _batches(fold(_rows(bs)), schema), MESSAGES
-    )
+    return _by_message(log).mapInArrow(lambda bs: _batches(fold(_rows(bs)), schema), MESSAGES)
 
 
 def format_log(log: DataFrame) -> DataFrame:
-    """Rendered turns of an event log, in order within each partition: a conversation is the
-    concatenation of its turns by (turn, copy); loss_start and loss_end are code points within a turn."""
+    """Rendered turns of an event log: a conversation is the concatenation of its turns by (turn, copy);
+    loss_start and loss_end are code points within a turn."""
     small_batches(log.sparkSession)
     schema = _schema(RENDERED)
 
     def run(bs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _batches(((c, t, k, *render_turn(role, text)) for c, t, k, role, text in fold(_rows(bs))), schema)
 
-    return _by_conversation(log.select("conv_id", "turn", "copy", "seq", "event", "role", "text"), "turn", "copy", "seq").mapInArrow(run, RENDERED)
+    return _by_message(log).mapInArrow(run, RENDERED)
 
 
 def read_turn(rendered: str) -> tuple[str, str]:
@@ -183,7 +188,7 @@ DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 def digests(formatted: DataFrame) -> DataFrame:
     """Read the output of format_log() back and digest each conversation."""
     schema = _schema(DIGESTS)
-    return _by_conversation(formatted, "turn", "copy").mapInArrow(lambda bs: _batches(read_back(_rows(bs)), schema), DIGESTS)
+    return _dealt(formatted.select(*schema_names(RENDERED)), "conv_id", order=("turn", "copy")).mapInArrow(lambda bs: _batches(read_back(_rows(bs)), schema), DIGESTS)
 
 
 def adversary(spark: SparkSession) -> DataFrame:
