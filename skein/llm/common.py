@@ -64,14 +64,15 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(row_key(id_col).alias("key"), row_hash(F.col(text_col)).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def keep_keyed(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs that kept(key, h, n_rows) names, one of those that repeat, with docs' own columns.
+def keep_keyed(docs: DataFrame, kept: DataFrame, id_col: str, h: Column) -> DataFrame:
+    """Rows of docs that kept(key, h, n_rows) names, one of those that repeat, with docs' own columns; h
+    gives the hash of a row of docs.
 
     Of n_rows rows with one key and text the one whose columns come first as text stays; only where such
     rows exist are these gathered.
     """
     kept = cut(kept, "kept")
-    rows = whole_rows(docs, key=row_key(id_col), h=row_hash(F.col(text_col)))
+    rows = whole_rows(docs, key=row_key(id_col), h=h)
     out = rows.join(kept.filter("n_rows = 1").select("key", "h").hint("merge"), ["key", "h"], "left_semi").select("row.*")
     again = kept.filter("n_rows > 1").select("key", "h")
     if again.isEmpty():

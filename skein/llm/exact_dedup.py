@@ -1,21 +1,22 @@
 """Exact deduplication by deterministic block naming, with DataFrame operations only.
 
-A normalised text is cut into blocks of a fixed number of bytes. Every distinct block gets an
-integer name, every distinct pair of adjacent names gets one at the next level, and so on until a
-text has a single name. Two texts have the same (number of blocks, name) exactly if they are equal.
-
-A name is two integers: a 64-bit code of the content and the rank of that content, in sorted order,
-among all distinct contents that have the same code. The rank is what makes names free of
-collisions: at each level all distinct contents of the corpus are gathered by (code, content), with
-map-side combining so that a block which a third of the corpus shares moves once for each map task,
-and codes with several contents have these sorted and numbered. Since that is rare, the numbered
-contents are a tiny table which is joined back; where there are none, a name is known without
-moving the text anywhere. Names do not depend on the order of rows or partitions, so tasks that run
-again after the loss of an executor give the same names.
+A normalised text is cut into blocks of a fixed number of bytes. All distinct blocks are sorted and
+named by integers in that order; then all distinct pairs of adjacent names are sorted and named, and so
+on until a text has a single name. Two texts have the same (number of blocks, name) exactly if they are
+equal.
+
+Blocks are sorted by (64-bit code, content). Contents are gathered by (code, content) with map-side
+combining, so that a block which a third of the corpus shares moves once for each map task. The content
+of a block is only looked at again where its code has several contents: these are ranked among
+themselves, and rows find their rank by content. All other rows find the name of a block by its code
+alone, which is then the same thing, so texts move once. Pairs of names are sorted as they are. Names
+follow from a sorted set alone, so that tasks that run again after the loss of an executor give the same,
+and the names of texts are written at each level.
 
 Defined results: null and missing text equal the empty text; a text of white space alone equals " ";
-rows with a null id are left out, as no keep_id can name them; rows that repeat id and text all count
-in group_size, and one of them is kept; rows that share an id but not a text are separate documents.
+rows with a null id come after all others, and keep_id is null where a group has no other; rows that
+repeat id and text all count in group_size, and one of them is kept; rows that share an id but not a text
+are separate documents.
 """
 
 from __future__ import annotations
@@ -23,14 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import cut, normalised, plain, whole_rows
+from skein.llm.common import NO_ID, cut, keep_keyed, normalised, row_key
 
 BLOCK_BYTES = 2048
-NAME = "struct<c:bigint,k:int>"
 
 
-def _code(content: list[Column], bits: int) -> Column:
-    code = F.xxhash64(*content)
+def _code(content: Column, bits: int) -> Column:
+    code = F.xxhash64(content)
     return code if bits >= 64 else F.pmod(code, F.lit(1 << bits))
 
 
@@ -40,80 +40,85 @@ def _blocks(text: Column, block_bytes: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(raw, i * block_bytes + 1, F.lit(block_bytes)))
 
 
-def _numbered(contents: DataFrame) -> DataFrame | None:
-    """Of (c, content) rows: the contents whose code is shared, with their rank; None if there are none."""
-    distinct = contents.distinct()
-    shared = distinct.groupBy("c").count().filter("count > 1").select("c")
-    if shared.isEmpty():
-        return None
-    rank = F.row_number().over(Window.partitionBy("c").orderBy("content")) - 1
-    return cut(distinct.join(shared, "c", "left_semi").select("c", "content", rank.cast("int").alias("k")), "codes")
+def _normal(text_col: str) -> Column:
+    return normalised(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _sha(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def _named(distinct: DataFrame, *order: str) -> DataFrame:
+    """distinct rows, sorted by order and numbered. Read once, by the job that writes the texts' names."""
+    return distinct.orderBy(*order).withColumn("name", F.monotonically_increasing_id())
+
 
+def _gathered(placed: DataFrame) -> DataFrame:
+    """key, sha, names from placed(key, sha, pos, name)."""
+    packed = placed.groupBy("key", "sha").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("all"))
+    return cut(packed.select("key", "sha", F.transform("all", lambda x: x["name"]).alias("names")), "texts")
 
-def _renamed(names: DataFrame, parts: DataFrame, numbered: DataFrame) -> DataFrame:
-    """Put ranks into names(key.., names): parts has (key.., pos, c, content) for each name."""
-    ranked = parts.join(numbered, ["c", "content"], "left").select(
-        "doc_id", "h", "pos", F.struct("c", F.coalesce("k", F.lit(0)).cast("int").alias("k")).alias("name")
-    )
-    packed = ranked.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("pos", "name"))).alias("all"))
-    fresh = packed.select("doc_id", "h", F.transform("all", lambda x: x["name"]).alias("names"))
-    return cut(names.drop("names").join(fresh, ["doc_id", "h"]).select(*names.columns), "names")
+
+def _block_names(text: DataFrame, coded: DataFrame, block_bytes: int, code_bits: int) -> DataFrame:
+    """key, sha, names of the blocks of coded(key, sha, codes), the distinct rows of text(key, sha, text)."""
+    blocks = text.select("key", "sha", F.posexplode(_blocks(F.col("text"), block_bytes)).alias("pos", "content")).withColumn("c", _code(F.col("content"), code_bits))
+    contents = blocks.select("c", "content").distinct()
+    codes = cut(contents.groupBy("c").agg(F.count("*").cast("int").alias("n")), "codes")
+    placed = coded.select("key", "sha", F.posexplode("codes").alias("pos", "c"))
+    shared = codes.filter("n > 1").select("c")
+    if shared.isEmpty():
+        placed = placed.withColumn("k", F.lit(0))
+    else:
+        rank = F.row_number().over(Window.partitionBy("c").orderBy("content")) - 1
+        ranked = cut(contents.join(shared, "c", "left_semi").select("c", "content", rank.alias("k")), "ranks")
+        found = blocks.join(ranked, ["c", "content"]).select("key", "sha", "pos", "k").distinct()
+        placed = placed.join(found, ["key", "sha", "pos"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    names = _named(codes.select("c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")), "c", "k")
+    return _gathered(placed.join(names, ["c", "k"]).select("key", "sha", "pos", "name"))
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, code_bits: int = 64) -> DataFrame:
-    """One row for each (doc_id, text): doc_id, h, n_rows, text_sha256, n_blocks, name.
+    """One row for each (id, text): key (the id, NO_ID for null), sha (of the text), n_rows, n_blocks, name.
 
     code_bits below 64 makes codes collide on purpose, for tests; the result is the same partition.
     """
-    text = plain(docs, id_col, text_col).filter("doc_id is not null").select("doc_id", normalised(F.col("text")).alias("text"))
-    keyed = text.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    named = keyed.select(
-        "doc_id",
-        "h",
-        F.sha2(F.col("text"), 256).alias("text_sha256"),
-        F.transform(_blocks(F.col("text"), block_bytes), lambda b: F.struct(_code([b], code_bits).alias("c"), F.lit(0).alias("k"))).alias("names"),
-    )
-    # names follow from (doc_id, h), so any row of a repeated one will do
-    names = cut(
-        named.groupBy("doc_id", "h").agg(F.count("*").alias("n_rows"), F.first("text_sha256").alias("text_sha256"), F.first("names").alias("names")).withColumn("n_blocks", F.size("names")),
-        "names",
-    )
-    blocks = keyed.select("doc_id", "h", F.posexplode(_blocks(F.col("text"), block_bytes)).alias("pos", "content")).withColumn("c", _code([F.col("content")], code_bits))
-    if (numbered := _numbered(blocks.select("c", "content"))) is not None:
-        names = _renamed(names, blocks, numbered)
-    widest = names.agg(F.max("n_blocks")).first()[0] or 1
+    text = docs.select(row_key(id_col).alias("key"), _normal(text_col).alias("text")).select("key", _sha(F.col("text")).alias("sha"), "text")
+    codes = F.transform(_blocks(F.col("text"), block_bytes), lambda b: _code(b, code_bits))
+    # codes follow from (key, sha), so those of any row of a repeated one will do
+    coded = cut(text.select("key", "sha", codes.alias("codes")).groupBy("key", "sha").agg(F.count("*").alias("n_rows"), F.first("codes").alias("codes")), "coded")
+    names = _block_names(text, coded, block_bytes, code_bits)
+    widest = coded.agg(F.max(F.size("codes"))).first()[0] or 1
     done = names.filter(F.size("names") == 1)
     while widest > 1:
         widest = (widest + 1) // 2
-        pairs = F.transform(F.sequence(F.lit(0), F.floor((F.size("names") - 1) / 2).cast("int")), lambda i: F.struct(F.get("names", i * 2).alias("l"), F.get("names", i * 2 + 1).alias("r")))
         # a text leaves as soon as it has one name, so each level is at most half of the one below
-        below = names.filter(F.size("names") > 1)
-        parts = below.select("doc_id", "h", F.posexplode(pairs).alias("pos", "content")).withColumn("c", _code([F.col("content")], code_bits))
-        coded = F.transform(pairs, lambda p: F.struct(_code([p], code_bits).alias("c"), F.lit(0).alias("k")))
-        numbered = _numbered(parts.select("c", "content"))
-        above = below.withColumn("names", coded)
-        names = cut(above, "names") if numbered is None else _renamed(above, parts, numbered)
+        half = F.sequence(F.lit(0), F.floor((F.size("names") - 1) / 2).cast("int"))
+        pairs = F.transform(half, lambda i: F.struct(F.get("names", i * 2).alias("l"), F.coalesce(F.get("names", i * 2 + 1), F.lit(-1)).alias("r")))
+        parts = names.filter(F.size("names") > 1).select("key", "sha", F.posexplode(pairs).alias("pos", "pair")).select("key", "sha", "pos", "pair.l", "pair.r")
+        above = _named(parts.select("l", "r").distinct(), "l", "r")
+        names = _gathered(parts.join(above, ["l", "r"]).select("key", "sha", "pos", "name"))
         done = done.unionByName(names.filter(F.size("names") == 1))
-    return done.select("doc_id", "h", "n_rows", "text_sha256", "n_blocks", F.get("names", F.lit(0)).alias("name"))
+    one = done.select("key", "sha", F.get("names", F.lit(0)).alias("name"))
+    return coded.select("key", "sha", "n_rows", F.size("codes").alias("n_blocks")).join(one, ["key", "sha"])
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, code_bits: int) -> DataFrame:
-    named = cut(identities(docs, id_col, text_col, block_bytes, code_bits), "identities")
-    rows = named.select("doc_id", "h", "n_rows", "text_sha256", "n_blocks", F.col("name.c").alias("c"), F.col("name.k").alias("k"))
-    groups = rows.groupBy("n_blocks", "c", "k").agg(F.min("doc_id").alias("keep_id"), F.sum("n_rows").alias("group_size"))
-    # written first, so that the join reads both sides by exchanges of its own and Spark can split a large group
-    groups = cut(groups, "groups")
-    return rows.join(groups, ["n_blocks", "c", "k"])
+def _groups(named: DataFrame) -> DataFrame:
+    """n_blocks, name, first(key, n_rows), group_size, sha for each group of equal texts."""
+    return named.groupBy("n_blocks", "name").agg(F.min(F.struct("key", "n_rows")).alias("first"), F.sum("n_rows").alias("group_size"), F.first("sha").alias("sha"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, code_bits: int = 64) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
-    out = _groups(docs, id_col, text_col, block_bytes, code_bits).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))))
-    return out.select("doc_id", "keep_id", "group_size", ((F.col("doc_id") == F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
+    named = cut(identities(docs, id_col, text_col, block_bytes, code_bits), "identities")
+    # written first, so that the join reads both sides by exchanges of its own and Spark can split a large group
+    groups = cut(_groups(named).select("n_blocks", "name", F.col("first.key").alias("keep"), "group_size"), "groups")
+    out = named.join(groups, ["n_blocks", "name"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))))
+    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    kept = (F.col("key") == F.col("keep")) & (F.col("copy") == 1)
+    return out.select(real("key").alias("doc_id"), real("keep").alias("keep_id"), "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose normalised text an earlier row has; columns as they are."""
-    kept = _groups(docs, id_col, text_col, BLOCK_BYTES, 64).filter("doc_id = keep_id").select("doc_id", "h")
-    rows = whole_rows(docs, doc_id=F.col(id_col).cast("long"), h=F.xxhash64(normalised(F.coalesce(F.col(text_col), F.lit("")))))
-    return rows.join(kept, ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]).select("row.*")
+    """docs without the rows whose normalised text a row of a smaller id has; columns as they are."""
+    kept = _groups(identities(docs, id_col, text_col)).select("first.key", F.col("sha").alias("h"), "first.n_rows")
+    return keep_keyed(docs, kept, id_col, _sha(_normal(text_col)))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import NO_ID, cut, keep_keyed, keyed, map_arrow, small_batches
+from skein.llm.common import NO_ID, cut, keep_keyed, keyed, map_arrow, row_hash, small_batches
 
 HASHES, LOW_BITS = 500, 2
 #: The most that a pair at the similarity sought may miss all bands.
@@ -301,4 +301,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = signed.groupBy("key", "h", "digest").agg(F.count("*").alias("n_rows")).join(united.drop("id"), "digest", "left")
     firsts = rows.filter("component is not null").groupBy("component").agg(F.min(F.struct("key", "h", "n_rows")).alias("first")).select("first.*")
     kept = firsts.union(rows.filter("component is null").select("key", "h", F.lit(1).cast("long")))
-    return keep_keyed(docs, kept, id_col, text_col)
+    return keep_keyed(docs, kept, id_col, row_hash(F.col(text_col)))

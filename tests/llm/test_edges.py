@@ -54,15 +54,33 @@ def test_filters_keep_columns(spark, docs, name):
 
 
 def test_exact(docs):
-    out = sorted(tuple(r)[:4] for r in exact_dedup.exact_groups(docs).collect())
+    out = sorted((tuple(r)[:4] for r in exact_dedup.exact_groups(docs).collect()), key=str)
     one = [(1, 1, 2, True), (2, 1, 2, False), (3, 3, 1, True), (4, 4, 1, True)]
-    assert out == one + [(5, 5, 1, True), (5, 5, 3, False), (5, 5, 3, True), (6, 5, 3, False)]
-    assert sorted(r.doc_id for r in exact_dedup.drop_copies(docs).collect()) == [1, 3, 4, 5, 5]
-
-
-def test_exact_is_free_of_collisions(docs):
-    weak = exact_dedup.exact_groups(docs, block_bytes=16, code_bits=3)
-    assert sorted(map(tuple, weak.collect())) == sorted(map(tuple, exact_dedup.exact_groups(docs).collect()))
+    assert out == one + [(5, 5, 1, True), (5, 5, 3, False), (5, 5, 3, True), (6, 5, 3, False), (None, None, 1, True)]
+    assert sorted((str(r.doc_id) for r in exact_dedup.drop_copies(docs).collect())) == ["1", "3", "4", "5", "5", "None"]
+
+
+def test_exact_rows_that_repeat(spark):
+    """Of rows that repeat id and text one stays, always the same; null ids go behind others."""
+    rows = [(1, "a  b", 3), (1, "a b", 2), (1, "a b", 9), (2, "a b", 1), (None, "a b", 0), (None, "c", 5), (None, "c ", 4), (None, "c", 6)]
+    for order in (rows, rows[::-1]):
+        d = spark.createDataFrame(order, "doc_id long, text string, n long")
+        out = sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in exact_dedup.exact_groups(d).collect())
+        one = ("1", "1", 5)
+        assert out == [(*one, False), (*one, False), (*one, True), ("2", "1", 5, False), ("None", "1", 5, False), ("None", "None", 1, True), ("None", "None", 2, False), ("None", "None", 2, True)]
+        assert sorted((r.n for r in exact_dedup.drop_copies(d).collect())) == [3, 4, 5]
+
+
+def test_exact_is_free_of_collisions(spark, docs):
+    short = docs.withColumn("text", F.substring("text", 1, 60))
+    weak = exact_dedup.exact_groups(short, block_bytes=16, code_bits=2)
+    assert sorted(map(str, weak.collect())) == sorted(map(str, exact_dedup.exact_groups(short).collect()))
+    alike = [(i, "ab" * (i % 7) + "cd" * (i % 3) + "ab" * (i % 5)) for i in range(100)]  # of few blocks, in many orders
+    groups = {}
+    for i, t in alike:
+        groups.setdefault(t, []).append(i)
+    out = exact_dedup.exact_groups(spark.createDataFrame(alike, "doc_id long, text string"), block_bytes=4, code_bits=1).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in out} == {(i, g[0], len(g)) for g in groups.values() for i in g}
 
 
 def test_near(docs):
