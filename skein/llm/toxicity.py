@@ -3,8 +3,9 @@
 Texts are read as sentences of words. The kernel counts the subsequences of three letters that two
 strings share, each weighted by DECAY to the power of the stretch it covers, so that a letter put in
 or left out costs a factor instead of the match; digits and signs that stand for letters are
-read as such, punctuation inside a word falls out, and letters spaced or dotted apart are joined. A word
-carries a mark at either end. A sentence, and so a text, is as toxic as its most toxic word.
+read as such, punctuation inside a word falls out, and letters and short fragments that stand apart are
+joined. A long word is also read without every second letter, and without the one that it has most often,
+which undoes letters put in throughout. A word carries a mark at either end. A sentence, and so a text, is as toxic as its most toxic word.
 
 Training: labels belong to documents, so the sentences of clean documents are negative throughout
 and those of a toxic one hold at least one insult. Seeds are words that toxic documents share and
@@ -24,7 +25,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
-import re
 import unicodedata
 import zlib
 from collections import Counter
@@ -38,13 +38,16 @@ from skein.llm.common import small_batches
 
 #: The most labelled documents of each class that the fit looks at (about; drawn by hash).
 SAMPLE_DOCS = 2500
+#: The most of the sample's clean words that the machine trains on besides hard ones (drawn at random, the
+#: weight of the others on top); each round looks at all of them and adds those that it mistakes.
 SAMPLE_WORDS = 8000
 LANDMARKS = 256
 DECAY = 0.6
 #: Of all errors of a class against the machine's norm.
 COST = 3000.0
-#: Offsets of the second and third letter: a subsequence covers at most four letters.
-OFFSETS = ((1, 2), (1, 3), (2, 3))
+#: Offsets of the second and third letter: a subsequence covers at most five letters, so two letters put
+#: in next to each other, or one in each gap, are bridged.
+OFFSETS = tuple((i, j) for j in range(2, 5) for i in range(1, j))
 #: Latin letters, to which others of their script are folded; letters of other scripts share OTHERS
 #: symbols by code point, so that those of one alphabet rarely meet. A word's mark is symbol 0.
 LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêëçñóíáúàâîôûïùœ"
@@ -62,7 +65,10 @@ FOLDS, HELD_OUT = 5, 0
 
 #: Digits and signs that stand for letters.
 DISGUISES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
-SPACED = re.compile(r"(?<!\w)[^\W\d_](?:[ .*_-][^\W\d_]){2,}(?!\w)")
+#: Neighbouring fragments of at most so many characters are also read as one word.
+FRAGMENT = 3
+#: Fewest letters of a word that has views, and of a view.
+VIEWED, VIEW_LETTERS = 7, 4
 
 
 class _Fold(dict):
@@ -83,19 +89,33 @@ class _Fold(dict):
 FOLD = _Fold()
 
 
-def units(word: str) -> list[str]:
-    """A word as the strings that the kernel compares: one, or overlapping windows if it is long."""
+def units(word: str, views: bool = True) -> list[str]:
+    """A word as the strings that the kernel compares: one, or overlapping windows if it is long; with
+    views also what is left of it if letters were put in: every second letter, and all but the letter that
+    it has most often, twice at least (of several, the first of the alphabet)."""
     if not any(c.isalpha() for c in word):
         return []
     s = word.translate(FOLD)
     if not s:
         return []
-    s = f"\0{s}\0"
+    seen = [s]
+    if views and len(s) >= VIEWED:
+        filler = max(sorted(set(s)), key=s.count)
+        seen += [v for v in (s[::2], s[1::2], s.replace(filler, "") if s.count(filler) > 1 else "") if len(v) >= VIEW_LETTERS]
+    return [u for x in seen for u in _windows(f"\0{x}\0")]
+
+
+def _windows(s: str) -> list[str]:
     return [s] if len(s) <= LONGEST else [s[i : i + LONGEST] for i in range(0, len(s) - STRIDE, STRIDE)]
 
 
 def words_of(text: str) -> list[str]:
-    return text.split() + [re.sub(r"[\W_]", "", m) for m in SPACED.findall(text)]
+    """Words, and what neighbouring letters and fragments make together."""
+    words = text.split()
+    short = np.fromiter((len(w) <= FRAGMENT for w in words), bool, len(words))
+    edges = np.flatnonzero(np.diff(short, prepend=False, append=False))
+    runs = edges.reshape(-1, 2)[np.diff(edges)[::2] > 1]
+    return words + ["".join(words[a:b]) for a, b in runs.tolist()]
 
 
 def features(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -317,17 +337,18 @@ def fit_texts(toxic: list[str], clean: list[str], prior: float | None = None, ro
     A quarter of the texts, if there are enough, is kept from the machine for fitting the curve.
     """
     toxic, clean = sorted(set(toxic), key=_digest), sorted(set(clean), key=_digest)
-    made: dict[str, list[str]] = {}  # words recur: each is cut up once, and texts share its strings
+    made: dict[tuple[str, bool], list[str]] = {}  # words recur: each is cut up once, and texts share its strings
 
-    def bag(text: str) -> list[str]:
-        words = set(words_of(text))
-        made.update((w, units(w)) for w in words if w not in made)
+    def bag(text: str, views: bool) -> list[str]:
+        words = {(w, views) for w in words_of(text)}
+        made.update((w, units(*w)) for w in words if w not in made)
         return sorted({u for w in words for u in made[w]})
 
     apart = 4 if len(toxic) >= 80 and len(clean) >= 80 else 0
     first = lambda xs: [x for i, x in enumerate(xs) if not apart or i % apart]
     curve = lambda xs: xs[::apart] if apart else xs
-    model = _machine([bag(t) for t in first(toxic)], [bag(t) for t in first(clean)], rounds, seed)
+    # insults are learnt from words as they are; clean texts show what any view of them may look like
+    model = _machine([bag(t, False) for t in first(toxic)], [bag(t, True) for t in first(clean)], rounds, seed)
     if model is None:
         return Model(None)
     toxic, clean = curve(toxic), curve(clean)

@@ -316,6 +316,29 @@ def test_insults_with_gaps():
     good, bad = model.score(["restan herthe"]), model.score(["x numbskull y", "x n u m b s k u l l y", "x num-bskull y", "x Blockhead! y", "x numbsk*ull y"])
     assert good[0] < 0.5 and (bad > 0.5).all()
     assert model.score([""])[0] == 0
+    apart = ["nu mb sk ull", "n  u  m  b  s  k  u  l  l", "n\nu\nm\nb\ns\nk\nu\nl\nl", "nxuxmxbxsxkxuxlxl", "numqqbskquqll", "nuqqmbskuqqll", "dixmxwixt", "dim wit", "bl ock he ad", "nuembsekull", "n . u . m . b . s . k . u . l . l"]
+    assert (model.score([f"{clean[1]} {t} {clean[2]}" for t in apart]) > 0.5).all()
+    assert (model.score(clean[100:]) < 0.5).all() and model.score(["thonre an er th on"])[0] < 0.5
+
+
+def test_kernel_by_enumeration():
+    """The kernel is the cosine of all three-letter subsequences within its reach, weighted by their span."""
+    from itertools import combinations
+
+    def vector(s):
+        out = Counter()
+        for i, j, k in combinations(range(len(s)), 3):
+            if k - i <= max(d for _, d in toxicity.OFFSETS):
+                out[s[i] + s[j] + s[k]] += toxicity.DECAY ** (k - i + 1)
+        norm = sum(x * x for x in out.values()) ** 0.5
+        return {k: x / norm for k, x in out.items()}
+
+    rng = np.random.default_rng(6)
+    strings = ["\0" + "".join(map(chr, rng.integers(1, 5, rng.integers(1, 7)))) + "\0" for _ in range(60)]
+    got = toxicity.kernel(strings, strings[:20])
+    for i, a in enumerate(map(vector, strings)):
+        for j, b in enumerate(map(vector, strings[:20])):
+            assert abs(got[i, j] - sum(x * b.get(k, 0) for k, x in a.items())) < 1e-9
 
 
 def _prose(rng, n, width=6):
