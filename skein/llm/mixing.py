@@ -1,6 +1,6 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
-Tokens are summed for each cell of (source, language, topic). Raking finds a weight for each cell, the
+Tokens (words) are summed for each cell of (source, language, topic). Raking finds a weight for each cell, the
 product of a factor for its source, its language and its topic, such that expected tokens meet the
 target of every margin, where no weight may exceed 1: a document can't be drawn more than once. The
 weight is the probability with which each document of the cell is kept; a hash of the id, uniform in
@@ -11,7 +11,7 @@ which lifts small categories. The sample aims at BUDGET of all tokens; what a ca
 even in full is left to the others in proportion.
 
 Only the cells reach the driver, whose number is checked: sources x languages x topics, not rows.
-Defined results: null sources and languages are categories of their own; null and empty texts have
+Defined results: null sources, languages and topics are categories of their own; null and empty texts have
 0 tokens and are kept with the weight of their cell; repeated rows share one decision; a null id is
 hashed as it is; an empty table gives an empty table.
 """
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import SPACE, whole_rows
+from skein.llm.common import cut, whole_rows
 
 TEMPER = 0.7
 BUDGET = 0.6
@@ -30,16 +30,16 @@ MARGINS = ("source", "lang", "topic")
 #: The most cells that the driver will rake; beyond, the margins are not categories.
 MAX_CELLS = 500_000
 SEED = "mix-1"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def tokens(text: Column) -> Column:
     """Words of a text."""
-    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "))
-    return F.when(t == "", F.lit(0)).otherwise(F.length(t) - F.length(F.translate(t, " ", "")) + 1).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 def topic(text: Column) -> Column:
-    """A coarse topic by form: table, code, contact, list or prose."""
+    """Where no column names a topic, one by form: table, code, contact, note or prose."""
     t = F.coalesce(text, F.lit(""))
     return (
         F.when(t.contains(" | "), "table")
@@ -50,8 +50,9 @@ def topic(text: Column) -> Column:
     )
 
 
-def margins(text: Column, source: Column, lang: Column) -> dict[str, Column]:
-    return {"source": F.coalesce(source, F.lit("")), "lang": F.coalesce(lang, F.lit("")), "topic": topic(text), "n_tokens": tokens(text)}
+def margins(text: Column, source: Column, lang: Column, given: Column | None = None) -> dict[str, Column]:
+    of = topic(text) if given is None else F.coalesce(given.cast("string"), F.lit(""))
+    return {"source": F.coalesce(source, F.lit("")), "lang": F.coalesce(lang, F.lit("")), "topic": of, "n_tokens": tokens(text)}
 
 
 def tempered(mass: np.ndarray, temper: float = TEMPER) -> np.ndarray:
@@ -123,16 +124,22 @@ def drawn(doc_id: Column, seed: str = SEED) -> Column:
     return F.pmod(F.xxhash64(doc_id.cast("long"), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", temper: float = TEMPER, budget: float = BUDGET, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, weight, kept for each document."""
-    columns = margins(F.col(text_col), F.col(source_col), F.col(lang_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(c.alias(k) for k, c in columns.items()))
+def _margins(text_col: str, source_col: str, lang_col: str, topic_col: str | None) -> dict[str, Column]:
+    return margins(F.col(text_col), F.col(source_col), F.col(lang_col), F.col(topic_col) if topic_col else None)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", temper: float = TEMPER, budget: float = BUDGET, targets: dict[str, dict[str, float]] | None = None, topic_col: str | None = None) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, weight, kept for each document. topic_col: the column that
+    names topics, if there is one."""
+    columns = _margins(text_col, source_col, lang_col, topic_col)
+    # texts are read once; what is left of them is a few bytes a row
+    rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), *(c.alias(k) for k, c in columns.items())), "margins")
     out = rows.join(F.broadcast(weights(rows, temper, budget, targets)), list(MARGINS))  # at most MAX_CELLS rows
     return out.select("doc_id", *MARGINS, "n_tokens", "weight", (drawn(F.col("doc_id")) < F.col("weight")).alias("kept"))
 
 
-def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", temper: float = TEMPER, budget: float = BUDGET) -> DataFrame:
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", temper: float = TEMPER, budget: float = BUDGET, targets: dict[str, dict[str, float]] | None = None, topic_col: str | None = None) -> DataFrame:
     """The sampled rows of docs, with docs' own columns."""
-    rows = whole_rows(docs, doc_id=F.col(id_col).cast("long"), **margins(F.col(text_col), F.col(source_col), F.col(lang_col)))
-    out = rows.join(F.broadcast(weights(rows.drop("row"), temper, budget)), list(MARGINS))
+    rows = whole_rows(docs, doc_id=F.col(id_col).cast("long"), **_margins(text_col, source_col, lang_col, topic_col))
+    out = rows.join(F.broadcast(weights(rows.drop("row"), temper, budget, targets)), list(MARGINS))
     return out.filter(drawn(F.col("doc_id")) < F.col("weight")).select("row.*")

@@ -181,15 +181,71 @@ def test_shortest_pack_first_by_hand():
     assert Counter(x for n, p in patterns for _ in range(n) for x in p) == {6: 2, 4: 1, 3: 3} and all(sum(p) <= 10 for _, p in patterns)
 
 
-def test_mixing_meets_its_margins(spark):
-    m = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet")).toPandas()
-    m["e"] = m.weight * m.n_tokens
-    assert m.weight.between(0, 1).all() and abs(m.e.sum() / m.n_tokens.sum() - mixing.BUDGET) < 1e-6
-    for k in mixing.MARGINS:
-        g = m.groupby(k)[["n_tokens", "e"]].sum()
-        want = mixing._feasible(mixing.tempered(g.n_tokens.to_numpy()) * mixing.BUDGET * m.n_tokens.sum(), g.n_tokens.to_numpy(float))
-        assert np.allclose(g.e, want, rtol=1e-6)
-    assert abs(m.n_tokens[m.kept].sum() / m.n_tokens.sum() - mixing.BUDGET) < 0.1
+def plain_raking(cells, targets, rounds=4000):
+    """Weights in [0, 1] by margins in turn, one category at a time, by bisection of its factor."""
+    w = {c: 1.0 for c in cells}
+    for _ in range(rounds):
+        before = dict(w)
+        for k, target in enumerate(targets):
+            for name, goal in target.items():
+                mine = [c for c in cells if c[k] == name]
+                total = lambda f: sum(cells[c] * min(1.0, w[c] * f) for c in mine)  # noqa: B023, E731
+                lo, hi = 0.0, 1e9
+                for _ in range(100):
+                    mid = (lo + hi) / 2 if hi < 1e9 else max(2 * lo, 1.0)
+                    lo, hi = (mid, hi) if total(mid) < goal else (lo, mid)
+                    if hi - lo < 1e-13 * hi or (lo > 1e8):
+                        break
+                for c in mine:
+                    w[c] = min(1.0, w[c] * hi)
+        if max(abs(w[c] - before[c]) for c in cells) < 1e-10:
+            break
+    return w
+
+
+def test_mixing(spark, texts):
+    """All columns of the query against plain Python: cells, targets, weights and draws."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op3_mixing(spark, SF).collect()}
+    about = {r.doc_id: r for r in docs.select("doc_id", "source", "lang").collect()}
+    assert set(got) == set(about)
+    cells = Counter()
+    for i, r in got.items():
+        assert (r.source, r.lang, r.n_tokens) == (about[i].source or "", about[i].lang or "", len(WORD.findall(texts[i])))
+        cells[r.source, r.lang, r.topic] += r.n_tokens
+    total, targets = sum(cells.values()), []
+    for k in range(3):
+        have = Counter()
+        for c, n in cells.items():
+            have[c[k]] += n
+        want = {x: (n / total) ** mixing.TEMPER for x, n in have.items()}
+        want = {x: n / sum(want.values()) * mixing.BUDGET * total for x, n in want.items()}
+        while any(want[x] > have[x] + 1e-6 for x in want):  # what a category can't give is left to the others
+            spare = sum(want[x] - have[x] for x in want if want[x] > have[x])
+            full = {x for x in want if want[x] >= have[x]}
+            rest = sum(want[x] for x in want if x not in full)
+            want = {x: have[x] if x in full else want[x] * (1 + spare / rest) for x in want}
+        targets.append(want)
+    w = plain_raking({c: n for c, n in cells.items() if n}, targets)
+    for k, want in enumerate(targets):
+        for x, goal in want.items():
+            assert abs(sum(r.weight * r.n_tokens for r in got.values() if (r.source, r.lang, r.topic)[k] == x) - goal) < 1e-4 * total
+    for r in got.values():
+        assert 0 <= r.weight <= 1 and abs(r.weight - w.get((r.source, r.lang, r.topic), r.weight)) < 0.02
+    assert abs(sum(r.n_tokens for r in got.values() if r.kept) / total - mixing.BUDGET) < 0.1
+    draws = {r.doc_id: r.u for r in docs.select("doc_id", mixing.drawn(docs.doc_id).alias("u")).collect()}
+    assert all(r.kept == (draws[i] < r.weight) for i, r in got.items()) and abs(np.mean(list(draws.values())) - 0.5) < 0.05
+
+
+def test_mixing_to_given_targets(spark):
+    rows = [(i, "w " * 10, ["a", "b", None][i % 3], "en" if i % 2 else None, f"t{i % 2}", "x", 0.5, True) for i in range(3000)] + [(None, None, "a", "en", None, "x", 0.5, True), (0, "w " * 10, "a", None, "t0", "x", 0.5, True)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, subject string, topic string, weight double, kept boolean")
+    out = mixing.mix(d, budget=0.3, targets={"source": {"a": 0.5, "b": 0.3, "": 0.2}, "topic": {"t0": 0.25, "t1": 0.75}}, topic_col="subject").toPandas()
+    share = lambda k: (out.assign(e=out.weight * out.n_tokens).groupby(k).e.sum() / (0.3 * out.n_tokens.sum())).round(3).to_dict()
+    assert share("source") == {"": 0.2, "a": 0.5, "b": 0.3} and {k: v for k, v in share("topic").items() if k} == {"t0": 0.25, "t1": 0.75}
+    assert out[out.doc_id == 0].kept.nunique() == 1 and len(out) == len(rows)
+    kept = mixing.sample(d, budget=0.3, topic_col="subject")
+    assert kept.columns == d.columns and 0 < kept.count() < len(rows)
 
 
 def test_raking_finds_what_was_planted():
