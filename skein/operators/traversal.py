@@ -9,14 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.graphview import Graph
 from skein.model import CALLER_EDGES, CONTAINERS, HIERARCHY_EDGES
+from skein.operators.mutate import capped
 from skein.scratch import cut
 
-UNBOUNDED = 1_000
+#: A search keeps what it has seen in at most so many tables, and then writes them as one.
+TABLES = 8
+FLOW_EDGES = ("calls", "references", "instantiates", "decorates", "overrides")
+NO_FLOW = ("file", "import", "export", "parameter")
 
 
 def arcs(edges: DataFrame, direction: str = "outgoing", kinds: Sequence[str] = ()) -> DataFrame:
@@ -31,14 +35,18 @@ def closure(steps: DataFrame, seeds: DataFrame, max_depth: int | None = None, al
     """(id, depth) of all nodes within max_depth steps(a, b) of seeds(id). allowed(id) limits whom a
     search may enter and pass through; seeds are exempt."""
     seen = frontier = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "frontier")
-    for depth in range(1, (max_depth if max_depth is not None else UNBOUNDED) + 1):
+    depth, tables = 0, 1
+    while max_depth is None or depth < max_depth:
+        depth += 1
         near = frontier.join(steps, F.col("id") == F.col("a")).select(F.col("b").alias("id")).distinct()
         if allowed is not None:
             near = near.join(allowed, "id", "left_semi")
         frontier = cut(near.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen, tables = seen.unionByName(frontier), tables + 1
+        if tables == TABLES:
+            seen, tables = cut(seen, "seen"), 1
     return seen
 
 
@@ -54,6 +62,69 @@ def bfs(g: Graph, start: str, direction: str = "outgoing", edge_kinds: Sequence[
     return found.orderBy("depth", "id").limit(limit)
 
 
+def edge_priority(kind: Column) -> Column:
+    """Structure first, then calls, then all else."""
+    return F.when(kind == "contains", 0).when(kind == "calls", 1).otherwise(2)
+
+
+def dfs(g: Graph, start: str, direction: str = "outgoing", edge_kinds: Sequence[str] = (), node_kinds: Sequence[str] = (), max_depth: int | None = None, limit: int = 1000) -> DataFrame:
+    """(position, id, depth, parent, edge_kind): a depth-first search in pre-order, at most `limit` nodes.
+
+    Neighbours are taken by (edge priority, id). An order of visits is one sequence by nature, so the
+    driver walks; it holds what the limit bounds, and asks for the neighbours of all waiting nodes at once.
+    """
+    e = g.edges.filter(F.col("kind").isin(*edge_kinds)) if edge_kinds else g.edges
+    out = e.select(F.col("source").alias("a"), F.col("target").alias("b"), "kind")
+    back = e.select(F.col("target").alias("a"), F.col("source").alias("b"), "kind")
+    steps = {"outgoing": out, "incoming": back, "both": out.unionByName(back)}[direction]
+    nodes = g.nodes.filter(F.col("kind").isin(*node_kinds)) if node_kinds else g.nodes
+    steps = steps.join(nodes.select(F.col("id").alias("b")), "b", "left_semi").groupBy("a", "b").agg(F.min(F.struct(edge_priority(F.col("kind")).alias("p"), "kind")).alias("e"))
+    known: dict[str, list[tuple[str, str]]] = {}
+
+    def neighbours(at: str, waiting: list[str]) -> list[tuple[str, str]]:
+        if at not in known:
+            asked = list(dict.fromkeys([at, *(w for w in reversed(waiting) if w not in known)]))[:limit]
+            known.update((w, []) for w in asked)
+            # visited ones may come first, and there are at most `limit` of them
+            for r in capped(steps.join(one(g, *asked).toDF("a"), "a", "left_semi"), ["a"], 2 * limit, "e.p", "b").orderBy("a", "e.p", "b").collect():
+                known[r.a].append((r.b, r.e.kind))
+        return known[at]
+
+    visits: list[tuple] = []
+    visited: set[str] = set()
+    stack = [(start, 0, None, None)]
+    while stack and len(visits) < limit:
+        at, depth, parent, kind = stack.pop()
+        if at in visited:
+            continue
+        visited.add(at)
+        visits.append((len(visits), at, depth, parent, kind))
+        if max_depth is None or depth < max_depth:
+            near = neighbours(at, [s[0] for s in stack])
+            stack += [(b, depth + 1, at, k) for b, k in reversed(near) if b not in visited]
+    return g.spark.createDataFrame(visits, "position int, id string, depth int, parent string, edge_kind string")
+
+
+def static_flows(g: Graph, named: DataFrame, most: int = 6) -> DataFrame:
+    """(seed, target, depth): which of named(id) reach another by at most so many calls."""
+    steps = arcs(g.edges, "outgoing", ("calls",))
+    seeds = named.select("id").distinct()
+    seen = frontier = cut(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")), "flows")
+    for depth in range(1, most + 1):
+        near = frontier.join(steps, F.col("id") == F.col("a")).select("seed", F.col("b").alias("id")).distinct()
+        frontier = cut(near.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth)), "flows")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen.filter("seed <> id").join(seeds, "id", "left_semi").select("seed", F.col("id").alias("target"), "depth")
+
+
+def named_flow(g: Graph, source: str, target: str, most: int = 8) -> DataFrame:
+    """(step, id): how execution gets from one symbol to another, past files, imports, exports and parameters."""
+    allowed = g.nodes.filter(~F.col("kind").isin(*NO_FLOW)).select("id")
+    return shortest_path(g, source, target, FLOW_EDGES, most, allowed)
+
+
 def callers(g: Graph, target: str, depth: int = 1, kinds: Sequence[str] = CALLER_EDGES) -> DataFrame:
     """Depth 1: one row for each edge (id, kind, line). Beyond: (id, depth) of the reverse closure."""
     if depth == 1:
@@ -114,20 +185,27 @@ def impact(g: Graph, start: str, max_depth: int = 3) -> DataFrame:
     return seen
 
 
-def shortest_path(g: Graph, source: str, target: str, kinds: Sequence[str] = (), max_depth: int = UNBOUNDED) -> DataFrame:
-    """(step, id) of a shortest path, of several the one through the smallest ids from the end; no row if there is none."""
+def shortest_path(g: Graph, source: str, target: str, kinds: Sequence[str] = (), max_depth: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """(step, id) of a shortest path, of several the one through the smallest ids from the end; no row if
+    there is none. allowed(id) limits what it may pass through."""
     steps = arcs(g.edges, "outgoing", kinds)
+    if allowed is not None:
+        steps = steps.join(allowed.union(one(g, target)).toDF("b").distinct(), "b", "left_semi")
     levels = [cut(one(g, source).withColumn("parent", F.lit(None).cast("string")), "path")]
     seen = levels[0].select("id")
     reached = source == target
-    while not reached and len(levels) <= max_depth:
+    while not reached and (max_depth is None or len(levels) <= max_depth):
         near = levels[-1].select("id").join(steps, F.col("id") == F.col("a")).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))
         fresh = cut(near.join(seen, "id", "left_anti"), "path")
         if fresh.isEmpty():
             return g.spark.createDataFrame([], "step int, id string")
         levels.append(fresh)
         seen = seen.unionByName(fresh.select("id"))
+        if len(levels) % TABLES == 0:
+            seen = cut(seen, "seen")
         reached = not fresh.filter(F.col("id") == target).isEmpty()
+    if not reached:
+        return g.spark.createDataFrame([], "step int, id string")
     at, path = target, [target]
     for level in reversed(levels[1:]):  # one row of each level: a path, not a set
         at = level.filter(F.col("id") == at).first()["parent"]
