@@ -68,25 +68,56 @@ def _best(df: DataFrame, *order: Column) -> DataFrame:
     return df.withColumn("_k", F.row_number().over(Window.partitionBy("r.ref_id").orderBy(*order, *tie))).filter("_k = 1")
 
 
+def _first(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of rows(id, file_path, start_line, ...) the first of each group of keys, with the group's size: all
+    that a strategy needs to know of namesakes that it can't tell apart."""
+    place = F.min(F.struct("file_path", "start_line", "id")).alias("_at")
+    return rows.groupBy(*keys).agg(place, F.count("*").alias("_n")).select(*keys, "_n", "_at.*")
+
+
 def exact(refs: DataFrame, nodes: DataFrame, rank: int = 6) -> DataFrame:
-    """By name: a single node with 0.9 (0.5 across languages), else the best scored with 0.7 when near, 0.4 when far."""
-    met = refs.alias("r").join(nodes.alias("n"), F.col("r.reference_name") == F.col("n.name"))
-    met = met.withColumn("_n", F.count("*").over(Window.partitionBy("r.ref_id"))).withColumn("_score", candidate_score())
-    alone = met.filter("_n = 1")
-    single = _out(alone, F.when(F.col("r.language") == F.col("n.language"), 0.9).otherwise(0.5), "exact-match", rank)
-    chosen = _best(met.filter("_n > 1 AND _score > -1"), F.desc("_score"))
-    return single.unionByName(_out(chosen, F.when(proximity(F.col("r.file_path"), F.col("n.file_path")) >= 30, 0.7).otherwise(0.4), "exact-match", rank))
+    """By name: a single node with 0.9 (0.5 across languages), else the best scored with 0.7 when near, 0.4 when far.
+
+    Only within its own file does a reference's line tell nodes apart. All others compete by directory,
+    language, kind and export, so references and nodes are met in groups of these, however many share a name.
+    """
+    named = nodes.withColumn("_dir", directory(F.col("file_path")))
+    totals = nodes.groupBy("name").agg(F.count("*").alias("_total"))
+    asked = refs.join(totals, F.col("reference_name") == F.col("name")).drop("name")
+    singles = _first(nodes.withColumn("language_", F.col("language")), "name", "language_").select(F.col("name").alias("_name"), "language_", "file_path", "start_line", "id")
+    alone = asked.filter("_total = 1").alias("r").join(singles.alias("n"), F.col("r.reference_name") == F.col("n._name"))
+    single = _out(alone, F.when(F.col("r.language") == F.col("n.language_"), 0.9).otherwise(0.5), "exact-match", rank)
+
+    many = asked.filter("_total > 1").withColumn("_dir", directory(F.col("file_path")))
+    here = many.alias("r").join(named.alias("n"), (F.col("r.reference_name") == F.col("n.name")) & (F.col("r.file_path") == F.col("n.file_path")))
+    near = _out(here, candidate_score(), "exact-match", rank).withColumn("_near", proximity(F.col("file_path"), F.col("file_path")) >= 30)
+    groups = _first(named, "name", "_dir", "language", "kind", "is_exported").alias("n")
+    keys = ["reference_name", "_dir", "language", "reference_kind"]
+    # the file of a group's references stands for its directory alone: no score here asks for the same file
+    askers = many.select(*keys).distinct().withColumn("file_path", F.concat("_dir", F.lit("/"))).withColumn("line", F.lit(0)).alias("r")
+    met = askers.join(groups, F.col("r.reference_name") == F.col("n.name")).select(*(F.col(f"r.{k}").alias(k) for k in keys), F.col("n.id").alias("id"), F.col("n.file_path").alias("_path"), F.col("n.start_line").alias("_line"), candidate_score().alias("_score"), (proximity(F.col("r.file_path"), F.col("n.file_path")) >= 30).alias("_near"))
+    best = met.groupBy(*keys).agg(F.min(F.struct((-F.col("_score")).alias("s"), "_path", "_line", "id", "_near")).alias("_b"))
+    far = many.select("ref_id", *keys).join(best, keys).select(
+        "ref_id", F.col("_b.id").alias("target_id"), (-F.col("_b.s")).cast("double").alias("confidence"), F.lit("exact-match").alias("resolved_by"), F.lit(rank).alias("rank"),
+        F.col("_b._path").alias("file_path"), F.col("_b._line").alias("start_line"), F.col("_b._near").alias("_near"),
+    )
+    # here `confidence` is still the score
+    order = Window.partitionBy("ref_id").orderBy(F.desc("confidence"), "file_path", "start_line", "target_id")
+    chosen = near.unionByName(far).filter("confidence > -1").withColumn("_k", F.row_number().over(order)).filter("_k = 1")
+    return single.unionByName(chosen.withColumn("confidence", F.when(F.col("_near"), 0.7).otherwise(0.4)).select(*CANDIDATE))
 
 
 def qualified(refs: DataFrame, nodes: DataFrame, rank: int = 2) -> DataFrame:
     """By qualified name: the only one with 0.95, else a node of the last segment whose qualified name ends so, with 0.85."""
     dotted = refs.filter(F.col("reference_name").contains("::") | F.col("reference_name").contains("."))
-    whole = dotted.alias("r").join(nodes.alias("n"), F.col("r.reference_name") == F.col("n.qualified_name"))
-    alone = whole.withColumn("_n", F.count("*").over(Window.partitionBy("r.ref_id"))).filter("_n = 1")
-    # an equality on the last segment first: the suffix is only looked at among its namesakes
-    tail = dotted.withColumn("_last", last_segment(F.col("reference_name"))).alias("r").join(nodes.alias("n"), F.col("r._last") == F.col("n.name"))
-    tail = _best(tail.filter(F.col("n.qualified_name").endswith(F.col("r.reference_name"))))
-    return _out(alone, F.lit(0.95), "qualified-name", rank).unionByName(_out(tail, F.lit(0.85), "qualified-name", rank))
+    names = _first(nodes, "qualified_name", "name")
+    whole = nodes.groupBy(F.col("qualified_name").alias("_q")).agg(F.min("id").alias("id"), F.min("file_path").alias("file_path"), F.min("start_line").alias("start_line"), F.count("*").alias("_n")).filter("_n = 1")
+    alone = dotted.alias("r").join(whole.alias("n"), F.col("r.reference_name") == F.col("n._q"))
+    # each name once; an equality on the last segment first: the suffix is only looked at among its namesakes
+    asked = dotted.select("reference_name").distinct().withColumn("ref_id", F.col("reference_name")).withColumn("_last", last_segment(F.col("reference_name"))).alias("r")
+    tail = asked.join(names.alias("n"), F.col("r._last") == F.col("n.name")).filter(F.col("n.qualified_name").endswith(F.col("r.reference_name")))
+    found = _out(_best(tail), F.lit(0.85), "qualified-name", rank).withColumnRenamed("ref_id", "reference_name")
+    return _out(alone, F.lit(0.95), "qualified-name", rank).unionByName(dotted.select("ref_id", "reference_name").join(found, "reference_name").select(*CANDIDATE))
 
 
 def file_path(refs: DataFrame, nodes: DataFrame, rank: int = 1) -> DataFrame:
@@ -103,10 +134,10 @@ def file_path(refs: DataFrame, nodes: DataFrame, rank: int = 1) -> DataFrame:
 
 def fuzzy(refs: DataFrame, nodes: DataFrame, rank: int = 7) -> DataFrame:
     """Whatever the case, callables and classes, only if single: 0.5, or 0.3 across languages."""
-    callable_ = nodes.filter(F.col("kind").isin("function", "method", "class"))
-    met = refs.alias("r").join(callable_.alias("n"), F.lower("r.reference_name") == F.lower("n.name"))
-    alone = met.withColumn("_n", F.count("*").over(Window.partitionBy("r.ref_id"))).filter("_n = 1")
-    return _out(alone, F.when(F.col("r.language") == F.col("n.language"), 0.5).otherwise(0.3), "fuzzy", rank)
+    callable_ = nodes.filter(F.col("kind").isin("function", "method", "class")).withColumn("_low", F.lower("name"))
+    lone = callable_.groupBy("_low").agg(F.count("*").alias("_n"), *(F.min(c).alias(c) for c in ("id", "file_path", "start_line", "language"))).filter("_n = 1")
+    met = refs.alias("r").join(lone.alias("n"), F.lower("r.reference_name") == F.col("n._low"))
+    return _out(met, F.when(F.col("r.language") == F.col("n.language"), 0.5).otherwise(0.3), "fuzzy", rank)
 
 
 def method_call(refs: DataFrame, nodes: DataFrame, rank: int = 5) -> DataFrame:
@@ -192,7 +223,8 @@ def word_overlap(refs: DataFrame, nodes: DataFrame, least: int = 2, rank: int =
     """receiver.method where the receiver shares words with the owner of such a method, 0.65."""
     words = lambda c: F.filter(F.split(F.lower(F.regexp_replace(c, "(?<=[a-z0-9])(?=[A-Z])|_+", " ")), " +"), lambda w: F.length(w) > 1)
     parts = refs.withColumn("_recv", F.regexp_extract("reference_name", r"^(\w+)\.(\w+)$", 1)).withColumn("_m", F.regexp_extract("reference_name", r"^(\w+)\.(\w+)$", 2)).filter("_m <> ''")
-    methods = nodes.filter("kind = 'method'").withColumn("_owner", F.regexp_extract("qualified_name", r"([^:]+)::[^:]+$", 1))
+    # methods of one name and owner can't be told apart
+    methods = _first(nodes.filter("kind = 'method'").withColumn("_owner", F.regexp_extract("qualified_name", r"([^:]+)::[^:]+$", 1)), "name", "_owner")
     met = parts.alias("r").join(methods.alias("n"), F.col("r._m") == F.col("n.name")).withColumn("_same", F.size(F.array_intersect(words(F.col("r._recv")), words(F.col("n._owner")))))
     return _out(_best(met.filter(F.col("_same") >= least), F.desc("_same")), F.lit(0.65), "instance-method", rank)
 
@@ -245,7 +277,10 @@ def resolve(refs: DataFrame, nodes: DataFrame, imports: DataFrame | None = None,
         found.append(inherited_member(plain, nodes, supertypes))
     if returns is not None:
         found.append(chained_call(refs, nodes, returns))
-    return choose(*(admissible(f, refs, nodes) for f in found))
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    return choose(admissible(every, refs, nodes))
 
 
 def to_edges(resolved: DataFrame, refs: DataFrame, nodes: DataFrame) -> DataFrame:
