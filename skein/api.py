@@ -10,11 +10,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions.builtins import without_builtins
 from skein.functions.extract import extract, split
 from skein.functions.routes import routes
 from skein.graphview import Graph
-from skein.model import ContextOptions
-from skein.operators import context, mutate, resolve, search, stats, structure, traversal
+from skein.model import HIERARCHY_EDGES, ContextOptions
+from skein.operators import context, imports, mutate, resolve, search, stats, structure, traversal
 from skein.scratch import cut
 from skein.sources import files as sources
 from skein.sources.paths import is_test
@@ -48,7 +49,12 @@ class CodeIndex:
         )
         nodes = cut(nodes.unionByName(more.dropDuplicates(["id"])), "nodes")
         refs = cut(refs.unionByName(handled.dropDuplicates(["ref_id"])), "refs")
-        linked = resolve.to_edges(resolve.resolve(refs, nodes), refs, nodes).select("source", "target", "kind", "line")
+        bound = cut(imports.bound(files), "imports")
+        bound = imports.resolve_paths(bound, files).filter("resolved_path IS NOT NULL")
+        inherits = refs.filter(F.col("reference_kind").isin(*HIERARCHY_EDGES)).join(nodes.select(F.col("id").alias("from_node_id"), "name"), "from_node_id")
+        supertypes = inherits.select(F.col("name").alias("sub"), resolve.last_segment(F.col("reference_name")).alias("super")).distinct()
+        found = resolve.resolve(without_builtins(refs, nodes), nodes, imports=bound, supertypes=supertypes)
+        linked = resolve.to_edges(found, refs, nodes).select("source", "target", "kind", "line")
         edges = cut(mutate.attached(contains.unionByName(linked).dropDuplicates(), nodes), "edges")
         return cls(nodes, edges, files)
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.ship import ship
+
 #: What a path without extension may stand for, by language, in order.
 PROBES = {
     "typescript": ".ts .tsx .d.ts .js .jsx /index.ts /index.tsx /index.js",
@@ -50,6 +54,25 @@ def bindings(text: str) -> list[tuple[str, str, str]]:
     return out
 
 
+def bound(files: DataFrame) -> DataFrame:
+    """import_id, file_path, language, local_name, exported_name, source for each binding that the import
+    statements of files(path, language, content) make; a default import goes by its local name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [
+                (path, language, local, local if exported == "default" else exported, source)
+                for path, language, text in zip(*(b.column(c).to_pylist() for c in ("path", "language", "content")), strict=True)
+                for local, exported, source in bindings(text or "")
+            ]
+            names = ["file_path", "language", "local_name", "exported_name", "source"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(5)], names=names)
+
+    ship(files.sparkSession)
+    found = files.select("path", "language", "content").mapInArrow(run, "file_path string, language string, local_name string, exported_name string, source string")
+    return found.distinct().withColumn("import_id", F.xxhash64("file_path", "local_name", "exported_name", "source"))
+
+
 def reexports(text: str) -> list[tuple[str, str, str]]:
     """(local, exported, source): `export {a as b} from` and `export * from` (* for both)."""
     out = [("*", "*", m[1]) for m in re.finditer(r"export\s+\*\s+from\s+['\"]([^'\"]+)['\"]", text)]

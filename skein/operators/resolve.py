@@ -272,7 +272,8 @@ def resolve(refs: DataFrame, nodes: DataFrame, imports: DataFrame | None = None,
     plain = kept.filter("reference_kind <> 'function_ref'")
     found = [f(plain, nodes) for f in (jvm_import, own_member, file_path, qualified, method_call, word_overlap, exact, fuzzy)] + [function_ref(values, nodes)]
     if imports is not None:
-        found.append(via_import(plain, nodes, imports))
+        # what a file imports may go by a name that the project lacks
+        found.append(via_import(refs.filter("reference_kind <> 'function_ref'"), nodes, imports))
     if supertypes is not None:
         found.append(inherited_member(plain, nodes, supertypes))
     if returns is not None:

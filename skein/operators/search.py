@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.model import KIND_BONUS, NODE_KINDS
+from skein.operators.mutate import capped
 from skein.scratch import cut
 from skein.sources.paths import basename, is_test
 
@@ -199,7 +200,8 @@ def search(nodes: DataFrame, raw: str, limit: int = 20, index: Index | None = No
         found = like(rows, q.text, max(5 * limit, 100)).select("id", "score")
     if found.isEmpty() and len(q.text) >= 3:
         found = fuzzy(rows, q.text, limit=limit).select("id", "score")
-    exact = rows.filter(F.lower("name").isin(*[w.lower() for w in q.text.split()])).select("id").orderBy("id").limit(20)
+    named = rows.filter(F.lower("name").isin(*[w.lower() for w in q.text.split()])).withColumn("_word", F.lower("name"))
+    exact = capped(named, ["_word"], 20, "id").select("id")  # of each word, so that none pushes out another
     top = found.agg(F.coalesce(F.max("score"), F.lit(1.0)).alias("score"))
     every = found.unionByName(exact.crossJoin(top)).groupBy("id").agg(F.max("score").alias("score"))
     bonus = kind_bonus(F.col("kind")) + path_relevance(F.col("file_path"), q.text) + name_bonus(F.col("name"), q.text)

@@ -155,12 +155,20 @@ def resolve_fuzzy(spark, sf_dir):
     return resolve.fuzzy(_refs(spark, sf_dir, "'CUSTOMER#' || lpad(CAST(p_partkey AS STRING), 9, '0')"), graph(spark, sf_dir).nodes).select("ref_id", "target_id", "confidence")
 
 
-@register("resolve_all")
+#: These names have one strategy; references then stay within their language.
+_tail = EXACT_RESOLVE_SQL[EXACT_RESOLVE_SQL.index("SELECT ref_id") :]
+RESOLVED = EXACT_RESOLVE_SQL[: EXACT_RESOLVE_SQL.index("SELECT ref_id")] + f""", x AS ({_tail}),
+z AS (SELECT x.*, 'exact-match' AS resolved_by, r.from_node_id, r.line, CASE WHEN r.reference_kind = 'calls' AND n.kind IN ('class', 'struct') THEN 'instantiates' ELSE r.reference_kind END AS kind
+      FROM x JOIN refs r USING (ref_id) JOIN nodes n ON n.id = x.target_id WHERE r.reference_kind <> 'references' OR r.language = n.language)
+"""
+
+
+@register("resolve_all", _sql(_refs_sql("p_name") + RESOLVED + "SELECT ref_id, target_id, confidence, resolved_by FROM z"))
 def resolve_all(spark, sf_dir):
     return resolve.resolve(_refs(spark, sf_dir, "p_name"), graph(spark, sf_dir).nodes)
 
 
-@register("resolved_edges")
+@register("resolved_edges", _sql(_refs_sql("p_name") + RESOLVED + "SELECT from_node_id AS source, target_id AS target, kind, line FROM z"))
 def resolved_edges(spark, sf_dir):
     refs, nodes = _refs(spark, sf_dir, "p_name"), graph(spark, sf_dir).nodes
     return resolve.to_edges(resolve.resolve(refs, nodes), refs, nodes).select("source", "target", "kind", "line")

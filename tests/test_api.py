@@ -100,3 +100,27 @@ def test_a_ring_of_five_files_is_a_cycle(spark):
     files = spark.createDataFrame(rows, "path string, language string, content string").withColumn("content_hash", F.sha2("content", 256))
     found = CodeIndex.from_files(files).cycles().collect()
     assert sorted(tuple(r) for r in found) == [(f"r{i}.py", "r0.py") for i in range(5)]
+
+
+def test_builtins_and_imports(spark):
+    files = {
+        "src/a.py": "def helper():\n    pass\n\ndef print():\n    pass\n\ndef append():\n    pass\n",
+        "src/b.py": "def helper():\n    pass\n",
+        "src/deep/c.py": "from src.a import helper as aid\nfrom src.b import helper\n\ndef main(items):\n    print(1)\n    aid()\n    helper()\n",
+        "web/ui.ts": "export function Panel() {\n  return 1\n}\nexport function log() {\n  return 2\n}\n",
+        "web/app.ts": "import Panel from './ui'\nfunction start() {\n  console.log(1)\n  Panel()\n  useState(2)\n}\nfunction useState() {\n  return 0\n}\n",
+    }
+    rows = [(p, "python" if p.endswith("py") else "typescript", t) for p, t in files.items()]
+    code = CodeIndex.from_files(spark.createDataFrame(rows, "path string, language string, content string").withColumn("content_hash", F.sha2("content", 256)))
+    called = {(r.name, r.file_path) for name in ("main", "start") for r in code.callees(name).filter("kind <> 'file'").collect()}
+    assert ("helper", "src/a.py") in called and ("helper", "src/b.py") in called and ("Panel", "web/ui.ts") in called
+    assert not {n for n, _ in called} & {"print", "log", "useState"}
+
+
+def test_builtin_rules(spark):
+    from skein.functions.builtins import without_builtins
+
+    refs = [("python", n) for n in ("print", "list.append", "queue.append", "rows.append", "append", "sort", "len2")] + [("go", "fmt.Println"), ("go", "mine.Println"), ("go", "len"), ("typescript", "console.log"), ("typescript", "Math.max"), ("typescript", "logger.log"), ("tsx", "useMemo"), ("cpp", "std::move"), ("java", "print")]
+    nodes = spark.createDataFrame([("Queue",), ("append",)], "name string")
+    out = without_builtins(spark.createDataFrame(refs, "language string, reference_name string"), nodes)
+    assert {(r.language, r.reference_name) for r in out.collect()} == {("python", "queue.append"), ("python", "append"), ("python", "len2"), ("go", "mine.Println"), ("typescript", "logger.log"), ("java", "print")}
