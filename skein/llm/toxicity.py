@@ -61,6 +61,8 @@ LONGEST, STRIDE = 24, 12
 MEMO_WORDS = 300_000
 #: Strings whose features are held at once.
 BLOCK = 4096
+#: Strings that are held against all landmarks at once: some hundred kilobytes each.
+KERNEL_BLOCK = 128
 FOLDS, HELD_OUT = 5, 0
 
 #: Digits and signs that stand for letters.
@@ -146,11 +148,11 @@ def kernel(strings: list[str], landmarks: list[str]) -> np.ndarray:
     dense = np.zeros((len(known) + 1, len(landmarks)))  # the last row: subsequences that no landmark has
     dense[place, row] = weight
     out = np.empty((len(strings), len(landmarks)))
-    for i in range(0, len(strings), 500):
-        row, code, weight = features(part := strings[i : i + 500])
+    for i in range(0, len(strings), KERNEL_BLOCK):
+        row, code, weight = features(part := strings[i : i + KERNEL_BLOCK])
         at = np.minimum(np.searchsorted(known, code), len(known) - 1)
         at = np.where(known[at] == code, at, len(known))
-        out[i : i + 500] = np.add.reduceat(dense[at] * weight[:, None], np.searchsorted(row, np.arange(len(part))))
+        out[i : i + KERNEL_BLOCK] = np.add.reduceat(dense[at] * weight[:, None], np.searchsorted(row, np.arange(len(part))))
     return out
 
 
