@@ -245,6 +245,18 @@ def components(links: DataFrame) -> DataFrame:
         labels = fresh.select("id", "component")
 
 
+#: Members of one bucket are dealt over so many tasks where they meet what is known of the bucket.
+SALTS = 8
+
+
+def _told(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """members(id, band, bucket, ...) with the columns of buckets(band, bucket, ...), of which each task that
+    has members of a bucket gets a copy, so that a large bucket isn't one task's."""
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    copies = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["band", "bucket", "salt"]).drop("salt")
+
+
 def _united(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, width: int, same: bool) -> DataFrame:
     """digest, id, component (the smallest id) for each class of equal sets in signed, the written
     signatures of docs. same: rows that share an id are linked, so the smallest id in a class can stand
@@ -256,7 +268,7 @@ def _united(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, perc
     stands = cut(classes.withColumn("id", id_), "stands")  # a written table, so numbers stay as they are
     members = stands.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
     buckets = members.groupBy("band", "bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
-    met = cut(members.join(buckets, ["band", "bucket"]), "buckets")
+    met = cut(_told(members, buckets), "buckets")
     star = met.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     sig = stands.select("id", "sig")
     near = star.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").filter(estimate(F.col("sig_a"), F.col("sig_b")) >= least_estimate(percent))
@@ -277,7 +289,7 @@ def _united(signed: DataFrame, docs: DataFrame, id_col: str, text_col: str, perc
     mixed = sizes.groupBy("band", "bucket").agg(F.max(F.struct("count", "component", "items")).alias("most"), F.sum("count").alias("size"), F.sum("items").alias("items"), F.count("*").alias("several")).filter("several > 1")
     dealt = lambda rows, items: F.greatest(F.ceil(rows / BLOCK), F.ceil(items / BLOCK_ITEMS))
     mixed = mixed.select("band", "bucket", F.col("most.component").alias("most"), dealt(F.col("size") - F.col("most.count"), F.col("items") - F.col("most.items")).alias("fewer"), dealt(F.col("size"), F.col("items")).alias("blocks"))
-    rest = placed.filter("id <> pivot").join(mixed, ["band", "bucket"]).join(stands.select("id", "bands", "sig"), "id").join(sets, "id").drop("pivot", "n")
+    rest = _told(placed.filter("id <> pivot"), mixed).join(stands.select("id", "bands", "sig"), "id").join(sets, "id").drop("pivot", "n")
     more = _across(cut(rest, "rest"), unequal_limit(percent), percent)
     if not more.isEmpty():
         united = components(links.union(more))
