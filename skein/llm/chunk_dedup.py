@@ -9,8 +9,8 @@ n_copied count them.
 Copied chunks say where passages may be: in runs of them, with the words around that can belong to the
 same stretch. There, and only there, passages are found exactly, up to 128-bit hashes: a word is in a repeated passage if a gram
 of WORDS words around it occurs elsewhere, wherever chunks end. Every repeated gram holds a whole chunk
-unless hardly any word in it is an end: 50 words make seven chunks on average, and of a million random
-grams none was missed. The first gram, by (doc_id, text, position), stays; later ones are removed, so
+unless hardly any word in it is an end: 50 words make seven chunks on average, and a test finds one in
+each of 3,000 random grams. The first gram, by (doc_id, text, position), stays; later ones are removed, so
 that of a stretch that repeats with a period below its length one period stays.
 
 Copies of a whole text, word for word, are passages as a whole; only the first is looked into for more.
