@@ -283,8 +283,8 @@ def circular_dependencies(spark, sf_dir):
 
 
 CHAIN_SQL = """
-, step AS (SELECT DISTINCT source AS a, target AS b FROM edges WHERE kind = 'calls' AND target LIKE 'order:%'),
-w(path, last_id) AS (SELECT [id], id FROM (SELECT 'order:' || (n_nationkey * 7 + 1) AS id FROM nation WHERE n_nationkey < 5) s UNION ALL SELECT list_append(path, b), b FROM w JOIN step ON a = last_id WHERE len(path) < 5 AND NOT list_contains(path, b))
+, step AS (SELECT DISTINCT source AS a, target AS b FROM edges WHERE kind = 'calls'),
+w(path, last_id) AS (SELECT [id], id FROM (SELECT 'order:' || (n_nationkey * 7 + 1) AS id FROM nation WHERE n_nationkey < 5) s UNION ALL SELECT list_append(path, b), b FROM w JOIN step ON a = last_id WHERE len(path) < 6 AND NOT list_contains(path, b))
 SELECT array_to_string(path, '>') AS chain, len(path)::INT AS length FROM w WHERE len(path) >= 3
 """
 
@@ -293,8 +293,8 @@ SELECT array_to_string(path, '>') AS chain, len(path)::INT AS length FROM w WHER
 def call_chains(spark, sf_dir):
     g = graph(spark, sf_dir)
     starts = spark.createDataFrame([(f"order:{n * 7 + 1}",) for n in range(5)], "id string")
-    steps = traversal.arcs(g.edges.filter("kind = 'calls' AND target LIKE 'order:%'")).distinct()
-    return traversal.call_chains(steps, starts, 3, 5)
+    steps = traversal.arcs(g.edges, kinds=("calls",)).distinct()
+    return traversal.call_chains(steps, starts)
 
 
 AFFECTED_SQL = _closure("SELECT id FROM nodes WHERE file_path = 'lib/parts/size7.rs'", "SELECT target AS a, source AS b FROM edges WHERE kind = 'calls'", 3)

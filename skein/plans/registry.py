@@ -35,7 +35,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from skein.plans import graph_queries, search_queries, store_queries, text_queries  # noqa: F401  their import files the queries
+    from skein.plans import graph_queries, link_queries, search_queries, store_queries, text_queries  # noqa: F401  their import files the queries
 
 
 _load()

@@ -126,7 +126,7 @@ def adjacent_by_priority(spark, sf_dir):
 
 
 FLOW_SQL = """
-, named AS (SELECT id FROM nodes WHERE id IN (SELECT 'order:' || o_orderkey FROM orders WHERE o_custkey % 50 = 1)),
+, named AS (SELECT 'order:' || o_orderkey AS id FROM orders),
 w(seed, id, depth) AS (SELECT id, id, 0 FROM named UNION SELECT seed, target, depth + 1 FROM w JOIN edges e ON e.source = w.id AND e.kind = 'calls' WHERE depth < 6)
 SELECT seed, id AS target, min(depth) AS depth FROM w WHERE id IN (SELECT id FROM named) AND id <> seed GROUP BY 1, 2
 """
@@ -134,7 +134,7 @@ SELECT seed, id AS target, min(depth) AS depth FROM w WHERE id IN (SELECT id FRO
 
 @register("static_flows", _sql(FLOW_SQL))
 def static_flows(spark, sf_dir):
-    named = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_custkey % 50 = 1").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("id"))
+    named = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("id"))
     return traversal.static_flows(graph(spark, sf_dir), named)
 
 

@@ -18,6 +18,15 @@ from skein.operators.mutate import changes, without_files
 CHANGE = "path string, ts timestamp, kind string"
 
 
+#: A burst ends after so many quiet periods at most, and never later than so many milliseconds.
+PERIODS, MOST_MS = 5, 60_000
+
+
+def most_wait(quiet_ms: int, option: int | None = None) -> int:
+    """Milliseconds after which a burst ends however busy its path stays: never less than the quiet period."""
+    return min(max(quiet_ms * PERIODS if option is None else option, quiet_ms), MOST_MS)
+
+
 def read_changes(spark: SparkSession, folder: str, schema: str = CHANGE) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
